@@ -54,7 +54,8 @@ def kpi_row(df: DataFrame, by=None, high_class: str = "High-Intent Buyer",
         F.max(F.when(F.col("metric") == "wtp_aed_per_building", F.col("value"))).alias("median_wtp"),
         F.max(F.when(F.col("metric") == "monthly_bill_aed", F.col("value"))).alias("median_bill"),
     )
-    out = join_small(counts, meds, keys, "left")
+    # Both sides are aggregates on the same keys (one row per group).
+    out = counts.join(meds, keys, "left")
     return out.select(
         *keys, "respondents", "n_high_intent", "n_evaluator", "n_pilot",
         share(F.col("n_high_intent"), F.col("respondents")).alias("high_intent_pct"),
@@ -110,7 +111,7 @@ def summary(df: DataFrame, cols: Sequence[str], by=None, upper_q: float = 0.85)
     q = quantiles(data, cols, [0.5, upper_q], keys).groupBy(*gk).agg(
         F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("median"),
         F.max(F.when(F.col("p") == upper_q, F.col("value"))).alias("q_upper"))
-    return join_small(moments, q, gk, "left").select(
+    return moments.join(q, gk, "left").select(
         *gk, "n", "mean", "median", "skew", "q_upper", "min", "max")
 
 

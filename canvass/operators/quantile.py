@@ -21,8 +21,9 @@ Method (distributed selection):
    ``row_number`` inside the bracket, so no task ever sorts more than
    ``finish_limit`` values, however large or skewed a group is.
 
-For groups that already hold at most ``finish_limit`` values, steps 1 and 3
-are all that runs (one small job plus the lazy result).
+When no group holds more than ``finish_limit`` values, step 1 is followed by
+one ``percentile`` aggregation (its per-group buffer is bounded by the same
+limit) instead of the selection passes.
 """
 
 from __future__ import annotations
@@ -80,6 +81,17 @@ def quantiles(df: DataFrame, columns, probs, by=(), *, finish_limit: int = FINIS
     stats = data.groupBy(*gk).agg(F.count("x").alias("n"), F.min("x").alias("lo"),
                                   F.max("x").alias("hi"))
     stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
+    largest = stats.agg(F.max("n")).first()[0]
+    if largest is None or largest <= finish_limit:
+        # Every group fits one task: one partial/final aggregation whose buffer
+        # per group holds at most ``finish_limit`` values.
+        stats.unpersist()
+        qs = data.groupBy(*gk).agg(F.count("x").alias("n"),
+                                   F.percentile("x", F.array(*[F.lit(p) for p in probs])).alias("qs"))
+        return qs.select(*keys, "metric", F.posexplode("qs").alias("i", "value"), "n").select(
+            *keys, "metric",
+            F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("i") + 1).alias("p"),
+            "n", "value")
     targets = (
         stats.select(*gk, "n", F.explode(F.array(*[F.lit(p) for p in probs])).alias("p"))
         .withColumn("pos", F.col("p") * (F.col("n") - 1))

@@ -15,10 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canvass.functions import labels as L
-from canvass.operators import clean, profile, select
+from canvass.operators import basket, clean, crosstab, distribution, evaluate, leads, profile, scenario, select
+from canvass.operators import split
+from canvass.operators.quantile import quantiles
 from canvass.sources import io
-from canvass.sources.fixtures import responses
-from canvass.sources.schema import CLUSTER_FEATURES, IMPUTED_AT_LOAD, RESPONSE_COLUMNS
+from canvass.sources.fixtures import embeddings_long, responses
+from canvass.sources.schema import (CLUSTER_FEATURES, IMPUTED_AT_LOAD, PAIN_COLS, PROFILE_COLS,
+                                    RESPONSE_COLUMNS, SPIKE_ORDER, TECH_COLS)
 
 R6 = 6
 
@@ -150,6 +153,187 @@ def q_quadrant_counts(spark, sf_dir):
     return _round_doubles(profile.quadrant_counts(profile.quadrants(loaded(spark, sf_dir))))
 
 
+# ---------------------------------------------------------------- crosstabs, profiles by group
+def q_crosstab_adoption(spark, sf_dir):
+    return _round_doubles(crosstab.crosstab(loaded(spark, sf_dir), "segment", "adoption_class"))
+
+
+def q_crosstab_model(spark, sf_dir):
+    return _round_doubles(crosstab.crosstab(loaded(spark, sf_dir), "segment", "commercial_model"))
+
+
+def q_crosstab_spike(spark, sf_dir):
+    return _round_doubles(crosstab.crosstab_wide(loaded(spark, sf_dir), "primary_emirate",
+                                                 "summer_cooling_spike", SPIKE_ORDER))
+
+
+def q_pain_prevalence(spark, sf_dir):
+    return _round_doubles(crosstab.group_means(loaded(spark, sf_dir), "segment", PAIN_COLS, "pain_"))
+
+
+def q_tech_deployment(spark, sf_dir):
+    return _round_doubles(crosstab.group_means(loaded(spark, sf_dir), "segment", TECH_COLS, "tech_"))
+
+
+def q_score_profile_scaled(spark, sf_dir):
+    return _round_doubles(crosstab.score_profile(loaded(spark, sf_dir), "segment", PROFILE_COLS))
+
+
+def q_score_profile_transposed(spark, sf_dir):
+    prof = crosstab.score_profile(loaded(spark, sf_dir), "segment", PROFILE_COLS)
+    return _round_doubles(crosstab.transpose(prof, "metric", "segment", "scaled"))
+
+
+def q_wtp_median_by_segment(spark, sf_dir):
+    q = quantiles(loaded(spark, sf_dir), ["wtp_aed_per_building"], [0.5], ["segment"])
+    out = q.select("segment", F.col("value").alias("median_wtp"), L.money("value").alias("median_wtp_label"))
+    return _round_doubles(out).orderBy(F.col("median_wtp").asc_nulls_last(), "segment")
+
+
+# ---------------------------------------------------------------- distributions
+def q_hist_bill(spark, sf_dir):
+    return _round_doubles(distribution.histogram(loaded(spark, sf_dir), "monthly_bill_aed", 50, scale=1000.0))
+
+
+def q_hist_share(spark, sf_dir):
+    return _round_doubles(distribution.histogram(loaded(spark, sf_dir), "hvac_pct_of_bill", 35))
+
+
+def q_hist_wtp_by_class(spark, sf_dir):
+    return _round_doubles(distribution.histogram(loaded(spark, sf_dir), "wtp_aed_per_building", 30,
+                                                 by="adoption_class"))
+
+
+def q_box_bill(spark, sf_dir):
+    return _round_doubles(distribution.box_stats(loaded(spark, sf_dir), "monthly_bill_aed", "segment",
+                                                 scale=1000.0))
+
+
+def q_box_wtp(spark, sf_dir):
+    return _round_doubles(distribution.box_stats(loaded(spark, sf_dir), "wtp_aed_per_building", "segment"))
+
+
+def q_box_outliers(spark, sf_dir):
+    return _round_doubles(distribution.box_outliers(loaded(spark, sf_dir), "wtp_aed_per_building", "segment"))
+
+
+# ---------------------------------------------------------------- leads
+def q_lead_table(spark, sf_dir):
+    return leads.lead_table(loaded(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- baskets and rules
+def _rules(spark, sf_dir):
+    sets = basket.frequent_itemsets(basket.basket(loaded(spark, sf_dir)), 0.15)
+    return basket.association_rules(sets, 1.2)
+
+
+def q_basket_items(spark, sf_dir):
+    b = basket.basket(loaded(spark, sf_dir))
+    return b.select("respondent_id", F.explode("items").alias("item"))
+
+
+def q_frequent_itemsets(spark, sf_dir):
+    sets = basket.frequent_itemsets(basket.basket(loaded(spark, sf_dir)), 0.15)
+    return _round_doubles(sets.drop("items"))
+
+
+def q_rules_top20(spark, sf_dir):
+    top = basket.top_rules(_rules(spark, sf_dir), 20)
+    return _round_doubles(top.select("rule_rank", "antecedents", "consequents", "support", "confidence", "lift"))
+
+
+def q_rules_summary(spark, sf_dir):
+    rules = _rules(spark, sf_dir)
+    top = basket.top_rules(rules, 20)
+    return _round_doubles(basket.rules_summary(top, "top20").unionByName(basket.rules_summary(rules, "all")))
+
+
+def q_rules_min_lift(spark, sf_dir):
+    return basket.rules_table(basket.top_rules(_rules(spark, sf_dir), 20), 1.2)
+
+
+def q_rules_all(spark, sf_dir):
+    return _round_doubles(_rules(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- scenarios
+def q_scenario_grid(spark, sf_dir):
+    acc = scenario.observed_acceptance(loaded(spark, sf_dir))
+    return _round_doubles(scenario.scenario_grid(acc))
+
+
+def q_scenario_by_segment(spark, sf_dir):
+    return _round_doubles(scenario.scenario_by_segment(loaded(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- labels, splits, metrics
+def fixed_rule():
+    """A deterministic stand-in prediction so metric code has an exact oracle."""
+    return (F.when(F.col("pilot_interest") >= 4, "High-Intent Buyer")
+            .when(F.col("pilot_interest") >= 2, "Evaluator").otherwise("Not Ready"))
+
+
+def q_label_encode(spark, sf_dir):
+    from canvass.operators import propensity
+    return propensity.label_encode(loaded(spark, sf_dir), "adoption_class").select(
+        "respondent_id", "adoption_class", "label")
+
+
+def q_class_weights(spark, sf_dir):
+    from canvass.operators import propensity
+    return _round_doubles(propensity.class_weights(loaded(spark, sf_dir), "adoption_class"))
+
+
+def q_stratified_split(spark, sf_dir):
+    s = split.stratified_split(loaded(spark, sf_dir), "adoption_class")
+    return s.groupBy("adoption_class", "is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_random_split(spark, sf_dir):
+    s = split.random_split(loaded(spark, sf_dir))
+    return s.select("respondent_id", "is_test")
+
+
+def _fixed_predictions(spark, sf_dir):
+    return loaded(spark, sf_dir).select("respondent_id", F.col("adoption_class").alias("label"),
+                                        fixed_rule().alias("prediction"))
+
+
+def q_confusion_fixed_rule(spark, sf_dir):
+    return evaluate.confusion(_fixed_predictions(spark, sf_dir))
+
+
+def q_report_fixed_rule(spark, sf_dir):
+    return _round_doubles(evaluate.classification_report(_fixed_predictions(spark, sf_dir)))
+
+
+def q_macro_f1_fixed_rule(spark, sf_dir):
+    return _round_doubles(evaluate.macro_f1(_fixed_predictions(spark, sf_dir)))
+
+
+def _fixed_regression(spark, sf_dir):
+    df = split.random_split(loaded(spark, sf_dir)).where("is_test")
+    return df.select("respondent_id", F.log1p("wtp_aed_per_building").alias("y"),
+                     F.log1p(F.col("monthly_bill_aed") * 0.1).alias("prediction"))
+
+
+def q_regression_metrics_fixed_rule(spark, sf_dir):
+    return _round_doubles(evaluate.regression_metrics(_fixed_regression(spark, sf_dir)))
+
+
+def q_actual_vs_predicted_fixed_rule(spark, sf_dir):
+    return _round_doubles(evaluate.actual_vs_predicted(_fixed_regression(spark, sf_dir), "respondent_id"))
+
+
+def q_inertia_given_labels(spark, sf_dir):
+    return _round_doubles(evaluate.inertia(embeddings_long(spark, sf_dir)))
+
+
+def q_silhouette_given_labels(spark, sf_dir):
+    return _round_doubles(evaluate.silhouette_sq_euclidean(embeddings_long(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_roundtrip": q_csv_roundtrip,
     "distinct_options": q_distinct_options,
@@ -167,6 +351,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "savings_estimate": q_savings_estimate,
     "prospect_quadrants": q_prospect_quadrants,
     "quadrant_counts": q_quadrant_counts,
+    "crosstab_adoption": q_crosstab_adoption,
+    "crosstab_model": q_crosstab_model,
+    "crosstab_spike": q_crosstab_spike,
+    "pain_prevalence": q_pain_prevalence,
+    "tech_deployment": q_tech_deployment,
+    "score_profile_scaled": q_score_profile_scaled,
+    "score_profile_transposed": q_score_profile_transposed,
+    "wtp_median_by_segment": q_wtp_median_by_segment,
+    "hist_bill": q_hist_bill,
+    "hist_share": q_hist_share,
+    "hist_wtp_by_class": q_hist_wtp_by_class,
+    "box_bill": q_box_bill,
+    "box_wtp": q_box_wtp,
+    "box_outliers": q_box_outliers,
+    "lead_table": q_lead_table,
+    "basket_items": q_basket_items,
+    "frequent_itemsets": q_frequent_itemsets,
+    "rules_all": q_rules_all,
+    "rules_top20": q_rules_top20,
+    "rules_summary": q_rules_summary,
+    "rules_min_lift": q_rules_min_lift,
+    "scenario_grid": q_scenario_grid,
+    "scenario_by_segment": q_scenario_by_segment,
+    "label_encode": q_label_encode,
+    "class_weights": q_class_weights,
+    "stratified_split": q_stratified_split,
+    "random_split": q_random_split,
+    "confusion_fixed_rule": q_confusion_fixed_rule,
+    "report_fixed_rule": q_report_fixed_rule,
+    "macro_f1_fixed_rule": q_macro_f1_fixed_rule,
+    "regression_metrics_fixed_rule": q_regression_metrics_fixed_rule,
+    "actual_vs_predicted_fixed_rule": q_actual_vs_predicted_fixed_rule,
+    "inertia_given_labels": q_inertia_given_labels,
+    "silhouette_given_labels": q_silhouette_given_labels,
 }
 
 assert len(RESPONSE_COLUMNS) == 40

@@ -177,3 +177,325 @@ ORACLE["quadrant_counts"] = sql(_QUAD + """
 SELECT segment, quadrant, count(*) AS n,
        round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY segment), 6) AS pct_of_group
 FROM q WHERE segment IS NOT NULL GROUP BY segment, quadrant""")
+
+
+# ---------------------------------------------------------------- crosstabs, group profiles
+def _crosstab(row: str, col: str) -> str:
+    return f"""
+, p AS (SELECT {row}, {col}, count(*) AS n FROM imputed WHERE {row} IS NOT NULL AND {col} IS NOT NULL
+        GROUP BY {row}, {col})
+SELECT {row}, {col}, n, round(n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY {row}), 6) AS pct FROM p"""
+
+
+ORACLE["crosstab_adoption"] = sql(_crosstab("segment", "adoption_class"))
+ORACLE["crosstab_model"] = sql(_crosstab("segment", "commercial_model"))
+ORACLE["crosstab_spike"] = sql("""
+, p AS (SELECT primary_emirate, summer_cooling_spike, count(*) AS n FROM imputed
+        WHERE primary_emirate IS NOT NULL AND summer_cooling_spike IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT primary_emirate, summer_cooling_spike,
+             n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY primary_emirate) AS pct FROM p)
+SELECT primary_emirate,
+       round(COALESCE(max(CASE WHEN summer_cooling_spike = '<20%' THEN pct END), 0), 6) AS "<20%",
+       round(COALESCE(max(CASE WHEN summer_cooling_spike = '20-50%' THEN pct END), 0), 6) AS "20-50%",
+       round(COALESCE(max(CASE WHEN summer_cooling_spike = '51-100%' THEN pct END), 0), 6) AS "51-100%",
+       round(COALESCE(max(CASE WHEN summer_cooling_spike = '>100%' THEN pct END), 0), 6) AS ">100%"
+FROM x GROUP BY primary_emirate""")
+
+
+def _title_sql(expr: str) -> str:
+    """initcap of a space-separated string."""
+    return (f"array_to_string(list_transform(string_split({expr}, ' '), "
+            f"lambda w: upper(w[1]) || lower(w[2:])), ' ')")
+
+
+def _group_means(cols, prefix: str, metric: str, value: str) -> str:
+    parts = []
+    for c in cols:
+        label = c.replace(prefix, "").replace("_", " ") if prefix else c.replace("_", " ")
+        parts.append(f"SELECT segment, '{c}' AS {metric}, round(avg({c}), 6) AS {value}, "
+                     f"{_title_sql(repr(label))} AS label FROM imputed WHERE segment IS NOT NULL "
+                     f"GROUP BY segment")
+    return "\nUNION ALL ".join(parts)
+
+
+_PAIN = ["pain_high_cost", "pain_old_hvac", "pain_no_data", "pain_occupancy",
+         "pain_wastage", "pain_comfort", "pain_maintenance", "pain_compliance"]
+_TECH = ["tech_smart_meter", "tech_iot_sensor", "tech_bms", "tech_ai_maintenance", "tech_solar", "tech_none"]
+_PROFILE = ["ai_openness", "pilot_interest", "realtime_visibility_score", "stakeholder_pressure",
+            "hvac_satisfaction"]
+
+ORACLE["pain_prevalence"] = sql(_group_means(_PAIN, "pain_", "item", "rate"))
+ORACLE["tech_deployment"] = sql(_group_means(_TECH, "tech_", "item", "rate"))
+
+_PROFILE_CTE = ", gm AS (" + " UNION ALL ".join(
+    f"SELECT segment, '{c}' AS metric, avg({c}) AS mean, {_title_sql(repr(c.replace('_', ' ')))} AS label "
+    f"FROM imputed WHERE segment IS NOT NULL GROUP BY segment" for c in _PROFILE) + """),
+sc AS (SELECT segment, metric, mean, label,
+              (mean - min(mean) OVER (PARTITION BY metric))
+              / NULLIF(max(mean) OVER (PARTITION BY metric) - min(mean) OVER (PARTITION BY metric), 0) AS scaled
+       FROM gm)
+"""
+
+ORACLE["score_profile_scaled"] = sql(_PROFILE_CTE + """
+SELECT segment, metric, round(mean, 6) AS mean, label, round(scaled, 6) AS scaled FROM sc""")
+
+ORACLE["score_profile_transposed"] = sql(_PROFILE_CTE + """
+SELECT metric,
+       round(max(CASE WHEN segment = 'AUTOMOBILE' THEN scaled END), 6) AS AUTOMOBILE,
+       round(max(CASE WHEN segment = 'BUILDING' THEN scaled END), 6) AS BUILDING,
+       round(max(CASE WHEN segment = 'FURNITURE' THEN scaled END), 6) AS FURNITURE,
+       round(max(CASE WHEN segment = 'HOUSEHOLD' THEN scaled END), 6) AS HOUSEHOLD,
+       round(max(CASE WHEN segment = 'MACHINERY' THEN scaled END), 6) AS MACHINERY
+FROM sc GROUP BY metric""")
+
+ORACLE["wtp_median_by_segment"] = sql("""
+SELECT segment, round(quantile_cont(wtp_aed_per_building, 0.5), 6) AS median_wtp,
+       'AED ' || format('{:,.0f}', quantile_cont(wtp_aed_per_building, 0.5)) AS median_wtp_label
+FROM imputed WHERE segment IS NOT NULL AND wtp_aed_per_building IS NOT NULL GROUP BY segment""")
+
+
+# ---------------------------------------------------------------- distributions
+def _hist(value: str, bins: int, keys: str = "'all'", key_name: str = "scope", key_filter: str = "") -> str:
+    b = f"{float(bins)}::DOUBLE"
+    edge = lambda i: f"(CASE WHEN {i} >= {bins} THEN hi ELSE CAST({i} AS DOUBLE) * ((hi - lo) / {b}) + lo END)"
+    kf = f" AND {key_filter}" if key_filter else ""
+    return f"""
+, v AS (SELECT {keys} AS {key_name}, {value} AS x FROM imputed WHERE {value} IS NOT NULL{kf}),
+r0 AS (SELECT {key_name}, min(x) AS mn, max(x) AS mx FROM v GROUP BY {key_name}),
+r AS (SELECT {key_name}, CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS lo,
+             CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS hi FROM r0),
+g0 AS (SELECT v.{key_name}, x, lo, hi,
+              LEAST(CAST(floor((x - lo) / (hi - lo) * {b}) AS BIGINT), {bins - 1}) AS g FROM v JOIN r USING ({key_name})),
+g1 AS (SELECT {key_name}, x, lo, hi, CASE WHEN x < {edge('g')} THEN g - 1 ELSE g END AS d FROM g0),
+g2 AS (SELECT {key_name}, CASE WHEN x >= {edge('d + 1')} AND d <> {bins - 1} THEN d + 1 ELSE d END AS bin FROM g1),
+cnt AS (SELECT {key_name}, bin, count(*) AS count FROM g2 GROUP BY {key_name}, bin),
+grid AS (SELECT {key_name}, lo, hi, range AS bin FROM r, range(0, {bins}))
+SELECT grid.{key_name}, grid.bin, round({edge('grid.bin')}, 6) AS lo_edge, round({edge('grid.bin + 1')}, 6) AS hi_edge,
+       COALESCE(cnt.count, 0) AS count
+FROM grid LEFT JOIN cnt ON grid.{key_name} = cnt.{key_name} AND grid.bin = cnt.bin"""
+
+
+ORACLE["hist_bill"] = sql(_hist("monthly_bill_aed / 1000.0::DOUBLE", 50))
+ORACLE["hist_share"] = sql(_hist("CAST(hvac_pct_of_bill AS DOUBLE)", 35))
+ORACLE["hist_wtp_by_class"] = sql(_hist("CAST(wtp_aed_per_building AS DOUBLE)", 30, "adoption_class",
+                                        "adoption_class", "adoption_class IS NOT NULL"))
+
+
+def _box(value: str) -> str:
+    return f"""
+, v AS (SELECT segment, {value} AS x FROM imputed WHERE segment IS NOT NULL AND {value} IS NOT NULL),
+q AS (SELECT segment, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
+             quantile_cont(x, 0.75) AS q3 FROM v GROUP BY segment),
+f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5::DOUBLE * (q3 - q1) AS lo_fence, q3 + 1.5::DOUBLE * (q3 - q1) AS hi_fence FROM q),
+a AS (SELECT f.segment, f.q1, f.median, f.q3, f.iqr, count(*) AS n, avg(x) AS mean,
+             min(CASE WHEN x >= lo_fence THEN x END) AS w_lo, max(CASE WHEN x <= hi_fence THEN x END) AS w_hi,
+             count_if(x < lo_fence) AS n_out_low, count_if(x > hi_fence) AS n_out_high
+      FROM v JOIN f USING (segment) GROUP BY f.segment, f.q1, f.median, f.q3, f.iqr)
+SELECT segment, n, round(mean, 6) AS mean, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+       round(iqr, 6) AS iqr,
+       round(CASE WHEN w_lo IS NULL OR w_lo > q1 THEN q1 ELSE w_lo END, 6) AS whisker_low,
+       round(CASE WHEN w_hi IS NULL OR w_hi < q3 THEN q3 ELSE w_hi END, 6) AS whisker_high,
+       n_out_low, n_out_high
+FROM a"""
+
+
+ORACLE["box_bill"] = sql(_box("monthly_bill_aed / 1000.0::DOUBLE"))
+ORACLE["box_wtp"] = sql(_box("CAST(wtp_aed_per_building AS DOUBLE)"))
+ORACLE["box_outliers"] = sql("""
+, v AS (SELECT respondent_id, segment, CAST(wtp_aed_per_building AS DOUBLE) AS x FROM imputed
+        WHERE segment IS NOT NULL AND wtp_aed_per_building IS NOT NULL),
+q AS (SELECT segment, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM v GROUP BY segment),
+f AS (SELECT segment, q1 - 1.5::DOUBLE * (q3 - q1) AS lo_fence, q3 + 1.5::DOUBLE * (q3 - q1) AS hi_fence FROM q)
+SELECT respondent_id, segment, round(x, 6) AS value,
+       CASE WHEN x < lo_fence THEN 'low' ELSE 'high' END AS side
+FROM v JOIN f USING (segment) WHERE x < lo_fence OR x > hi_fence""")
+
+# ---------------------------------------------------------------- leads
+ORACLE["lead_table"] = sql("""
+SELECT respondent_id, segment, building_type, primary_emirate, adoption_class, pilot_interest, ai_openness,
+       wtp_aed_per_building, monthly_bill_aed,
+       row_number() OVER (ORDER BY pilot_interest DESC NULLS LAST, ai_openness DESC NULLS LAST, respondent_id)
+         AS lead_rank,
+       'AED ' || format('{:,.0f}', wtp_aed_per_building) AS wtp_label,
+       'AED ' || format('{:,.0f}', monthly_bill_aed) AS bill_label
+FROM imputed WHERE adoption_class IN ('High-Intent Buyer')
+ORDER BY lead_rank LIMIT 50""")
+
+# ---------------------------------------------------------------- baskets and rules
+_BASKET = [("pain_high_cost", "PAIN:HIGH_COST"), ("pain_old_hvac", "PAIN:OLD_HVAC"),
+           ("pain_no_data", "PAIN:NO_DATA"), ("pain_compliance", "PAIN:COMPLIANCE"),
+           ("monitor_bms", "MON:BMS"), ("monitor_iot", "MON:IOT"), ("tech_bms", "TECH:BMS"),
+           ("tech_iot_sensor", "TECH:IOT_SENSOR"), ("tech_ai_maintenance", "TECH:AI_MAINTENANCE"),
+           ("tech_smart_meter", "TECH:SMART_METER")]
+_MASK = " + ".join(f"(CASE WHEN COALESCE({c}, 0) <> 0 THEN {1 << i} ELSE 0 END)"
+                   for i, (c, _) in enumerate(_BASKET))
+
+
+def _names(mask: str) -> str:
+    items = ", ".join(f"CASE WHEN ({mask} & {1 << i}) <> 0 THEN '{n}' END" for i, (_, n) in enumerate(_BASKET))
+    return f"array_to_string(list_sort(list_filter([{items}], lambda x: x IS NOT NULL)), ', ')"
+
+
+_RULES_CTE = f"""
+, b AS (SELECT respondent_id, {_MASK} AS mask FROM imputed),
+tot AS (SELECT count(*) AS n FROM b),
+bm AS (SELECT mask, count(*) AS c FROM b GROUP BY mask),
+cand AS (SELECT range AS s FROM range(1, 1024)),
+sup AS (SELECT s, sum(c) AS freq FROM bm JOIN cand ON (bm.mask & cand.s) = cand.s GROUP BY s),
+fi AS (SELECT s, CAST(freq AS BIGINT) AS freq, CAST(freq AS DOUBLE) / n AS support, bit_count(s) AS size
+       FROM sup, tot WHERE CAST(freq AS DOUBLE) / n >= 0.15),
+rs AS (SELECT fi.s AS s, a.s AS sa, fi.s - a.s AS sc, fi.support AS support
+       FROM fi JOIN fi a ON (fi.s & a.s) = a.s AND a.s <> fi.s WHERE fi.size >= 2),
+rl AS (SELECT {_names('sa')} AS antecedents, {_names('sc')} AS consequents,
+              ra.support AS antecedent_support, rc.support AS consequent_support, rs.support,
+              rs.support / ra.support AS confidence, rs.support / (ra.support * rc.support) AS lift,
+              rs.support - ra.support * rc.support AS leverage
+       FROM rs JOIN fi ra ON ra.s = rs.sa JOIN fi rc ON rc.s = rs.sc),
+ru AS (SELECT * FROM rl WHERE lift >= 1.2),
+top AS (SELECT *, row_number() OVER (ORDER BY lift DESC, confidence DESC, antecedents, consequents) AS rule_rank
+        FROM ru ORDER BY rule_rank LIMIT 20)
+"""
+
+ORACLE["basket_items"] = sql("""
+, b AS (SELECT respondent_id, """ + _names(f"({_MASK})") + """ AS items FROM imputed)
+SELECT respondent_id, unnest(string_split(items, ', ')) AS item FROM b WHERE items <> ''""")
+
+ORACLE["frequent_itemsets"] = sql(_RULES_CTE + f"""
+SELECT {_names('s')} AS itemset, CAST(size AS INTEGER) AS size, freq, round(support, 6) AS support FROM fi""")
+
+ORACLE["rules_all"] = sql(_RULES_CTE + """
+SELECT antecedents, consequents, round(antecedent_support, 6) AS antecedent_support,
+       round(consequent_support, 6) AS consequent_support, round(support, 6) AS support,
+       round(confidence, 6) AS confidence, round(lift, 6) AS lift, round(leverage, 6) AS leverage FROM ru""")
+
+ORACLE["rules_top20"] = sql(_RULES_CTE + """
+SELECT rule_rank, antecedents, consequents, round(support, 6) AS support, round(confidence, 6) AS confidence,
+       round(lift, 6) AS lift FROM top""")
+
+ORACLE["rules_summary"] = sql(_RULES_CTE + """
+SELECT count(*) AS n_rules, round(max(lift), 6) AS max_lift, round(max(confidence), 6) AS max_confidence,
+       'top20' AS scope FROM top
+UNION ALL
+SELECT count(*), round(max(lift), 6), round(max(confidence), 6), 'all' FROM ru""")
+
+ORACLE["rules_min_lift"] = sql(_RULES_CTE + """
+SELECT antecedents, consequents, round_even(support, 3) AS support, round_even(confidence, 3) AS confidence,
+       round_even(lift, 3) AS lift FROM top WHERE lift >= 1.2""")
+
+# ---------------------------------------------------------------- scenarios
+_FUNNEL = """
+pilots AS (SELECT *, CAST(trunc(pop * acceptance) AS BIGINT) AS pilots FROM g),
+paid AS (SELECT *, CAST(trunc(pilots * conversion_pct / 100.0::DOUBLE) AS BIGINT) AS paid_clients FROM pilots)
+"""
+
+ORACLE["scenario_grid"] = sql("""
+, acc AS (SELECT 'all' AS scope, count_if(pilot_interest >= 4) / count(*) AS acceptance FROM imputed),
+g AS (SELECT scope, acceptance, b AS buildings, b AS pop, c AS conversion_pct, f AS fee
+      FROM acc, range(500, 10001, 100) t1(b), range(10, 71, 5) t2(c), range(2000, 20001, 500) t3(f)),
+""" + _FUNNEL + """
+SELECT scope, round(acceptance, 6) AS acceptance, CAST(buildings AS INTEGER) AS buildings,
+       CAST(conversion_pct AS INTEGER) AS conversion_pct, CAST(fee AS INTEGER) AS fee,
+       pilots, paid_clients, paid_clients * fee AS mrr, paid_clients * fee * 12 AS arr FROM paid""")
+
+ORACLE["scenario_by_segment"] = sql("""
+, acc AS (SELECT segment, count(*) AS population, count_if(pilot_interest >= 4) / count(*) AS acceptance
+          FROM imputed WHERE segment IS NOT NULL GROUP BY segment),
+g AS (SELECT segment, population, acceptance, population AS pop, c AS conversion_pct, f AS fee
+      FROM acc, range(10, 71, 5) t2(c), range(2000, 20001, 500) t3(f)),
+""" + _FUNNEL + """
+SELECT segment, population, round(acceptance, 6) AS acceptance, CAST(conversion_pct AS INTEGER) AS conversion_pct,
+       CAST(fee AS INTEGER) AS fee, pilots, paid_clients, paid_clients * fee AS mrr,
+       paid_clients * fee * 12 AS arr FROM paid""")
+
+# ---------------------------------------------------------------- labels, splits, metrics
+_U = "CAST(((respondent_id % 2147483647) * 48271 + {seed}) % 2147483647 AS DOUBLE) / 2147483647.0::DOUBLE"
+
+ORACLE["label_encode"] = sql("""
+SELECT respondent_id, adoption_class, CAST(dense_rank() OVER (ORDER BY adoption_class) - 1 AS DOUBLE) AS label
+FROM imputed WHERE adoption_class IS NOT NULL""")
+
+ORACLE["class_weights"] = sql("""
+, c AS (SELECT adoption_class, count(*) AS n_c FROM imputed WHERE adoption_class IS NOT NULL GROUP BY 1)
+SELECT adoption_class, n_c,
+       round(CAST((SELECT sum(n_c) FROM c) AS DOUBLE) / ((SELECT count(*) FROM c) * n_c), 6) AS weight FROM c""")
+
+ORACLE["stratified_split"] = sql(f"""
+, u AS (SELECT adoption_class, {_U.format(seed=42)} AS u FROM imputed),
+t AS (SELECT adoption_class, quantile_cont(u, 0.25) AS t FROM u WHERE adoption_class IS NOT NULL GROUP BY 1)
+SELECT adoption_class, COALESCE(u <= t, false) AS is_test, count(*) AS n
+FROM u LEFT JOIN t USING (adoption_class) GROUP BY ALL""")
+
+ORACLE["random_split"] = sql(f"""
+SELECT respondent_id, {_U.format(seed=42)} < 0.25::DOUBLE AS is_test FROM imputed""")
+
+_FIXED = """
+, fx AS (SELECT respondent_id, adoption_class AS label,
+                CASE WHEN pilot_interest >= 4 THEN 'High-Intent Buyer' WHEN pilot_interest >= 2 THEN 'Evaluator'
+                     ELSE 'Not Ready' END AS prediction FROM imputed),
+cls AS (SELECT label AS c FROM fx WHERE label IS NOT NULL UNION SELECT prediction FROM fx WHERE prediction IS NOT NULL),
+pairs AS (SELECT label AS actual, prediction AS predicted, count(*) AS n FROM fx GROUP BY 1, 2),
+conf AS (SELECT a.c AS actual, p.c AS predicted, COALESCE(pairs.n, 0) AS n
+         FROM cls a CROSS JOIN cls p LEFT JOIN pairs ON pairs.actual = a.c AND pairs.predicted = p.c),
+pc AS (SELECT c AS cls,
+              (SELECT sum(n) FROM conf WHERE actual = c) AS support,
+              (SELECT sum(n) FROM conf WHERE actual = c AND predicted = c) AS tp,
+              (SELECT sum(n) FROM conf WHERE predicted = c) AS n_pred FROM cls),
+pm AS (SELECT cls, support, tp, n_pred,
+              COALESCE(CAST(tp AS DOUBLE) / NULLIF(n_pred, 0), 0) AS precision,
+              COALESCE(CAST(tp AS DOUBLE) / NULLIF(support, 0), 0) AS recall FROM pc),
+pf AS (SELECT *, COALESCE(2 * precision * recall / NULLIF(precision + recall, 0), 0) AS f1_score FROM pm)
+"""
+
+ORACLE["confusion_fixed_rule"] = sql(_FIXED + "SELECT actual, predicted, n FROM conf")
+ORACLE["report_fixed_rule"] = sql(_FIXED + """
+SELECT cls AS label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score,
+       CAST(support AS BIGINT) AS support FROM pf
+UNION ALL SELECT 'accuracy', NULL, NULL, round(CAST(sum(tp) AS DOUBLE) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM pf
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1_score), 6),
+                 CAST(sum(support) AS BIGINT) FROM pf
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
+                 round(sum(recall * support) / sum(support), 6), round(sum(f1_score * support) / sum(support), 6),
+                 CAST(sum(support) AS BIGINT) FROM pf""")
+ORACLE["macro_f1_fixed_rule"] = sql(_FIXED + """
+SELECT round(avg(f1_score), 6) AS macro_f1, round(sum(f1_score * support) / sum(support), 6) AS weighted_f1,
+       round(CAST(sum(tp) AS DOUBLE) / sum(support), 6) AS accuracy FROM pf""")
+
+_REG = f"""
+, t AS (SELECT respondent_id, ln(1 + wtp_aed_per_building) AS y, ln(1 + monthly_bill_aed * 0.1::DOUBLE) AS prediction
+        FROM imputed WHERE {_U.format(seed=42)} < 0.25::DOUBLE)
+"""
+
+ORACLE["regression_metrics_fixed_rule"] = sql(_REG + """
+SELECT count(*) AS n,
+       round(1 - sum((y - prediction) * (y - prediction)) / sum((y - (SELECT avg(y) FROM t)) * (y - (SELECT avg(y) FROM t))), 6) AS r2,
+       round(avg(abs((exp(y) - 1) - (exp(prediction) - 1))), 6) AS mae,
+       round(avg(abs(y - prediction)), 6) AS mae_model_scale FROM t""")
+
+ORACLE["actual_vs_predicted_fixed_rule"] = sql(_REG + """
+SELECT respondent_id, round(y, 6) AS actual, round(prediction, 6) AS predicted,
+       round((SELECT least(min(y), min(prediction)) FROM t), 6) AS axis_min,
+       round((SELECT greatest(max(y), max(prediction)) FROM t), 6) AS axis_max FROM t""")
+
+_EMB = """
+, pts AS (SELECT vec_id AS point_id, label AS cluster, CAST(unnest(embedding) AS DOUBLE) AS value,
+                 generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
+"""
+
+ORACLE["inertia_given_labels"] = sql(_EMB + """
+, mu AS (SELECT cluster, dim, avg(value) AS mu FROM pts GROUP BY 1, 2)
+SELECT cluster, round(sum((value - mu) * (value - mu)), 6) AS inertia, count(DISTINCT point_id) AS size
+FROM pts JOIN mu USING (cluster, dim) GROUP BY cluster""")
+
+ORACLE["silhouette_given_labels"] = sql(_EMB + """
+, nq AS (SELECT point_id, cluster, sum(value * value) AS q FROM pts GROUP BY 1, 2),
+sz AS (SELECT cluster, count(*) AS n_c, sum(q) AS qq FROM nq GROUP BY 1),
+cs AS (SELECT cluster, dim, sum(value) AS s FROM pts GROUP BY 1, 2),
+dots AS (SELECT p.point_id, cs.cluster AS c2, sum(p.value * cs.s) AS dot FROM pts p JOIN cs USING (dim) GROUP BY 1, 2),
+d AS (SELECT nq.point_id, nq.cluster, dots.c2, sz.n_c, sz.n_c * nq.q - 2.0::DOUBLE * dots.dot + sz.qq AS sumsq
+      FROM dots JOIN sz ON sz.cluster = dots.c2 JOIN nq ON nq.point_id = dots.point_id),
+own AS (SELECT point_id, n_c AS n_own, CASE WHEN n_c > 1 THEN sumsq / (n_c - 1) END AS a FROM d WHERE cluster = c2),
+oth AS (SELECT point_id, min(sumsq / n_c) AS b FROM d WHERE cluster <> c2 GROUP BY 1),
+s AS (SELECT CASE WHEN n_own <= 1 OR b IS NULL THEN 0.0
+                  ELSE COALESCE((b - a) / NULLIF(greatest(a, b), 0), 0) END AS sil
+      FROM own LEFT JOIN oth USING (point_id))
+SELECT round(avg(sil), 6) AS silhouette, count(*) AS n FROM s""")

@@ -6,9 +6,12 @@ SQL text is what the DuckDB oracle uses as a CTE.
 
 Plan shape: lineitem is joined to part and aggregated per order (partial
 aggregation before the shuffle on ``l_orderkey``); orders join customer on
-``custkey`` and the two fixed-size dimension tables (25 nations, 5 regions)
-are broadcast after a row-count check; the per-order line summary is
-left-joined on ``orderkey``, reusing the aggregation's hash partitioning.
+``custkey``; the two fixed-size dimension tables (25 nations, 5 regions) are
+broadcast because their parquet file size is under
+``spark.sql.autoBroadcastJoinThreshold`` (a size check Catalyst makes from
+file statistics), and part is broadcast only while it is small in the same
+way, otherwise sort-merge joined. The per-order line summary is left-joined
+on ``orderkey``, reusing the aggregation's hash partitioning.
 """
 
 from __future__ import annotations
@@ -16,7 +19,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.plans.joins import join_small
 from canvass.sources.schema import RESPONSE_COLUMNS, RESPONSES_SCHEMA
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -74,8 +76,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
 
-    geo = join_small(nation, region, F.col("n_regionkey") == F.col("r_regionkey"), max_rows=10_000)
-    cust = join_small(customer, geo, F.col("c_nationkey") == F.col("n_nationkey"), max_rows=10_000)
+    geo = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    cust = customer.join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
     base = orders.join(cust, F.col("o_custkey") == F.col("c_custkey"))
     joined = base.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
 
