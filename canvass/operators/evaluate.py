@@ -98,7 +98,7 @@ def regression_metrics(df: DataFrame, y: str = "y", pred: str = "prediction", lo
                        ) -> DataFrame:
     """R3 + R4: R^2 on the given scale; MAE back on the money scale when ``y``
     is ``log1p`` of money (``expm1`` of both sides)."""
-    mean_y = df.select(F.avg(y)).scalar()
+    mean_y = F.lit(df.select(F.avg(y)).first()[0])
     diff = F.col(y) - F.col(pred)
     err = (F.abs(F.expm1(y) - F.expm1(pred)) if log_scale else F.abs(diff))
     return df.agg(

@@ -47,13 +47,14 @@ class ForestResult:
     labels: list
     test_predictions: DataFrame
     importances: DataFrame
-    cv_metrics: DataFrame
+    cv_metrics: DataFrame | None
 
 
 def fit_forest(df: DataFrame, label_col: str = "adoption_class",
                features: Sequence[str] = CLASSIFIER_FEATURES, id_col: str = "respondent_id",
                num_trees: int = 100, max_depth: int = 6, seed: int = 42, folds: int = 5,
-               test_fraction: float = 0.25, cv_parallelism: int = 2) -> ForestResult:
+               test_fraction: float = 0.25, cv_parallelism: int = 2, cross_validate: bool = True
+               ) -> ForestResult:
     """Stratified split, balanced forest, test predictions, importances and k-fold macro F1."""
     feats = list(features)
     matrix = feature_matrix(df, feats, keep=(id_col, label_col)).where(F.col(label_col).isNotNull())
@@ -75,6 +76,8 @@ def fit_forest(df: DataFrame, label_col: str = "adoption_class",
     spark: SparkSession = df.sparkSession
     imp = spark.createDataFrame([(f, float(v)) for f, v in zip(feats, model.featureImportances.toArray())],
                                 "feature string, importance double")
+    if not cross_validate:
+        return ForestResult(model, labels, preds, imp, None)
     cv = CrossValidator(estimator=rf, estimatorParamMaps=ParamGridBuilder().build(),
                         evaluator=evaluate.MacroF1Evaluator(), foldCol="fold", numFolds=folds,
                         parallelism=cv_parallelism, seed=seed)

@@ -4,8 +4,9 @@ Each row's side comes from an arithmetic hash of its id, so the split needs
 no shuffle, does not depend on partitioning, survives recomputation after an
 executor loss unchanged, and can be repeated in plain SQL.
 
-``u(id) = ((id mod P) * A + seed) mod P / P`` with P = 2^31 - 1 and A = 48271
-(the MINSTD multiplier); the product stays below 2^47, so no overflow.
+``u(id) = int(first 12 hex digits of md5("<seed>:<id>")) / 2^48``: a uniform
+value in [0, 1) that mixes neighbouring ids fully, with the same digits in any
+engine that has ``md5``.
 A stratified split cuts each class at its own quantile of the hash, so every
 class keeps its share; neither split reproduces scikit-learn's rows.
 """
@@ -15,15 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The hash modulus and multiplier.
-HASH_P = 2147483647
-HASH_A = 48271
+# Hex digits of the md5 digest used, and the matching scale.
+HASH_HEX_DIGITS = 12
+HASH_SCALE = float(16 ** HASH_HEX_DIGITS)
 
 
 def unit_hash(id_col: str, seed: int = 42) -> Column:
     """A value in [0, 1) from the id and seed."""
-    h = F.pmod(F.pmod(F.col(id_col), F.lit(HASH_P)) * F.lit(HASH_A) + F.lit(seed), F.lit(HASH_P))
-    return h.cast("double") / F.lit(float(HASH_P))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    h = F.conv(F.substring(digest, 1, HASH_HEX_DIGITS), 16, 10).cast("long")
+    return h.cast("double") / F.lit(HASH_SCALE)
 
 
 def random_split(df: DataFrame, id_col: str = "respondent_id", test_fraction: float = 0.25,

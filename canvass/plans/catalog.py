@@ -334,6 +334,113 @@ def q_silhouette_given_labels(spark, sf_dir):
     return _round_doubles(evaluate.silhouette_sq_euclidean(embeddings_long(spark, sf_dir)))
 
 
+# ---------------------------------------------------------------- clustering
+def _cluster_inputs(spark, sf_dir):
+    from canvass.operators import cluster
+    scaled = cluster.scaled_matrix(loaded(spark, sf_dir), CLUSTER_FEATURES)
+    return cluster.with_vector(scaled, CLUSTER_FEATURES)
+
+
+def q_scaled_matrix(spark, sf_dir):
+    from canvass.operators import cluster
+    return _round_doubles(cluster.scaled_matrix(loaded(spark, sf_dir), CLUSTER_FEATURES))
+
+
+def _kmeans(spark, sf_dir):
+    from canvass.operators import cluster
+    vec = _cluster_inputs(spark, sf_dir).persist()
+    fit = cluster.kmeans_best(vec, 5)
+    return cluster, vec, fit
+
+
+def q_kmeans_assignments(spark, sf_dir):
+    cluster, vec, fit = _kmeans(spark, sf_dir)
+    pca = cluster.fit_pca(vec, CLUSTER_FEATURES)
+    assigned = cluster.assign(fit, vec)
+    return _round_doubles(cluster.project(assigned, pca, ["respondent_id", "cluster", "cluster_name"]))
+
+
+def q_cluster_profile(spark, sf_dir):
+    cluster, vec, fit = _kmeans(spark, sf_dir)
+    return _round_doubles(cluster.cluster_profile(cluster.assign(fit, vec), loaded(spark, sf_dir),
+                                                  "respondent_id", PROFILE_COLS + ["monthly_bill_aed"]))
+
+
+def q_elbow(spark, sf_dir):
+    from canvass.operators import cluster
+    return _round_doubles(cluster.elbow(_cluster_inputs(spark, sf_dir)))
+
+
+def q_pca_points(spark, sf_dir):
+    from canvass.operators import cluster
+    vec = _cluster_inputs(spark, sf_dir).persist()
+    pca = cluster.fit_pca(vec, CLUSTER_FEATURES)
+    return _round_doubles(cluster.project(vec, pca, ["respondent_id"]))
+
+
+def q_pca_variance(spark, sf_dir):
+    from canvass.operators import cluster
+    vec = _cluster_inputs(spark, sf_dir)
+    return _round_doubles(cluster.variance_table(cluster.fit_pca(vec, CLUSTER_FEATURES)))
+
+
+def q_pca_centroids(spark, sf_dir):
+    cluster, vec, fit = _kmeans(spark, sf_dir)
+    pca = cluster.fit_pca(vec, CLUSTER_FEATURES)
+    cents = cluster.centroids(fit, CLUSTER_FEATURES)
+    return _round_doubles(cluster.project(cents, pca, ["cluster", "cluster_name"]))
+
+
+def q_silhouette_kmeans(spark, sf_dir):
+    cluster, vec, fit = _kmeans(spark, sf_dir)
+    assigned = cluster.assign(fit, vec)
+    pts = evaluate.vector_points(assigned, "respondent_id", "cluster", "features")
+    return _round_doubles(evaluate.silhouette_sq_euclidean(pts).withColumn("k", F.lit(5))
+                          .withColumn("training_cost", F.lit(fit.cost)))
+
+
+# ---------------------------------------------------------------- classification
+def _forest(spark, sf_dir, cv=False):
+    from canvass.operators import propensity
+    return propensity.fit_forest(loaded(spark, sf_dir), cross_validate=cv)
+
+
+def q_rf_importances(spark, sf_dir):
+    return _round_doubles(leads.ranked_values(_forest(spark, sf_dir).importances, "feature", "importance", 12))
+
+
+def q_rf_cv_macro_f1(spark, sf_dir):
+    return _round_doubles(_forest(spark, sf_dir, cv=True).cv_metrics)
+
+
+def q_rf_confusion(spark, sf_dir):
+    return evaluate.confusion(_forest(spark, sf_dir).test_predictions, "actual", "predicted")
+
+
+def q_rf_report(spark, sf_dir):
+    return _round_doubles(evaluate.classification_report(_forest(spark, sf_dir).test_predictions,
+                                                         "actual", "predicted"))
+
+
+# ---------------------------------------------------------------- regression
+def _boost(spark, sf_dir):
+    from canvass.operators import price
+    return price.fit_boosting(loaded(spark, sf_dir))
+
+
+def q_gbt_importances(spark, sf_dir):
+    return _round_doubles(leads.ranked_values(_boost(spark, sf_dir).importances, "feature", "importance", 10))
+
+
+def q_gbt_metrics(spark, sf_dir):
+    return _round_doubles(evaluate.regression_metrics(_boost(spark, sf_dir).test_predictions))
+
+
+def q_gbt_actual_vs_predicted(spark, sf_dir):
+    return _round_doubles(evaluate.actual_vs_predicted(_boost(spark, sf_dir).test_predictions,
+                                                       "respondent_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_roundtrip": q_csv_roundtrip,
     "distinct_options": q_distinct_options,
@@ -385,6 +492,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "actual_vs_predicted_fixed_rule": q_actual_vs_predicted_fixed_rule,
     "inertia_given_labels": q_inertia_given_labels,
     "silhouette_given_labels": q_silhouette_given_labels,
+    "scaled_matrix": q_scaled_matrix,
+    "kmeans_assignments": q_kmeans_assignments,
+    "cluster_profile": q_cluster_profile,
+    "elbow": q_elbow,
+    "pca_points": q_pca_points,
+    "pca_variance": q_pca_variance,
+    "pca_centroids": q_pca_centroids,
+    "silhouette_kmeans": q_silhouette_kmeans,
+    "rf_importances": q_rf_importances,
+    "rf_cv_macro_f1": q_rf_cv_macro_f1,
+    "rf_confusion": q_rf_confusion,
+    "rf_report": q_rf_report,
+    "gbt_importances": q_gbt_importances,
+    "gbt_metrics": q_gbt_metrics,
+    "gbt_actual_vs_predicted": q_gbt_actual_vs_predicted,
 }
 
 assert len(RESPONSE_COLUMNS) == 40

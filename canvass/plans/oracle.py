@@ -408,7 +408,8 @@ SELECT segment, population, round(acceptance, 6) AS acceptance, CAST(conversion_
        paid_clients * fee * 12 AS arr FROM paid""")
 
 # ---------------------------------------------------------------- labels, splits, metrics
-_U = "CAST(((respondent_id % 2147483647) * 48271 + {seed}) % 2147483647 AS DOUBLE) / 2147483647.0::DOUBLE"
+_U = ("CAST(CAST('0x' || substr(md5('{seed}:' || CAST(respondent_id AS VARCHAR)), 1, 12) AS BIGINT) AS DOUBLE)"
+      " / 281474976710656.0::DOUBLE")
 
 ORACLE["label_encode"] = sql("""
 SELECT respondent_id, adoption_class, CAST(dense_rank() OVER (ORDER BY adoption_class) - 1 AS DOUBLE) AS label
@@ -499,3 +500,11 @@ s AS (SELECT CASE WHEN n_own <= 1 OR b IS NULL THEN 0.0
                   ELSE COALESCE((b - a) / NULLIF(greatest(a, b), 0), 0) END AS sil
       FROM own LEFT JOIN oth USING (point_id))
 SELECT round(avg(sil), 6) AS silhouette, count(*) AS n FROM s""")
+
+
+# ---------------------------------------------------------------- clustering input
+ORACLE["scaled_matrix"] = sql(", fm AS (SELECT respondent_id, " + ", ".join(
+    f"COALESCE(CAST({c} AS DOUBLE), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM imputed)) AS {c}"
+    for c in CLUSTER_FEATURES) + " FROM imputed)\nSELECT respondent_id, " + ", ".join(
+    f"round(({c} - (SELECT avg({c}) FROM fm)) / COALESCE(NULLIF((SELECT stddev_pop({c}) FROM fm), 0), 1), 6) AS {c}"
+    for c in CLUSTER_FEATURES) + " FROM fm")
