@@ -22,8 +22,8 @@ Method (distributed selection):
    ``finish_limit`` values, however large or skewed a group is.
 
 When no group holds more than ``finish_limit`` values, step 1 is followed by
-one ``percentile`` aggregation (its per-group buffer is bounded by the same
-limit) instead of the selection passes.
+one ranking window per group (bounded by the same limit) instead of the
+selection passes. Both paths interpolate as ``lo + (hi - lo) * frac``.
 """
 
 from __future__ import annotations
@@ -83,15 +83,8 @@ def quantiles(df: DataFrame, columns, probs, by=(), *, finish_limit: int = FINIS
     stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
     largest = stats.agg(F.max("n")).first()[0]
     if largest is None or largest <= finish_limit:
-        # Every group fits one task: one partial/final aggregation whose buffer
-        # per group holds at most ``finish_limit`` values.
         stats.unpersist()
-        qs = data.groupBy(*gk).agg(F.count("x").alias("n"),
-                                   F.percentile("x", F.array(*[F.lit(p) for p in probs])).alias("qs"))
-        return qs.select(*keys, "metric", F.posexplode("qs").alias("i", "value"), "n").select(
-            *keys, "metric",
-            F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("i") + 1).alias("p"),
-            "n", "value")
+        return _direct(data, keys, gk, probs)
     targets = (
         stats.select(*gk, "n", F.explode(F.array(*[F.lit(p) for p in probs])).alias("p"))
         .withColumn("pos", F.col("p") * (F.col("n") - 1))
@@ -126,6 +119,25 @@ def quantiles(df: DataFrame, columns, probs, by=(), *, finish_limit: int = FINIS
     return out
 
 
+def _direct(data: DataFrame, keys: list[str], gk: list[str], probs: list[float]) -> DataFrame:
+    """Every group holds at most ``finish_limit`` values: rank inside each group
+    (one shuffle on the group key, one sort per group) and keep the rows at
+    the two ranks each probability interpolates between."""
+    order = Window.partitionBy(*gk).orderBy("x")
+    whole = Window.partitionBy(*gk)
+    ranked = data.select(*gk, "x", (F.row_number().over(order) - 1).alias("r"),
+                         F.count("x").over(whole).alias("n"))
+    last = F.col("n") - 1
+    wanted = F.filter(F.array(*[F.lit(p) for p in probs]),
+                      lambda p: (F.floor(p * last) == F.col("r")) | (F.ceil(p * last) == F.col("r")))
+    hits = ranked.select(*gk, "x", "r", "n", F.explode(wanted).alias("p"))
+    ends = hits.groupBy(*gk, "p", "n").agg(F.min_by("x", "r").alias("v0"), F.max_by("x", "r").alias("v1"))
+    pos = F.col("p") * (F.col("n") - 1)
+    frac = pos - F.floor(pos)
+    return ends.select(*keys, "metric", "p", "n",
+                       (F.col("v0") + (F.col("v1") - F.col("v0")) * frac).alias("value"))
+
+
 def _refine(data: DataFrame, state: DataFrame, active, gk: list[str], buckets: int) -> DataFrame:
     """One bucketing pass over the data for every unsolved bracket."""
     bkey = gk + ["lo", "hi", "below"]
