@@ -465,6 +465,20 @@ def q_gbt_actual_vs_predicted(spark, sf_dir):
                                                        "respondent_id"))
 
 
+# ---------------------------------------------------------------- streaming
+def q_kpi_stream(spark, sf_dir):
+    """Running KPI counts after streaming the survey in as four files, one per micro-batch."""
+    from canvass.session import scratch_path
+    from canvass.streaming import kpi_stream
+    folder = scratch_path(spark, "responses-stream")
+    responses(spark, sf_dir).repartition(4, "respondent_id").write.parquet(folder)
+    out = scratch_path(spark, "kpi-stream-out")
+    query = kpi_stream.start_to_table(
+        kpi_stream.running_kpis(kpi_stream.response_stream(spark, folder, files_per_trigger=1)), out)
+    query.awaitTermination()
+    return _round_doubles(spark.read.parquet(out))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_roundtrip": q_csv_roundtrip,
     "distinct_options": q_distinct_options,
@@ -531,6 +545,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gbt_importances": q_gbt_importances,
     "gbt_metrics": q_gbt_metrics,
     "gbt_actual_vs_predicted": q_gbt_actual_vs_predicted,
+    "kpi_stream": q_kpi_stream,
 }
 
 assert len(RESPONSE_COLUMNS) == 40

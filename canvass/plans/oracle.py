@@ -508,3 +508,12 @@ ORACLE["scaled_matrix"] = sql(", fm AS (SELECT respondent_id, " + ", ".join(
     for c in CLUSTER_FEATURES) + " FROM imputed)\nSELECT respondent_id, " + ", ".join(
     f"round(({c} - (SELECT avg({c}) FROM fm)) / COALESCE(NULLIF((SELECT stddev_pop({c}) FROM fm), 0), 1), 6) AS {c}"
     for c in CLUSTER_FEATURES) + " FROM fm")
+
+ORACLE["kpi_stream"] = sql("""
+SELECT segment, count(*) AS respondents, count_if(adoption_class = 'High-Intent Buyer') AS n_high_intent,
+       count_if(adoption_class = 'Evaluator') AS n_evaluator, count_if(pilot_interest >= 4) AS n_pilot,
+       round(count_if(adoption_class = 'High-Intent Buyer') * 100.0::DOUBLE / count(*), 6) AS high_intent_pct,
+       round(count_if(adoption_class = 'Evaluator') * 100.0::DOUBLE / count(*), 6) AS evaluator_pct,
+       round(count_if(pilot_interest >= 4) * 100.0::DOUBLE / count(*), 6) AS pilot_pct,
+       round(avg(hvac_pct_of_bill), 6) AS hvac_avg
+FROM responses WHERE segment IS NOT NULL GROUP BY segment""")
