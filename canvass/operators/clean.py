@@ -27,11 +27,15 @@ def impute_median(df: DataFrame, cols: Sequence[str] = IMPUTED_AT_LOAD) -> DataF
     cols = present_columns(df, cols)
     if not cols:
         return df
-    meds = median_values(df, cols)
+    return fill_values(df, median_values(df, cols))
+
+
+def fill_values(df: DataFrame, values: dict) -> DataFrame:
+    """Fill nulls of each column with its value (columns become double);
+    a ``None`` value leaves the column's nulls in place."""
     return df.withColumns({
-        c: (F.coalesce(F.col(c).cast("double"), F.lit(meds[c])) if meds[c] is not None
-            else F.col(c).cast("double"))
-        for c in cols
+        c: (F.coalesce(F.col(c).cast("double"), F.lit(v)) if v is not None else F.col(c).cast("double"))
+        for c, v in values.items() if c in df.columns
     })
 
 

@@ -70,6 +70,22 @@ class KMeansFit:
     order: dict  # original cluster number -> renumbered
 
 
+def sklearn_tol(vectors: DataFrame, k: int, rel_tol: float = 1e-4) -> float:
+    """Spark tolerance that implies scikit-learn's stopping rule.
+
+    scikit-learn stops when the summed squared centre shift is below
+    ``rel_tol * mean feature variance``; MLlib stops when every centre moved
+    less than ``tol``. With ``tol = sqrt(rel_tol * mean_var / k)`` the MLlib
+    rule implies the scikit-learn one. The variances come from one
+    distributed ``Summarizer`` aggregation.
+    """
+    from pyspark.ml.stat import Summarizer
+    var = vectors.select(Summarizer.metrics("variance").summary(F.col("features")).alias("s")) \
+        .first()["s"]["variance"].toArray()
+    mean_var = float(sum(var) / len(var)) if len(var) else 0.0
+    return max((rel_tol * mean_var / k) ** 0.5, 1e-12)
+
+
 def _fit(data: DataFrame, k: int, seed: int, max_iter: int, tol: float):
     km = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="features",
                 predictionCol="cluster_raw")
@@ -77,11 +93,40 @@ def _fit(data: DataFrame, k: int, seed: int, max_iter: int, tol: float):
     return model, float(model.summary.trainingCost), seed
 
 
-def kmeans_best(vectors: DataFrame, k: int = 5, seeds: Sequence[int] = range(42, 52),
-                max_iter: int = 100, tol: float = 1e-4, parallelism: int = 4) -> KMeansFit:
-    """Best (lowest cost) of one k-means fit per seed."""
+# Target bytes of dense vectors per partition of a k-means input.
+FIT_PARTITION_BYTES = 64 * 1024 * 1024
+
+
+def _fit_input(vectors: DataFrame) -> DataFrame:
+    """The vector column, persisted, in partitions of about 64 MB.
+
+    Iterative fits pay a scheduling cost per task and iteration, so a small
+    matrix runs as few tasks; a large one keeps one task per ~64 MB (at most
+    one per task slot more than that is never useful per iteration).
+    """
     data = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+    n = data.count()
+    first = data.first()
+    dims = len(first["features"]) if first is not None else 1
+    slots = data.sparkSession.sparkContext.defaultParallelism
+    want = max(1, min(slots, -(-n * dims * 8 // FIT_PARTITION_BYTES)))
+    if data.rdd.getNumPartitions() > want:
+        sized = data.coalesce(want).persist(StorageLevel.MEMORY_AND_DISK)
+        sized.count()
+        data.unpersist()
+        return sized
+    return data
+
+
+def kmeans_best(vectors: DataFrame, k: int = 5, seeds: Sequence[int] = range(42, 52),
+                max_iter: int = 300, tol: float | None = None, parallelism: int = 10) -> KMeansFit:
+    """Best (lowest cost) of one k-means fit per seed (all seeds run concurrently).
+
+    ``tol`` defaults to :func:`sklearn_tol` (scikit-learn's relative 1e-4).
+    """
+    data = _fit_input(vectors)
+    tol = sklearn_tol(data, k) if tol is None else tol
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(list(seeds))))) as pool:
         fits = list(pool.map(lambda s: _fit(data, k, s, max_iter, tol), list(seeds)))
     data.unpersist()
     model, cost, seed = min(fits, key=lambda t: (t[1], t[2]))
@@ -101,12 +146,14 @@ def assign(fit: KMeansFit, vectors: DataFrame, names: dict | None = None) -> Dat
 
 
 def elbow(vectors: DataFrame, ks: Sequence[int] = range(2, 10), seeds: Sequence[int] = range(42, 52),
-          max_iter: int = 100, parallelism: int = 8) -> DataFrame:
+          max_iter: int = 300, parallelism: int = 10) -> DataFrame:
     """``(k, inertia)``, inertia being the best-of-seeds sum of squared distances."""
-    data = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    data = _fit_input(vectors)
+    tols = {int(k): sklearn_tol(data, int(k)) for k in ks}
     jobs = [(int(k), int(s)) for k in ks for s in seeds]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        fits = list(pool.map(lambda ks_: (ks_[0],) + _fit(data, ks_[0], ks_[1], max_iter, 1e-4)[1:], jobs))
+        fits = list(pool.map(lambda ks_: (ks_[0],) + _fit(data, ks_[0], ks_[1], max_iter, tols[ks_[0]])[1:],
+                             jobs))
     data.unpersist()
     best: dict[int, tuple] = {}
     for k, cost, seed in fits:

@@ -135,38 +135,57 @@ def inertia(points: DataFrame) -> DataFrame:
     return per
 
 
-def silhouette_sq_euclidean(points: DataFrame) -> DataFrame:
+# Largest clusters x dimensions table the silhouette turns into expressions.
+MAX_CLUSTER_CELLS = 1_000_000
+
+
+def silhouette_sq_euclidean(points: DataFrame, cluster: str = "cluster", vec: str = "vec") -> DataFrame:
     """C3 (scalable form): mean silhouette with squared Euclidean distance.
 
     For a point x and cluster C with n_C points, coordinate sums S_C and sum
     of squared norms Q_C, the summed squared distance from x to C is
-    ``n_C*|x|^2 - 2 x.S_C + Q_C``: per-cluster statistics replace all pairs.
-    a(x) averages over its own cluster without itself (n_A - 1), b(x) is the
-    smallest average over the other clusters; s = (b - a) / max(a, b) and 0
-    for a point alone in its cluster (the definition MLlib's
-    ``ClusteringEvaluator`` uses). Returns one row ``(silhouette, n)``.
+    ``n_C*|x|^2 - 2 x.S_C + Q_C``, so per-cluster statistics replace all
+    point pairs. a(x) averages over its own cluster without itself
+    (n_A - 1), b(x) is the smallest average over the other clusters;
+    s = (b - a) / max(a, b), and 0 for a point alone in its cluster (the
+    definition MLlib's ``ClusteringEvaluator`` uses).
+
+    Input: one row per point with an ``array<double>`` (or ML vector) column.
+    Work: one aggregation for the k x d statistics (partial sums before the
+    shuffle, then collected: bounded by the model's k and d), then a map-only
+    pass over the points and one global average. Returns ``(silhouette, n)``.
     """
-    norms = points.groupBy("point_id", "cluster").agg(F.sum(F.col("value") * F.col("value")).alias("q"))
-    stats = _cluster_stats(points)
-    sizes = norms.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_c"), F.sum("q").alias("qq"))
-    # dot products x . S_C for every point and every cluster: join on dim with
-    # the (clusters x dims) sum table, then sum per (point, cluster).
-    s_other = stats.select(F.col("cluster").alias("c2"), "dim", "s")
-    dots = join_small(points.select("point_id", "dim", "value"), s_other, ["dim"]) \
-        .groupBy("point_id", "c2").agg(F.sum(F.col("value") * F.col("s")).alias("dot"))
-    d = join_small(dots, sizes.withColumnRenamed("cluster", "c2"), ["c2"])
-    d = d.join(norms, "point_id")
-    total = F.col("n_c") * F.col("q") - F.lit(2.0) * F.col("dot") + F.col("qq")
-    d = d.select("point_id", "cluster", "c2", "n_c", total.alias("sumsq"))
-    own = d.where(F.col("cluster") == F.col("c2")).select(
-        "point_id", "cluster", F.col("n_c").alias("n_own"),
-        F.when(F.col("n_c") > 1, F.col("sumsq") / (F.col("n_c") - 1)).alias("a"))
-    other = d.where(F.col("cluster") != F.col("c2")).groupBy("point_id").agg(
-        F.min(F.col("sumsq") / F.col("n_c")).alias("b"))
-    s = own.join(other, "point_id", "left")
-    sil = F.when((F.col("n_own") <= 1) | F.col("b").isNull(), F.lit(0.0)).otherwise(
-        _safe_div(F.col("b") - F.col("a"), F.greatest("a", "b")))
-    return s.agg(F.avg(sil).alias("silhouette"), F.count(F.lit(1)).alias("n"))
+    from pyspark.ml.functions import vector_to_array
+    x = vector_to_array(F.col(vec)) if dict(points.dtypes)[vec] == "vector" else F.col(vec).cast("array<double>")
+    pts = points.select(F.col(cluster).alias("c"), x.alias("x")).where(F.col("c").isNotNull())
+    sq = F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v * v)
+    per = pts.groupBy("c").agg(F.count(F.lit(1)).alias("n_c"), F.sum(sq).alias("q_c"))
+    sums = pts.select("c", F.posexplode("x").alias("d", "v")).groupBy("c", "d").agg(F.sum("v").alias("s"))
+    n_cells = sums.count()
+    if n_cells > MAX_CLUSTER_CELLS:
+        raise ValueError(f"{n_cells} cluster x dimension cells exceed {MAX_CLUSTER_CELLS}")
+    stats = {r["c"]: (r["n_c"], r["q_c"]) for r in per.collect()}
+    vecs: dict = {}
+    for r in sums.collect():
+        vecs.setdefault(r["c"], {})[r["d"]] = r["s"]
+    if not stats:
+        return points.sparkSession.createDataFrame([], "silhouette double, n long")
+    q = sq
+    own, others = [], []
+    for c, (n_c, q_c) in sorted(stats.items()):
+        svec = vecs[c]
+        s_arr = F.array(*[F.lit(float(svec[d])) for d in range(len(svec))])
+        dot = F.aggregate(F.zip_with("x", s_arr, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+        total = F.lit(float(n_c)) * q - F.lit(2.0) * dot + F.lit(float(q_c))
+        is_own = F.col("c") == F.lit(c)
+        own.append(F.when(is_own, F.when(F.lit(n_c) > 1, total / F.lit(float(n_c - 1)))))
+        others.append(F.when(~is_own, total / F.lit(float(n_c))))
+    a = F.coalesce(*own) if len(own) > 1 else own[0]
+    b = F.least(*others) if len(others) > 1 else others[0]
+    own_n = F.coalesce(*[F.when(F.col("c") == F.lit(c), F.lit(n)) for c, (n, _) in stats.items()]) \
+        if len(stats) > 1 else F.lit(next(iter(stats.values()))[0])
+    sil = F.when((own_n <= 1) | b.isNull(), F.lit(0.0)).otherwise(_safe_div(b - a, F.greatest(a, b)))
+    return pts.agg(F.avg(sil).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 
 def vector_points(df: DataFrame, id_col: str, cluster_col: str, vector_col: str) -> DataFrame:

@@ -22,8 +22,8 @@ Method (distributed selection):
    ``finish_limit`` values, however large or skewed a group is.
 
 When no group holds more than ``finish_limit`` values, step 1 is followed by
-one ranking window per group (bounded by the same limit) instead of the
-selection passes. Both paths interpolate as ``lo + (hi - lo) * frac``.
+one count per distinct value and a running sum per group (bounded by the same
+limit) instead of the selection passes. Both paths interpolate as ``lo + (hi - lo) * frac``.
 """
 
 from __future__ import annotations
@@ -120,19 +120,32 @@ def quantiles(df: DataFrame, columns, probs, by=(), *, finish_limit: int = FINIS
 
 
 def _direct(data: DataFrame, keys: list[str], gk: list[str], probs: list[float]) -> DataFrame:
-    """Every group holds at most ``finish_limit`` values: rank inside each group
-    (one shuffle on the group key, one sort per group) and keep the rows at
-    the two ranks each probability interpolates between."""
-    order = Window.partitionBy(*gk).orderBy("x")
+    """Every group holds at most ``finish_limit`` values.
+
+    Values are first counted per (group, value) with map-side partial
+    aggregation, so repeated values (integer scores, flags) collapse before
+    the shuffle. A running sum over each group's distinct values (at most
+    ``finish_limit`` rows) gives the rank range each value covers, and the
+    values covering the two ranks of each probability are kept.
+    """
+    counted = data.groupBy(*gk, "x").agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy(*gk).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*gk)
-    ranked = data.select(*gk, "x", (F.row_number().over(order) - 1).alias("r"),
-                         F.count("x").over(whole).alias("n"))
+    ranked = counted.select(*gk, "x", "c", F.sum("c").over(upto).alias("end"),
+                            F.sum("c").over(whole).alias("n"))
     last = F.col("n") - 1
+    start = F.col("end") - F.col("c")
+
+    def covers(k):
+        return (k >= start) & (k < F.col("end"))
+
     wanted = F.filter(F.array(*[F.lit(p) for p in probs]),
-                      lambda p: (F.floor(p * last) == F.col("r")) | (F.ceil(p * last) == F.col("r")))
-    hits = ranked.select(*gk, "x", "r", "n", F.explode(wanted).alias("p"))
-    ends = hits.groupBy(*gk, "p", "n").agg(F.min_by("x", "r").alias("v0"), F.max_by("x", "r").alias("v1"))
+                      lambda p: covers(F.floor(p * last)) | covers(F.ceil(p * last)))
+    hits = ranked.select(*gk, "x", "c", "end", "n", F.explode(wanted).alias("p"))
     pos = F.col("p") * (F.col("n") - 1)
+    ends = hits.groupBy(*gk, "p", "n").agg(
+        F.max(F.when(covers(F.floor(pos)), F.col("x"))).alias("v0"),
+        F.max(F.when(covers(F.ceil(pos)), F.col("x"))).alias("v1"))
     frac = pos - F.floor(pos)
     return ends.select(*keys, "metric", "p", "n",
                        (F.col("v0") + (F.col("v1") - F.col("v0")) * frac).alias("value"))

@@ -19,7 +19,7 @@ from canvass.operators import basket, clean, crosstab, distribution, evaluate, l
 from canvass.operators import split
 from canvass.operators.quantile import quantiles
 from canvass.sources import io
-from canvass.sources.fixtures import embeddings_long, responses
+from canvass.sources.fixtures import embeddings_long, responses, table
 from canvass.sources.schema import (CLUSTER_FEATURES, IMPUTED_AT_LOAD, PAIN_COLS, PROFILE_COLS,
                                     RESPONSE_COLUMNS, SPIKE_ORDER, TECH_COLS)
 
@@ -39,54 +39,63 @@ def _round_doubles(df: DataFrame, skip=()) -> DataFrame:
                        else F.col(f.name) for f in df.schema.fields])
 
 
-# sf_dir -> path of a written copy of the loaded survey table (see ``materialize``).
-_MATERIALIZED: dict[str, str] = {}
+# sf_dir -> (path of the written survey table, load-time medians); see ``materialize``.
+_MATERIALIZED: dict[str, tuple[str, dict]] = {}
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The survey table before imputation (the written copy when there is one)."""
+    hit = _MATERIALIZED.get(sf_dir)
+    return spark.read.parquet(hit[0]) if hit else responses(spark, sf_dir)
 
 
 def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 + P8: the survey table as the dashboard loads it (three medians imputed).
 
-    When :func:`materialize` wrote it for ``sf_dir`` already, the written
-    parquet table is read instead of rebuilding it.
+    When :func:`materialize` wrote the table for ``sf_dir``, it is read back
+    and the stored medians are applied as literals.
     """
-    path = _MATERIALIZED.get(sf_dir)
-    if path:
-        return spark.read.parquet(path)
+    hit = _MATERIALIZED.get(sf_dir)
+    if hit:
+        path, meds = hit
+        return clean.fill_values(spark.read.parquet(path), meds)
     return clean.impute_median(responses(spark, sf_dir), IMPUTED_AT_LOAD)
 
 
 def materialize(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
-    """Write the loaded table once into the shared folder; later queries read it.
+    """Write the survey table once into the shared folder; later queries read it.
 
-    Cuts the lineage of the load (joins, medians) the way a cluster job
-    should: a table in ``spark.checkpoint.dir``, not a local temp dir.
+    The table is written raw (one pass over the joins), the three load-time
+    medians are computed from the written parquet (a scan of three columns),
+    and applied lazily on every read. This cuts the lineage of the load the
+    way a cluster job should: a table in ``spark.checkpoint.dir``.
     """
     _MATERIALIZED.pop(sf_dir, None)
-    df = loaded(spark, sf_dir)
-    path = io.write_table(df, path, "responses")
-    _MATERIALIZED[sf_dir] = path
+    path = io.write_table(responses(spark, sf_dir), path, "responses")
+    meds = clean.median_values(spark.read.parquet(path), IMPUTED_AT_LOAD)
+    _MATERIALIZED[sf_dir] = (path, meds)
     return path
 
 
 # ---------------------------------------------------------------- sources, filters
 def q_csv_roundtrip(spark, sf_dir):
-    df = responses(spark, sf_dir)
+    df = raw(spark, sf_dir)
     path = io.write_csv(df)
     return io.read_responses(spark, path, fmt="csv")
 
 
 def q_distinct_options(spark, sf_dir):
-    return select.distinct_options(responses(spark, sf_dir),
+    return select.distinct_options(raw(spark, sf_dir),
                                    ["segment", "primary_emirate", "summer_cooling_spike"])
 
 
 def q_filtered_counts(spark, sf_dir):
-    return select.filtered_counts(responses(spark, sf_dir),
+    return select.filtered_counts(raw(spark, sf_dir),
                                   {"segment": SEGMENT_PICK, "primary_emirate": EMIRATE_PICK})
 
 
 def q_filter_null_member(spark, sf_dir):
-    df = responses(spark, sf_dir).withColumn(
+    df = raw(spark, sf_dir).withColumn(
         "segment", F.when(F.col("segment") != "MACHINERY", F.col("segment")))
     kept = select.filter_members(df, {"segment": ["AUTOMOBILE", None], "summer_cooling_spike":
                                       ["<20%", ">100%", None]})
@@ -94,7 +103,7 @@ def q_filter_null_member(spark, sf_dir):
 
 
 def q_optional_filter(spark, sf_dir):
-    df = responses(spark, sf_dir)
+    df = raw(spark, sf_dir)
     every = select.optional_filter(df, "segment", []).groupBy("segment").agg(
         F.count(F.lit(1)).alias("n")).withColumn("selection", F.lit("empty"))
     some = select.optional_filter(df, "segment", SEGMENT_PICK).groupBy("segment").agg(
@@ -107,7 +116,7 @@ def q_impute_median(spark, sf_dir):
 
 
 def q_feature_matrix_imputed(spark, sf_dir):
-    return clean.feature_matrix(responses(spark, sf_dir), CLUSTER_FEATURES)
+    return clean.feature_matrix(raw(spark, sf_dir), CLUSTER_FEATURES)
 
 
 def q_predicate_counts(spark, sf_dir):
@@ -122,7 +131,7 @@ def q_predicate_counts(spark, sf_dir):
 
 
 def q_scalar_labels(spark, sf_dir):
-    df = responses(spark, sf_dir)
+    df = raw(spark, sf_dir)
     return df.select(
         "respondent_id",
         L.money("wtp_aed_per_building").alias("wtp_label"),
@@ -150,7 +159,7 @@ def q_kpi_row_all(spark, sf_dir):
 
 
 def q_share_of_total(spark, sf_dir):
-    df = responses(spark, sf_dir)
+    df = raw(spark, sf_dir)
     a = profile.frequency(df, "summer_cooling_spike").withColumnRenamed("summer_cooling_spike", "value") \
         .withColumn("dimension", F.lit("summer_cooling_spike"))
     b = profile.frequency(df, "adoption_class").withColumnRenamed("adoption_class", "value") \
@@ -355,7 +364,8 @@ def q_inertia_given_labels(spark, sf_dir):
 
 
 def q_silhouette_given_labels(spark, sf_dir):
-    return _round_doubles(evaluate.silhouette_sq_euclidean(embeddings_long(spark, sf_dir)))
+    emb = table(spark, sf_dir, "embeddings").select(F.col("label").alias("cluster"), F.col("embedding").alias("vec"))
+    return _round_doubles(evaluate.silhouette_sq_euclidean(emb))
 
 
 # ---------------------------------------------------------------- clustering
@@ -418,8 +428,7 @@ def q_pca_centroids(spark, sf_dir):
 def q_silhouette_kmeans(spark, sf_dir):
     cluster, vec, fit = _kmeans(spark, sf_dir)
     assigned = cluster.assign(fit, vec)
-    pts = evaluate.vector_points(assigned, "respondent_id", "cluster", "features")
-    return _round_doubles(evaluate.silhouette_sq_euclidean(pts).withColumn("k", F.lit(5))
+    return _round_doubles(evaluate.silhouette_sq_euclidean(assigned, "cluster", "features").withColumn("k", F.lit(5))
                           .withColumn("training_cost", F.lit(fit.cost)))
 
 
@@ -471,7 +480,7 @@ def q_kpi_stream(spark, sf_dir):
     from canvass.session import scratch_path
     from canvass.streaming import kpi_stream
     folder = scratch_path(spark, "responses-stream")
-    responses(spark, sf_dir).repartition(4, "respondent_id").write.parquet(folder)
+    raw(spark, sf_dir).repartition(4, "respondent_id").write.parquet(folder)
     out = scratch_path(spark, "kpi-stream-out")
     query = kpi_stream.start_to_table(
         kpi_stream.running_kpis(kpi_stream.response_stream(spark, folder, files_per_trigger=1)), out)

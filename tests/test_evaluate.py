@@ -40,7 +40,9 @@ def test_silhouette_closed_form_matches_pairs(spark):
     lab = np.repeat(np.arange(3), 20)
     rows = [(int(i), int(lab[i]), int(d), float(pts[i, d])) for i in range(60) for d in range(3)]
     df = spark.createDataFrame(rows, "point_id long, cluster int, dim int, value double")
-    got = evaluate.silhouette_sq_euclidean(df).first()["silhouette"]
+    arrays = spark.createDataFrame([(int(lab[i]), [float(v) for v in pts[i]]) for i in range(60)],
+                                   "cluster int, vec array<double>")
+    got = evaluate.silhouette_sq_euclidean(arrays).first()["silhouette"]
     d2 = ((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1)
     s = []
     for i in range(60):

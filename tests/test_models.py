@@ -41,3 +41,15 @@ def test_forest_and_boosting_invariants(responses_small):
     assert rf.test_predictions.count() > 0
     gb = price.fit_boosting(responses_small, rounds=10)
     assert sum(r["importance"] for r in gb.importances.collect()) == pytest.approx(1.0)
+
+
+def test_silhouette_equals_mllib_evaluator(vectors):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    from canvass.operators.evaluate import silhouette_sq_euclidean
+    fit = cluster.kmeans_best(vectors, 4, seeds=[5])
+    assigned = cluster.assign(fit, vectors)
+    ours = silhouette_sq_euclidean(assigned, "cluster", "features").first()["silhouette"]
+    ref = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(
+        assigned.withColumn("cluster", F.col("cluster").cast("double")))
+    assert ours == pytest.approx(ref, rel=1e-9)
