@@ -368,6 +368,19 @@ def q_silhouette_given_labels(spark, sf_dir):
     return _round_doubles(evaluate.silhouette_sq_euclidean(emb))
 
 
+# ---------------------------------------------------------------- fitted-model reuse
+_FITS: dict[tuple, object] = {}
+
+
+def _reuse(spark: SparkSession, sf_dir: str, name: str, build):
+    """One fit per (application, input, model) in a session, as the dashboard
+    memoises its model functions; a new Spark application refits."""
+    key = (spark.sparkContext.applicationId, sf_dir, _MATERIALIZED.get(sf_dir, ("",))[0], name)
+    if key not in _FITS:
+        _FITS[key] = build()
+    return _FITS[key]
+
+
 # ---------------------------------------------------------------- clustering
 def _cluster_inputs(spark, sf_dir):
     from canvass.operators import cluster
@@ -382,8 +395,11 @@ def q_scaled_matrix(spark, sf_dir):
 
 def _kmeans(spark, sf_dir):
     from canvass.operators import cluster
-    vec = _cluster_inputs(spark, sf_dir).persist()
-    fit = cluster.kmeans_best(vec, 5)
+
+    def build():
+        vec = _cluster_inputs(spark, sf_dir).persist()
+        return vec, cluster.kmeans_best(vec, 5)
+    vec, fit = _reuse(spark, sf_dir, "kmeans5", build)
     return cluster, vec, fit
 
 
@@ -435,7 +451,11 @@ def q_silhouette_kmeans(spark, sf_dir):
 # ---------------------------------------------------------------- classification
 def _forest(spark, sf_dir, cv=False):
     from canvass.operators import propensity
-    return propensity.fit_forest(loaded(spark, sf_dir), cross_validate=cv)
+    key = (spark.sparkContext.applicationId, sf_dir, _MATERIALIZED.get(sf_dir, ("",))[0], "forest-cvTrue")
+    if not cv and key in _FITS:  # the cross-validated result carries the same forest
+        return _FITS[key]
+    return _reuse(spark, sf_dir, f"forest-cv{cv}",
+                  lambda: propensity.fit_forest(loaded(spark, sf_dir), cross_validate=cv))
 
 
 def q_rf_importances(spark, sf_dir):
@@ -458,7 +478,7 @@ def q_rf_report(spark, sf_dir):
 # ---------------------------------------------------------------- regression
 def _boost(spark, sf_dir):
     from canvass.operators import price
-    return price.fit_boosting(loaded(spark, sf_dir))
+    return _reuse(spark, sf_dir, "boosting", lambda: price.fit_boosting(loaded(spark, sf_dir)))
 
 
 def q_gbt_importances(spark, sf_dir):

@@ -19,7 +19,9 @@ def test_scaled_matrix_is_standardised(vectors):
 
 def test_kmeans_best_of_seeds_and_elbow(vectors):
     fit = cluster.kmeans_best(vectors, 3, seeds=[1, 2, 3])
-    single = [cluster._fit(vectors.select("features"), 3, s, 100, 1e-4)[1] for s in (1, 2, 3)]
+    data = cluster._fit_input(vectors)
+    tol = cluster.sklearn_tol(data, 3)
+    single = [cluster._fit(data, 3, s, 300, tol)[1] for s in (1, 2, 3)]
     assert fit.cost == pytest.approx(min(single))
     sizes = cluster.assign(fit, vectors).groupBy("cluster").count().orderBy("cluster").collect()
     counts = [r["count"] for r in sizes]
