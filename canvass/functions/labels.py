@@ -79,6 +79,11 @@ def item_label(x) -> Column:
     return F.upper(c)
 
 
+def single_line(x) -> Column:
+    """newlines to spaces (multi-line display names on one line)."""
+    return F.replace(_c(x), F.lit("\n"), F.lit(" "))
+
+
 def round_half_even(x, decimals: int = 3) -> Column:
     """pandas ``.round(d)``: half-even."""
     return F.bround(_c(x), decimals)

@@ -43,7 +43,8 @@ def fit_boosting(df: DataFrame, target: str = "wtp_aed_per_building",
     gbt = GBTRegressor(featuresCol="features", labelCol="y", maxIter=rounds, stepSize=step,
                        maxDepth=depth, seed=seed)
     model = gbt.fit(m.where(~F.col("is_test")))
-    preds = model.transform(m.where(F.col("is_test"))).select(id_col, "y", "prediction")
+    preds = model.transform(m.where(F.col("is_test"))).select(id_col, "y", "prediction") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     spark = df.sparkSession
     imp = spark.createDataFrame([(f, float(v)) for f, v in zip(feats, model.featureImportances.toArray())],
                                 "feature string, importance double")

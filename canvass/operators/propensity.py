@@ -71,8 +71,9 @@ def fit_forest(df: DataFrame, label_col: str = "adoption_class",
     model = rf.fit(data.where(~F.col("is_test")))
     labels = sorted(r[0] for r in data.select(label_col).distinct().collect())
     names = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
+    # Test predictions feed several report tables: score the forest once.
     preds = model.transform(data.where(F.col("is_test"))).select(
-        id_col, F.col(label_col).alias("actual"), names.alias("predicted"))
+        id_col, F.col(label_col).alias("actual"), names.alias("predicted")).persist(StorageLevel.MEMORY_AND_DISK)
     spark: SparkSession = df.sparkSession
     imp = spark.createDataFrame([(f, float(v)) for f, v in zip(feats, model.featureImportances.toArray())],
                                 "feature string, importance double")
