@@ -40,6 +40,9 @@ from canvass.session import checkpoint_dir
 FINISH_LIMIT = 1_000_000
 BUCKETS = 1024
 MAX_PASSES = 48
+# Session settings that override the defaults above (per cluster sizing).
+CONF_FINISH_LIMIT = "spark.canvass.quantile.finishLimit"
+CONF_BUCKETS = "spark.canvass.quantile.buckets"
 
 
 def _as_list(x) -> list:
@@ -62,13 +65,20 @@ def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
     return long.where(cond)
 
 
-def quantiles(df: DataFrame, columns, probs, by=(), *, finish_limit: int = FINISH_LIMIT,
-              buckets: int = BUCKETS, max_passes: int = MAX_PASSES) -> DataFrame:
+def quantiles(df: DataFrame, columns, probs, by=(), *, finish_limit: int | None = None,
+              buckets: int | None = None, max_passes: int = MAX_PASSES) -> DataFrame:
     """Exact interpolated quantiles of ``columns`` per ``by`` group.
 
     Returns ``(by..., metric, p, n, value)``; groups (or null keys) with no
-    non-null value produce no row.
+    non-null value produce no row. ``finish_limit`` and ``buckets`` default
+    to the session settings ``spark.canvass.quantile.finishLimit`` /
+    ``.buckets`` when set, else 1,000,000 values and 1,024 buckets.
     """
+    conf = df.sparkSession.conf
+    if finish_limit is None:
+        finish_limit = int(conf.get(CONF_FINISH_LIMIT, None) or FINISH_LIMIT)
+    if buckets is None:
+        buckets = int(conf.get(CONF_BUCKETS, None) or BUCKETS)
     keys = _as_list(by)
     probs = [float(p) for p in _as_list(probs)]
     for p in probs:
