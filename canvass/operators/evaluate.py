@@ -80,7 +80,8 @@ def macro_f1(df: DataFrame, label: str = "label", prediction: str = "prediction"
 
 
 class MacroF1Evaluator(Evaluator):
-    """Macro-averaged F1 for ``CrossValidator`` (MLlib's ``f1`` is support-weighted)."""
+    """Macro-averaged F1 as an MLlib ``Evaluator`` (MLlib's ``f1`` is
+    support-weighted), for users of ``CrossValidator``/``TrainValidationSplit``."""
 
     def __init__(self, labelCol: str = "label", predictionCol: str = "prediction"):
         super().__init__()

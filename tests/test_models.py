@@ -55,3 +55,9 @@ def test_silhouette_equals_mllib_evaluator(vectors):
     ref = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(
         assigned.withColumn("cluster", F.col("cluster").cast("double")))
     assert ours == pytest.approx(ref, rel=1e-9)
+
+
+def test_cross_validation_scores(responses_small):
+    rf = propensity.fit_forest(responses_small, num_trees=8, folds=3, cross_validate=True)
+    row = rf.cv_metrics.first()
+    assert row["folds"] == 3 and 0.0 < row["cv_macro_f1"] <= 1.0 and row["cv_macro_f1_std"] >= 0.0
