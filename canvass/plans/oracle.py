@@ -517,3 +517,24 @@ SELECT segment, count(*) AS respondents, count_if(adoption_class = 'High-Intent
        round(count_if(pilot_interest >= 4) * 100.0::DOUBLE / count(*), 6) AS pilot_pct,
        round(avg(hvac_pct_of_bill), 6) AS hvac_avg
 FROM responses WHERE segment IS NOT NULL GROUP BY segment""")
+
+
+def _bigint_counts(text: str) -> str:
+    """DuckDB types ``count_if`` as HUGEINT; Spark's is bigint. Rewrite each
+    ``count_if(cond)`` as ``count(*) FILTER (WHERE cond)`` (BIGINT)."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = text.find(key, i)
+        if j < 0:
+            out.append(text[i:])
+            return "".join(out)
+        depth, k = 1, j + len(key)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[k], 0)
+            k += 1
+        out.append(text[i:j])
+        out.append(f"count(*) FILTER (WHERE {_bigint_counts(text[j + len(key):k - 1])})")
+        i = k
+
+
+ORACLE = {name: _bigint_counts(text) for name, text in ORACLE.items()}
