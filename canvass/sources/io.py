@@ -14,9 +14,14 @@ from canvass.session import scratch_path
 from canvass.sources.schema import RESPONSES_SCHEMA
 
 
-def read_responses(spark: SparkSession, path: str, fmt: str = "parquet", header: bool = True) -> DataFrame:
-    """Read a survey file (CSV with a header row, or parquet) with the declared schema."""
-    reader = spark.read.schema(RESPONSES_SCHEMA)
+def read_responses(spark: SparkSession, path: str, fmt: str = "parquet", header: bool = True,
+                   schema=None) -> DataFrame:
+    """Read a survey file (CSV with a header row, or parquet) with the declared schema.
+
+    ``schema`` overrides the declared one, e.g. :func:`string_id_schema` for
+    files whose respondent ids are text.
+    """
+    reader = spark.read.schema(schema or RESPONSES_SCHEMA)
     if fmt == "csv":
         return reader.option("header", header).option("mode", "FAILFAST").csv(path)
     if fmt == "parquet":
@@ -36,3 +41,10 @@ def write_table(df: DataFrame, path: str | None = None, name: str = "table") ->
     path = path or scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return path
+
+
+def string_id_schema():
+    """The declared schema with a text ``respondent_id``."""
+    from pyspark.sql import types as T
+    return T.StructType([T.StructField(f.name, T.StringType(), False) if f.name == "respondent_id" else f
+                         for f in RESPONSES_SCHEMA.fields])
