@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canvass.functions.labels import grouped, money, percent_label, thousands_label
-from canvass.operators.quantile import _as_list, long_values, median_values, quantiles
-from canvass.plans.joins import join_small
+from canvass.operators.quantile import _as_list, long_values, quantiles
 
 
 def scoped(df: DataFrame, by) -> tuple[DataFrame, list[str]]:

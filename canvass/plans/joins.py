@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # this library broadcasts are per-group statistics, bracket tables and fixed
 # dimension tables: narrow rows, so this bounds the broadcast to a few MB.
 BROADCAST_MAX_ROWS = 200_000
+# Session setting overriding the bound (per cluster sizing).
+CONF_BROADCAST_MAX_ROWS = "spark.canvass.broadcast.maxRows"
 
 
 def materialize_small(df: DataFrame) -> tuple[DataFrame, int]:
@@ -19,13 +21,16 @@ def materialize_small(df: DataFrame) -> tuple[DataFrame, int]:
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+               max_rows: int | None = None) -> DataFrame:
     """Join ``big`` to a side expected to be small.
 
     The small side is persisted and counted first; it is broadcast only when it
-    has at most ``max_rows`` rows, otherwise the join is left to the planner
-    (sort-merge with AQE skew handling).
+    has at most ``max_rows`` rows (default: ``spark.canvass.broadcast.maxRows``
+    or 200,000), otherwise the join is left to the planner (sort-merge with
+    AQE skew handling).
     """
+    if max_rows is None:
+        max_rows = int(big.sparkSession.conf.get(CONF_BROADCAST_MAX_ROWS, None) or BROADCAST_MAX_ROWS)
     small, n = materialize_small(small)
     if n <= max_rows:
         return big.join(F.broadcast(small), on, how)
