@@ -50,7 +50,8 @@ def per_class(conf: DataFrame) -> DataFrame:
 def classification_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Rows per class plus 'accuracy', 'macro avg' and 'weighted avg'
     ``(label, precision, recall, f1_score, support)``, as sklearn's report dict."""
-    pc = per_class(confusion(df, label, prediction))
+    # one row per class, read by all four parts of the report: compute once
+    pc = per_class(confusion(df, label, prediction)).persist()
     classes = pc.select(F.col("cls").alias("label"), "precision", "recall", "f1_score",
                         F.col("support").cast("long").alias("support"))
     tot = pc.agg(F.sum("support").alias("n"), F.sum("tp").alias("tp"),
