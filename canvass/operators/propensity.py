@@ -4,7 +4,8 @@ random forest, cross-validated macro F1, importances, test-set report.
 The forest is MLlib's (distributed tree induction over binned features);
 cross-validation fits one forest per held-out fold;
 class weights are the balanced rule ``n / (k * n_c)`` joined on the class.
-Folds and the split come from id hashes (see :mod:`canvass.operators.split`).
+The split and the cross-validation folds are stratified cuts of an id hash
+(see :mod:`canvass.operators.split`).
 The numbers will be close to, not equal to, scikit-learn's: different
 splits, bootstrap draws and split finding.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from canvass.operators import evaluate
 from canvass.operators.clean import feature_matrix
-from canvass.operators.split import fold_ids, stratified_split
+from canvass.operators.split import stratified_folds, stratified_split
 from canvass.plans.joins import join_small
 from canvass.sources.schema import CLASSIFIER_FEATURES
 
@@ -62,7 +63,7 @@ def fit_forest(df: DataFrame, label_col: str = "adoption_class",
     weights = class_weights(matrix, label_col).select(label_col, "weight")
     data = join_small(matrix, weights, [label_col])
     data = VectorAssembler(inputCols=feats, outputCol="features").transform(data)
-    data = fold_ids(stratified_split(data, label_col, id_col, test_fraction, seed), id_col, folds)
+    data = stratified_folds(stratified_split(data, label_col, id_col, test_fraction, seed), label_col, id_col, folds)
     data = data.select(id_col, label_col, "label", "weight", "features", "is_test", "fold") \
         .persist(StorageLevel.MEMORY_AND_DISK)
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight",

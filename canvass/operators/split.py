@@ -54,3 +54,22 @@ def stratified_split(df: DataFrame, label: str, id_col: str = "respondent_id",
 def fold_ids(df: DataFrame, id_col: str = "respondent_id", folds: int = 5, seed: int = 7) -> DataFrame:
     """Adds an int ``fold`` in [0, folds) for cross-validation."""
     return df.withColumn("fold", F.floor(unit_hash(id_col, seed) * F.lit(folds)).cast("int"))
+
+
+def stratified_folds(df: DataFrame, label: str, id_col: str = "respondent_id", folds: int = 5,
+                     seed: int = 7) -> DataFrame:
+    """L4's folds: adds an int ``fold`` in [0, folds) so that inside each class
+    the folds are equal slices of the id hash (cut at the class's exact
+    1/folds, 2/folds, ... quantiles), as stratified k-fold keeps class
+    shares. Thresholds per class are folds - 1 numbers, joined on the class;
+    rows without a class get fold 0."""
+    from canvass.operators.quantile import quantiles
+    from canvass.plans.joins import join_small
+    d = df.withColumn("_u", unit_hash(id_col, seed))
+    cuts = [i / folds for i in range(1, folds)]
+    q = quantiles(d, ["_u"], cuts, [label])
+    thr = q.groupBy(label).agg(F.array_sort(F.collect_list("value")).alias("_cuts"))
+    out = join_small(d, thr, [label], "left")
+    fold = F.size(F.filter(F.col("_cuts"), lambda t: t < F.col("_u")))
+    return out.withColumn("fold", F.coalesce(F.when(F.col("_cuts").isNotNull(), fold), F.lit(0)).cast("int")) \
+        .drop("_u", "_cuts")

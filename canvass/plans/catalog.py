@@ -323,6 +323,11 @@ def q_stratified_split(spark, sf_dir):
     return s.groupBy("adoption_class", "is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
+def q_cv_folds(spark, sf_dir):
+    f = split.stratified_folds(loaded(spark, sf_dir), "adoption_class", folds=5)
+    return f.groupBy("adoption_class", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
 def q_random_split(spark, sf_dir):
     s = split.random_split(loaded(spark, sf_dir))
     return s.select("respondent_id", "is_test")
@@ -552,6 +557,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "class_weights": q_class_weights,
     "stratified_split": q_stratified_split,
     "random_split": q_random_split,
+    "cv_folds": q_cv_folds,
     "confusion_fixed_rule": q_confusion_fixed_rule,
     "report_fixed_rule": q_report_fixed_rule,
     "macro_f1_fixed_rule": q_macro_f1_fixed_rule,

@@ -426,6 +426,13 @@ t AS (SELECT adoption_class, quantile_cont(u, 0.25) AS t FROM u WHERE adoption_c
 SELECT adoption_class, COALESCE(u <= t, false) AS is_test, count(*) AS n
 FROM u LEFT JOIN t USING (adoption_class) GROUP BY ALL""")
 
+ORACLE["cv_folds"] = sql(f"""
+, u AS (SELECT adoption_class, {_U.format(seed=7)} AS u FROM imputed),
+t AS (SELECT adoption_class, quantile_cont(u, [0.2, 0.4, 0.6, 0.8]) AS cuts FROM u
+      WHERE adoption_class IS NOT NULL GROUP BY 1)
+SELECT adoption_class, CAST(COALESCE(len(list_filter(cuts, lambda c: c < u)), 0) AS INTEGER) AS fold, count(*) AS n
+FROM u LEFT JOIN t USING (adoption_class) GROUP BY ALL""")
+
 ORACLE["random_split"] = sql(f"""
 SELECT respondent_id, {_U.format(seed=42)} < 0.25::DOUBLE AS is_test FROM imputed""")
 

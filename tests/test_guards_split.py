@@ -34,3 +34,11 @@ def test_splits_deterministic_and_stratified(responses_small):
     b = [r[0] for r in split.random_split(responses_small.repartition(3)).where("is_test")
          .select("respondent_id").orderBy("respondent_id").collect()]
     assert a == b and 0.2 < len(a) / 1500 < 0.3
+
+
+def test_stratified_folds_balance_each_class(responses_small):
+    f = split.stratified_folds(responses_small, "adoption_class", folds=5).cache()
+    counts = {(r[0], r[1]): r[2] for r in f.groupBy("adoption_class", "fold").count().collect()}
+    for cls in ("Evaluator", "High-Intent Buyer", "Not Ready"):
+        sizes = [counts.get((cls, i), 0) for i in range(5)]
+        assert max(sizes) - min(sizes) <= 2, (cls, sizes)
