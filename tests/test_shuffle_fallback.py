@@ -14,9 +14,13 @@ JOINING = ["box_outliers", "hist_wtp_by_class", "rules_all", "stratified_split",
 
 @pytest.fixture()
 def no_broadcast(spark):
+    # cached relations from earlier tests keep the physical plans they were
+    # built with; start clean so every join is planned under the new bound
+    spark.catalog.clearCache()
     spark.conf.set("spark.canvass.broadcast.maxRows", "0")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield
+    spark.catalog.clearCache()
     spark.conf.unset("spark.canvass.broadcast.maxRows")
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
