@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 
 from canvass.operators.clean import feature_matrix
 from canvass.operators.split import random_split
+from canvass.session import checkpoint_dir
 from canvass.sources.schema import REGRESSION_FEATURES
 
 
@@ -38,13 +38,14 @@ def fit_boosting(df: DataFrame, target: str = "wtp_aed_per_building",
     m = feature_matrix(df.where(F.col(target).isNotNull()), feats, keep=(id_col, target))
     m = m.withColumn("y", F.log1p(target))
     m = VectorAssembler(inputCols=feats, outputCol="features").transform(m)
+    checkpoint_dir(df.sparkSession)
     m = random_split(m, id_col, test_fraction, seed).select(id_col, "y", "features", "is_test") \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        .checkpoint(eager=True)
     gbt = GBTRegressor(featuresCol="features", labelCol="y", maxIter=rounds, stepSize=step,
                        maxDepth=depth, seed=seed)
     model = gbt.fit(m.where(~F.col("is_test")))
     preds = model.transform(m.where(F.col("is_test"))).select(id_col, "y", "prediction") \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        .checkpoint(eager=True)
     spark = df.sparkSession
     imp = spark.createDataFrame([(f, float(v)) for f, v in zip(feats, model.featureImportances.toArray())],
                                 "feature string, importance double")

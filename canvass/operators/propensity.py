@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +24,7 @@ from canvass.operators import evaluate
 from canvass.operators.clean import feature_matrix
 from canvass.operators.split import stratified_folds, stratified_split
 from canvass.plans.joins import join_small
+from canvass.session import checkpoint_dir
 from canvass.sources.schema import CLASSIFIER_FEATURES
 
 
@@ -64,8 +64,11 @@ def fit_forest(df: DataFrame, label_col: str = "adoption_class",
     data = join_small(matrix, weights, [label_col])
     data = VectorAssembler(inputCols=feats, outputCol="features").transform(data)
     data = stratified_folds(stratified_split(data, label_col, id_col, test_fraction, seed), label_col, id_col, folds)
+    # every fit (final + one per fold) reads this matrix: write it once to the
+    # shared checkpoint folder, which also cuts the long preparation lineage
+    checkpoint_dir(df.sparkSession)
     data = data.select(id_col, label_col, "label", "weight", "features", "is_test", "fold") \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        .checkpoint(eager=True)
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight",
                                 numTrees=num_trees, maxDepth=max_depth, seed=seed,
                                 featureSubsetStrategy="sqrt")
@@ -74,7 +77,7 @@ def fit_forest(df: DataFrame, label_col: str = "adoption_class",
     names = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
     # Test predictions feed several report tables: score the forest once.
     preds = model.transform(data.where(F.col("is_test"))).select(
-        id_col, F.col(label_col).alias("actual"), names.alias("predicted")).persist(StorageLevel.MEMORY_AND_DISK)
+        id_col, F.col(label_col).alias("actual"), names.alias("predicted")).checkpoint(eager=True)
     spark: SparkSession = df.sparkSession
     imp = spark.createDataFrame([(f, float(v)) for f, v in zip(feats, model.featureImportances.toArray())],
                                 "feature string, importance double")
