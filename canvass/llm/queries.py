@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_filter
+from . import archives, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +30,23 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through ARC and WARC files and back."""
+    found = archives.round_trip(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of encoded lengths of all documents with its sums."""
+    lengths = token_counts.encoded_lengths(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return token_counts.histogram(lengths)
+
+
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op7_warc": op7_warc,
+    "op8_token_counts": op8_token_counts,
 }
 
 _A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -51,5 +67,14 @@ fits AS (
     ON (p.host = u.rule_host OR ends_with(p.host, '.' || u.rule_host)) AND starts_with(p.path, u.rule_path))
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
 FROM parts p LEFT JOIN fits f ON f.r = p.r AND f.k = 1
+""",
+    "op7_warc": """
+WITH p AS (SELECT row_number() OVER () AS r, page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT r, page_id, octet_length(b) AS n, sha256(b) AS digest FROM p),
+f AS (SELECT digest, min(page_id) AS first FROM h WHERE n >= 100 GROUP BY digest)
+SELECT h.page_id, h.n AS payload_bytes, h.digest AS payload_digest,
+       CASE WHEN h.page_id <> f.first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN h.page_id <> f.first THEN f.first END AS refers_to
+FROM h LEFT JOIN f ON h.digest = f.digest AND h.n >= 100
 """,
 }
