@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, token_counts, url_filter
+from . import archives, bpe, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +43,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.histogram(lengths)
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the tokens of every whole document, and of their decoded text."""
+    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op7_warc": op7_warc,
     "op8_token_counts": op8_token_counts,
+    "op10_bpe": op10_bpe,
 }
 
 _A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
