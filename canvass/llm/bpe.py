@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks
 
@@ -201,7 +202,6 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     Null and empty texts have no tokens. The strings of special tokens in a
     text become those tokens. A column that is already named ``ids`` is replaced."""
     docs = docs.drop(ids)
-    fields = [f for f in docs.schema.fields]
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(path))
@@ -210,8 +210,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, ids])
 
-    schema = docs.schema.__class__(fields).add(ids, "array<int>")
-    return docs.mapInArrow(rows, schema)
+    return docs.mapInArrow(rows, T.StructType([*docs.schema, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -226,7 +225,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "text") -
             texts = [b"".join(map(of, (x.values.to_numpy() if x.is_valid else ()))).decode("utf-8", "replace") for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
 
-    return tokens.mapInArrow(rows, tokens.schema.__class__(list(tokens.schema.fields)).add(text, "string"))
+    return tokens.mapInArrow(rows, T.StructType([*tokens.schema, T.StructField(text, T.StringType())]))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
