@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, bpe, decontaminate, token_counts, url_filter
+from . import archives, bpe, decontaminate, language, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,14 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("near_items").cast("long").alias("n_near_items"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3))
+    model = language.fit(docs.where(fold != 1))
+    return language.predict(docs.select("doc_id", (fold == 1).alias("held_out"), "text"), model).drop("text")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through ARC and WARC files and back."""
     found = archives.round_trip(_table(spark, sf_dir, "pages"))
@@ -61,6 +69,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_decontaminate": op3_decontaminate,
+    "op5_language": op5_language,
     "op7_warc": op7_warc,
     "op8_token_counts": op8_token_counts,
     "op10_bpe": op10_bpe,
