@@ -83,8 +83,9 @@ class Words:
         self.script = script[points[self.starts]] if len(self.starts) else np.zeros(0, np.uint8)
         self.letters = self.ends - self.starts
 
-    def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(slot, word) of all n-grams by length; a word has one blank at each end."""
+    def grams(self, lengths: tuple[int, ...] = LENGTHS, n_slots: int = SLOTS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(slot, word) of all n-grams by length; a word has one blank at each end.
+        ``n_slots`` is a power of 2."""
         n = len(self.starts)
         sizes = self.letters + 2
         at = np.cumsum(sizes) - sizes
@@ -94,11 +95,11 @@ class Words:
         blank = (inside == 0) | (inside == sizes[word] - 1)
         symbol = np.where(blank, 32, self.points[np.clip(source, 0, len(self.points) - 1)]).astype(np.uint64)
         code = np.zeros(len(symbol), np.uint64)
-        for k in range(max(LENGTHS)):
+        for k in range(max(lengths)):
             code = code[:len(symbol) - k] * np.uint64(0x110003) + symbol[k:] if k else symbol + np.uint64(1)
             fits = inside[:len(code)] + k < sizes[word[:len(code)]]
-            if k + 1 in LENGTHS:
-                slots = (mix64(code + np.uint64(k)) >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
+            if k + 1 in lengths:
+                slots = (mix64(code + np.uint64(k)) >> np.uint64(20)).astype(np.int64) & (n_slots - 1)
                 yield slots[fits], word[:len(code)][fits]
 
 

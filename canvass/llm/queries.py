@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, bpe, decontaminate, language, token_counts, url_filter
+from . import archives, bpe, decontaminate, language, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("near_items").cast("long").alias("n_near_items"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probabilities along the chain, and whether it is toxic."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    models = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.predict(docs, models).select("doc_id", "p_low_quality", "p_toxic", "is_toxic")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that aren't held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -69,6 +76,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_decontaminate": op3_decontaminate,
+    "op4_toxicity": op4_toxicity,
     "op5_language": op5_language,
     "op7_warc": op7_warc,
     "op8_token_counts": op8_token_counts,
