@@ -80,3 +80,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+#: Bytes up to which a counted table is sent to every task.
+BROADCAST_BYTES = 32 << 20
+
+
+def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows fit ``limit``; without one
+    otherwise, so that the join shuffles. Give a written or cheap table."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, bpe, decontaminate, language, token_counts, toxicity, url_filter
+from . import archives, bpe, decontaminate, language, near_dedup, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.histogram(lengths)
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose shingle sets are at least 85 % alike."""
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), 85)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the tokens of every whole document, and of their decoded text."""
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -80,6 +85,7 @@ QUERIES = {
     "op5_language": op5_language,
     "op7_warc": op7_warc,
     "op8_token_counts": op8_token_counts,
+    "op9_minhash": op9_minhash,
     "op10_bpe": op10_bpe,
 }
 
