@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, bpe, decontaminate, language, near_dedup, token_counts, toxicity, url_filter
+from . import archives, bpe, decontaminate, language, near_dedup, token_counts, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", (fold == 1).alias("held_out"), "text"), model).drop("text")
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows of every vector whose id is divisible by 20."""
+    vectors = topk.integers(_table(spark, sf_dir, "embeddings"), 64)
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through ARC and WARC files and back."""
     found = archives.round_trip(_table(spark, sf_dir, "pages"))
@@ -83,6 +89,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_toxicity": op4_toxicity,
     "op5_language": op5_language,
+    "op6_topk": op6_topk,
     "op7_warc": op7_warc,
     "op8_token_counts": op8_token_counts,
     "op9_minhash": op9_minhash,
@@ -116,5 +123,15 @@ SELECT h.page_id, h.n AS payload_bytes, h.digest AS payload_digest,
        CASE WHEN h.page_id <> f.first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN h.page_id <> f.first THEN f.first END AS refers_to
 FROM h LEFT JOIN f ON h.digest = f.digest AND h.n >= 100
+""",
+    "op6_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """,
 }
