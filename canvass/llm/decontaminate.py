@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, written
+from .common import chunks, sized, written
 
 WINDOW = 10
 SLOP = 3
@@ -59,7 +59,7 @@ def build_index(docs: DataFrame, gap: int) -> DataFrame:
                 term_of.append(np.fromiter(map(index.__getitem__, found), np.int32, len(found)))
                 starts.append(at)
                 sizes.append(len(found))
-                digests.append(hashlib.blake2b(text.encode() if text else b"", digest_size=16).digest())
+                digests.append(hashlib.sha256(text.encode() if text else b"").digest())
                 at += len(found) + gap
             terms = sorted(index)
             rank = np.zeros(len(terms), np.int32)
@@ -207,6 +207,8 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without any hit word, with their own columns."""
-    hit = matches(docs, items).where("contaminated").select(F.col("doc_id").alias("hit_id")).where("hit_id is not null").distinct()
-    return docs.join(hit, docs["doc_id"] == hit["hit_id"], "left_anti")
+    """The documents (text and any other columns) without a hit word. Whether a
+    text is hit depends on it alone, so rows leave by their text's digest."""
+    hit = written(matches(docs, items).where("contaminated").select(F.col("digest").alias("hit")).distinct(), "hits")
+    own = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    return docs.join(sized(hit, 48), own == F.col("hit"), "left_anti")

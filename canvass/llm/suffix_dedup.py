@@ -289,28 +289,46 @@ def repeats(docs: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
-def _removed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "text"):
-        kept, removed = [], []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-            data, merged = (text or "").encode(), []
-            for lo, hi in sorted((s["lo"], min(s["hi"], len(data))) for s in spans or ()):
-                if merged and lo <= merged[-1][1]:
-                    merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
-                elif lo < hi:
-                    merged.append((lo, hi))
-            ends = [0, *(x for span in merged for x in span), len(data)]
-            kept.append(b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2])))
-            removed.append([{"lo": a, "hi": b} for a, b in merged])
-        kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-        at = batch.schema.get_field_index("spans")
-        out = batch.set_column(at, pa.field("spans", kind), pa.array(removed, kind))
-        yield out.append_column("kept", pa.array(kept, pa.binary()))
-
-
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def _whole(data: bytes, lo: int, hi: int) -> tuple[int, int]:
+    """The span without characters that it covers in part."""
+    while lo < hi and data[lo] & 0xC0 == 0x80:
+        lo += 1
+    while lo < hi < len(data) and data[hi] & 0xC0 == 0x80:
+        hi -= 1
+    return lo, hi
+
+
+def _removed(characters: bool):
+    def rows(batches):
+        for batch in chunks(batches, "text"):
+            yield _without(batch, characters)
+    return rows
+
+
+def _without(batch: pa.RecordBatch, characters: bool) -> pa.RecordBatch:
+    kept, removed = [], []
+    for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+        data, merged = (text or "").encode(), []
+        for lo, hi in sorted((s["lo"], min(s["hi"], len(data))) for s in spans or ()):
+            if merged and lo <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
+            elif lo < hi:
+                merged.append((lo, hi))
+        if characters:
+            merged = [s for s in (_whole(data, *s) for s in merged) if s[0] < s[1]]
+        ends = [0, *(x for span in merged for x in span), len(data)]
+        kept.append(b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2])))
+        removed.append([{"lo": a, "hi": b} for a, b in merged])
+    kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+    at = batch.schema.get_field_index("spans")
+    out = batch.set_column(at, pa.field("spans", kind), pa.array(removed, kind))
+    return out.append_column("kept", pa.array(kept, pa.binary()))
+
+
+def remove_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
     """``docs`` with spans, the maximal runs [lo, hi) of removed bytes in order,
-    and kept, the bytes that remain.
+    and kept, the bytes that remain. With ``characters`` a run ends at whole
+    characters (one that is covered in part stays), so kept is UTF-8.
 
     Null texts are empty. Rows with a null doc_id have no place in the order:
     they keep everything and make nothing a repeat. Rows that share a doc_id are
@@ -321,4 +339,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = F.broadcast(found) if total * 24 <= 16 << 20 else found
     span = T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))
     both = docs.join(found, docs["doc_id"] == found["found_id"], "left").drop("found_id")
-    return both.mapInArrow(_removed, T.StructType([*docs.schema, T.StructField("spans", span), T.StructField("kept", T.BinaryType())]))
+    return both.mapInArrow(_removed(characters), T.StructType([*docs.schema, T.StructField("spans", span), T.StructField("kept", T.BinaryType())]))

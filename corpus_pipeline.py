@@ -1,7 +1,74 @@
-"""Training-data pipeline (stages follow)."""
-STAGES = []
+"""Training-data pipeline over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
+before it kept; ``run`` writes every stage's result as Parquet in the shared
+folder and reads it back as the next one's input.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from canvass.llm import bpe, decontaminate, near_dedup, suffix_dedup, toxicity
+from canvass.llm.common import written
+
+#: Five-word shingle sets at least this much alike are near-duplicates.
+NEAR_PERCENT = 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier chain, fitted on the labelled ones of
+    them, doesn't call toxic."""
+    models = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.predict(docs, models).where(~F.col("is_toxic")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest doc_id."""
+    return near_dedup.deduplicate(docs, NEAR_PERCENT).select(*docs.columns)
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of repeated 100-byte strings, in whole
+    characters; n_chars follows the text. Null texts stay null."""
+    done = suffix_dedup.remove_repeats(docs, characters=True)
+    text = F.when(F.col("text").isNotNull(), F.col("kept").cast("string"))
+    done = done.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return done.select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that have no window of a benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the ids of their tokens, their number, and the text
+    that the ids decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    done = bpe.decode(bpe.encode(docs, path), path, text="decoded")
+    return done.withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("suffix_dedup", remove_repeats),
+    ("decontamination", drop_contaminated),
+    ("bpe", tokenize),
+]
+
+#: The stages are models, connected components, string merges and merges of symbols: no SQL states them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of ``sf_dir`` after all stages."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
