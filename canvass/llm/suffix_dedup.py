@@ -167,8 +167,9 @@ def merge(strings: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.nd
         text = np.frombuffer(b"\xff".join([*(strings[k] for k in own), b""]), np.uint8) + np.uint8(1)
         order = suffix_order(text, length)
         transform = text[order - 1]
-        step = np.empty(len(text), np.int64)
-        step[np.argsort(transform, kind="stable")] = np.arange(base, base + len(text))
+        rank = np.empty(len(text), np.int64)
+        rank[order] = np.arange(base, base + len(text))
+        step = rank[order - 1]  # the row of the suffix one byte longer (the transform's last-to-first mapping)
         transforms.append(transform)
         steps.append(step)
         positions.append(order + base)
@@ -334,9 +335,9 @@ def remove_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
     they keep everything and make nothing a repeat. Rows that share a doc_id are
     one document, repeated. Columns of these names in ``docs`` are replaced."""
     docs = docs.drop("spans", "kept")
-    found = written(repeats(docs).withColumnRenamed("doc_id", "found_id"), "spans")
+    found = written(repeats(docs).withColumnRenamed("doc_id", "_found_id"), "spans")
     total = found.agg(F.sum(F.size("spans"))).first()[0] or 0
     found = F.broadcast(found) if total * 24 <= 16 << 20 else found
     span = T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))
-    both = docs.join(found, docs["doc_id"] == found["found_id"], "left").drop("found_id")
+    both = docs.join(found, docs["doc_id"] == found["_found_id"], "left").drop("_found_id")
     return both.mapInArrow(_removed(characters), T.StructType([*docs.schema, T.StructField("spans", span), T.StructField("kept", T.BinaryType())]))
