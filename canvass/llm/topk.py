@@ -37,11 +37,11 @@ _BLOCK = "block long, dim int, ids binary, data binary"
 
 def integers(vectors: DataFrame, scale: int, vector: str = "embedding") -> DataFrame:
     """(vec_id, v): floor(scale * x) of each component x, as array<long>. Vectors
-    that are null or hold a null or non-finite component take no part, nor do
-    null ids; of rows with one id the smallest vector counts."""
+    that are null or empty or hold a null or non-finite component take no part,
+    nor do null ids; of rows with one id the smallest vector counts."""
     x = F.col(vector)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    kept = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & finite)
+    kept = vectors.where(F.col("vec_id").isNotNull() & (F.size(x) > 0) & finite)
     v = F.transform(x, lambda c: F.floor(F.lit(scale) * c.cast("double")).cast("long"))
     return kept.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
@@ -134,12 +134,8 @@ def _search(k: int):
     def rows(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                if not r["dim"]:
-                    ids, qids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
-                    data, queries = np.zeros((len(ids), 1), np.int64), np.zeros((len(qids), 1), np.int64)
-                else:
-                    ids, data = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["data"], np.int64).reshape(-1, r["dim"])
-                    qids, queries = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_data"], np.int64).reshape(-1, r["dim"])
+                ids, data = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["data"], np.int64).reshape(-1, r["dim"])
+                qids, queries = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_data"], np.int64).reshape(-1, r["dim"])
                 who, place, value = block_top(qids, queries, ids, data, k)
                 yield pa.RecordBatch.from_arrays([pa.array(qids[who]), pa.array(ids[place]), pa.array(value.astype(np.int64))], ["query_id", "vec_id", "score"])
     return rows
