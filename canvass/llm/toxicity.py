@@ -33,6 +33,7 @@ SAMPLE_PER_LABELS = 3000
 FOLDS = 3
 SLOTS = 1 << 19
 LENGTHS = (4, 5)
+LEVELS = (2, 3, 5)
 #: n-grams a model selects at most, and the least chi-square value.
 SELECTED = 400
 LEAST_CHI2 = 20.0
@@ -40,10 +41,14 @@ THRESHOLD = 0.5
 
 
 def _text_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (text, slot) pairs of the texts' n-grams."""
+    """The distinct (text, slot) pairs of the texts' n-grams; an n-gram that a
+    text repeats has a slot more for each of ``LEVELS`` that its count reaches."""
     words = Words(texts)
     keys = [words.text[word] * SLOTS + slots for slots, word in words.grams(LENGTHS, SLOTS)]
-    keys = np.unique(np.concatenate(keys))
+    keys, n = np.unique(np.concatenate(keys), return_counts=True)
+    text, slot = keys // SLOTS, keys % SLOTS
+    more = [(text[n >= k], (slot[n >= k] * 31 + k * 7919) % SLOTS) for k in LEVELS]
+    keys = np.unique(np.concatenate([keys, *(t * SLOTS + s for t, s in more)]))
     return keys // SLOTS, keys % SLOTS
 
 
@@ -86,24 +91,24 @@ def _select(yes: np.ndarray, no: np.ndarray, n_yes: int, n_no: int) -> np.ndarra
     return np.sort(top[chi2[top] >= LEAST_CHI2])
 
 
-def _fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 2e-4, steps: int = 250) -> np.ndarray:
+def _fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 5e-4, steps: int = 200) -> np.ndarray:
     """Logistic regression, both classes with equal weight; Nesterov steps. The
     last weight is the intercept."""
-    x = np.c_[x, np.ones(len(x))]
-    weight = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum()))
-    v = np.ones(x.shape[1])  # the largest eigenvalue, for the step
+    x = np.c_[x, np.ones(len(x))].astype(np.float32)
+    weight = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum())).astype(np.float32)
+    v = np.ones(x.shape[1], np.float32)  # the largest eigenvalue, for the step
     for _ in range(15):
         v = x.T @ (weight * (x @ v))
         largest = np.linalg.norm(v)
         v /= largest or 1
     step = 1 / (0.25 * largest + ridge)
-    w = ahead = np.zeros(x.shape[1])
+    w = ahead = np.zeros(x.shape[1], np.float32)
     for k in range(steps):
         p = _sigmoid(x @ ahead)
         pull = x.T @ (weight * (p - y)) + ridge * np.r_[ahead[:-1], 0]
-        before, w = w, ahead - step * pull
-        ahead = w + k / (k + 3) * (w - before)
-    return w
+        before, w = w, (ahead - step * pull).astype(np.float32)
+        ahead = w + np.float32(k / (k + 3)) * (w - before)
+    return w.astype(float)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -182,8 +187,8 @@ def _predict(model: bytes):
             for m, place in zip(chain, places):
                 n, found = len(m["slots"]), place[slot]
                 hit = found >= 0
-                z = np.bincount(text[hit], weights=m["weights"][found[hit]], minlength=batch.num_rows)
-                z += earlier @ m["weights"][n:-1] + m["weights"][-1]
+                z = earlier @ m["weights"][n:-1] + m["weights"][-1]
+                z = z + np.bincount(text[hit], weights=m["weights"][found[hit]], minlength=batch.num_rows)
                 earlier = np.c_[earlier, _sigmoid(z)]
             columns = [pa.array(earlier[:, j].copy()) for j in range(len(chain))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *(f"p_{c}" for c, _ in CATEGORIES)])
