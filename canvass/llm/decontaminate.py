@@ -209,6 +209,6 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents (text and any other columns) without a hit word. Whether a
     text is hit depends on it alone, so rows leave by their text's digest."""
-    hit = written(matches(docs, items).where("contaminated").select(F.col("digest").alias("hit")).distinct(), "hits")
+    hit = written(matches(docs, items).where("contaminated").select(F.col("digest").alias("_hit")).distinct(), "hits")
     own = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    return docs.join(sized(hit, 48), own == F.col("hit"), "left_anti")
+    return docs.join(sized(hit, 48), own == F.col("_hit"), "left_anti")

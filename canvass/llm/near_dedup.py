@@ -212,5 +212,5 @@ def near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
 
 def deduplicate(docs: DataFrame, percent: int) -> DataFrame:
     """The documents but those that a smaller doc_id of their component stands for."""
-    gone = written(near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(sized(gone, 16), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    gone = written(near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")).distinct(), "gone")
+    return docs.join(sized(gone, 16), docs["doc_id"] == F.col("_gone_id"), "left_anti")

@@ -93,8 +93,8 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", default: str =
         ["rule_host", "rule_path"])
     rule = F.concat("rule_host", "rule_path")
     best = exact.groupBy("host", "path").agg(
-        F.min(F.struct((-F.length(rule)).alias("size"), rule.alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("best"))
+        F.min(F.struct((-F.length(rule)).alias("size"), rule.alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("_best"))
 
     return seen.join(best, ["host", "path"], "left").select(
-        *own, "host", "path", F.col("best.rule").alias("rule"),
-        F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
+        *own, "host", "path", F.col("_best.rule").alias("rule"),
+        F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict"))
