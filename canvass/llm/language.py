@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, mix64
+from .common import chunks, mix64, sized
 
 #: Documents per language that the model is fitted on (about), n-gram slots and lengths.
 SAMPLE_PER_LANGUAGE = 1500
@@ -109,7 +109,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict:
     docs = docs.select("text", "lang").where("text is not null and lang is not null")
     sizes = docs.groupBy("lang").agg(F.count("*").alias("n"))
     chosen = F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1 << 30)) < F.lit(float(per_language << 30)) / F.col("n")
-    sample = docs.join(sizes, "lang").where(chosen).select("text", "lang")
+    sample = docs.join(sized(sizes, 64), "lang").where(chosen).select("text", "lang")
     rows = sample.mapInArrow(_counts, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).collect()
 
     languages = sorted({r.lang for r in rows})
