@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, written
 
 #: Lengths per block of the two-level sums.
 BLOCK = 1024
@@ -52,7 +52,8 @@ def histogram(lengths: DataFrame) -> DataFrame:
     share is docs_up_to over all documents (null for an empty table);
     next_length is the next length that occurs (null at the last)."""
     spark = lengths.sparkSession
-    counts = (lengths.groupBy("length").agg(F.count("*").alias("n_docs"))
+    found = written(lengths.groupBy("length").agg(F.count("*").alias("n_docs")), "lengths")
+    counts = (found
               .unionByName(spark.range(1).select(F.lit(0).cast("long").alias("length"), F.lit(0).cast("long").alias("n_docs")))
               .groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
               .withColumn("n_tokens", F.col("length") * F.col("n_docs"))
