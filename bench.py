@@ -24,6 +24,7 @@ HEADLINE = [
     "hist_bill", "hist_wtp_by_class", "box_bill", "box_outliers", "prospect_quadrants", "lead_table",
     "frequent_itemsets", "rules_top20", "scenario_by_segment", "stratified_split", "scaled_matrix",
     "silhouette_given_labels", "kmeans_assignments",
+    "elbow", "pca_variance", "silhouette_kmeans", "cluster_profile", "rf_cv_macro_f1", "rf_report", "gbt_metrics",
 ]
 
 

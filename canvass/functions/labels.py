@@ -106,16 +106,3 @@ def lookup(x, mapping: Mapping, default=None) -> Column:
 def prefix(x, n: int) -> Column:
     """First ``n`` characters (``s[:n]``)."""
     return F.substring(_c(x), 1, n)
-
-
-def join_set(x, sep: str = ", ") -> Column:
-    """A set (array) as sorted text: ``', '.join(sorted(s))``."""
-    return F.array_join(F.array_sort(_c(x)), sep)
-
-
-def log1p(x) -> Column:
-    return F.log1p(_c(x))
-
-
-def expm1(x) -> Column:
-    return F.expm1(_c(x))

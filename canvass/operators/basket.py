@@ -4,8 +4,8 @@ Itemsets come from MLlib's parallel FP-growth. Rules are built here, because
 MLlib's ``associationRules`` only emits single-item consequents: every
 frequent itemset of size m >= 2 is split by each bit mask 1 .. 2^m - 2 into an
 antecedent and the remaining consequent (``explode`` of a ``sequence``), and
-both sides' supports come from two joins to the itemset table (broadcast
-after a size check). Every itemset's subsets are frequent too, so both joins
+both sides' supports come from two joins to the written itemset table (broadcast
+if its files are small). Every itemset's subsets are frequent too, so both joins
 always find a partner.
 
 Metrics: support s = freq/n of the union, confidence = s / s(A),
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from canvass.functions.labels import item_name, round_half_even
 from canvass.operators.leads import top_n
-from canvass.plans.joins import join_small
+from canvass.plans.joins import stored
 from canvass.sources.schema import BASKET_COLS
 
 ITEM_SEP = ", "
@@ -54,21 +54,27 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.15,
 
 
 def association_rules(itemsets: DataFrame, min_lift: float = 1.2) -> DataFrame:
-    """Every rule A => C with A, C non-empty, disjoint and A u C frequent, lift >= ``min_lift``."""
+    """Every rule A => C with A, C non-empty, disjoint and A u C frequent, lift >= ``min_lift``.
+
+    The sides are sorted item arrays (``antecedent_items``, ``consequent_items``)
+    and joined to the supports as such; ``antecedents`` and ``consequents`` are
+    their texts, for display. An itemset may have up to 62 items.
+    """
     multi = itemsets.where(F.col("size") >= 2).select(
         "items", "support",
-        F.explode(F.sequence(F.lit(1), (F.pow(F.lit(2), F.col("size")) - 2).cast("int"))).alias("mask"))
-    ante = F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1) = 1)")
-    cons = F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1) = 0)")
-    split = multi.select(F.array_join(ante, ITEM_SEP).alias("antecedents"),
-                         F.array_join(cons, ITEM_SEP).alias("consequents"), "support")
-    side = itemsets.select("itemset", "support")
-    a = side.select(F.col("itemset").alias("antecedents"), F.col("support").alias("antecedent_support"))
-    c = side.select(F.col("itemset").alias("consequents"), F.col("support").alias("consequent_support"))
-    rules = join_small(join_small(split, a, "antecedents"), c, "consequents")
+        F.explode(F.expr("sequence(1L, shiftleft(1L, size) - 2L)")).alias("mask"))
+    ante = F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1L) = 1L)")
+    cons = F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1L) = 0L)")
+    split = multi.select(ante.alias("antecedent_items"), cons.alias("consequent_items"), "support")
+    sides = stored(itemsets.select("items", "support"), "supports")
+    a = sides.select(F.col("items").alias("antecedent_items"), F.col("support").alias("antecedent_support"))
+    c = sides.select(F.col("items").alias("consequent_items"), F.col("support").alias("consequent_support"))
+    rules = split.join(a, "antecedent_items").join(c, "consequent_items")
     sa, sc, s = F.col("antecedent_support"), F.col("consequent_support"), F.col("support")
     return rules.select(
-        "antecedents", "consequents", "antecedent_support", "consequent_support", "support",
+        "antecedent_items", "consequent_items",
+        F.array_join("antecedent_items", ITEM_SEP).alias("antecedents"),
+        F.array_join("consequent_items", ITEM_SEP).alias("consequents"), "antecedent_support", "consequent_support", "support",
         (s / sa).alias("confidence"), (s / (sa * sc)).alias("lift"),
         (s - sa * sc).alias("leverage"),
     ).where(F.col("lift") >= min_lift)
@@ -76,7 +82,7 @@ def association_rules(itemsets: DataFrame, min_lift: float = 1.2) -> DataFrame:
 
 def rule_order():
     return [F.col("lift").desc(), F.col("confidence").desc(), F.col("antecedents").asc(),
-            F.col("consequents").asc()]
+            F.col("consequents").asc(), F.col("antecedent_items").asc(), F.col("consequent_items").asc()]
 
 
 def top_rules(rules: DataFrame, n: int = 20) -> DataFrame:

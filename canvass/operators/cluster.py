@@ -30,23 +30,21 @@ from pyspark.sql import functions as F
 
 from canvass.functions.labels import lookup
 from canvass.operators.clean import feature_matrix
+from canvass.session import checkpoint_dir
 from canvass.sources.schema import CLUSTER_FEATURES
 
-# Display names for clusters 0..4 (after renumbering by size).
-CLUSTER_NAMES = {
-    0: "Cost-Sensitive Conventionalists",
-    1: "Tech-Forward Innovators",
-    2: "Compliance-Led Adopters",
-    3: "Mid-Market Evaluators",
-    4: "Passive Resistors",
-}
+
+def _named(cluster):
+    return F.concat(F.lit("Cluster "), cluster.cast("string"))
 
 
 def scaled_matrix(df: DataFrame, features: Sequence[str] = CLUSTER_FEATURES,
-                  id_col: str = "respondent_id") -> DataFrame:
-    """Imputed features standardised to mean 0 and population std 1."""
-    feats = list(features)
-    m = feature_matrix(df, feats, keep=(id_col,))
+                  id_col: str = "respondent_id", keep: dict[str, str] | None = None) -> DataFrame:
+    """Imputed features standardised to mean 0 and population std 1.
+
+    ``keep`` carries raw columns along under other names (name -> column)."""
+    feats, keep = list(features), keep or {}
+    m = feature_matrix(df.withColumns({name: F.col(c) for name, c in keep.items()}), feats, keep=(id_col, *keep))
     stats = m.agg(*[F.avg(c).alias(f"mean_{i}") for i, c in enumerate(feats)],
                   *[F.stddev_pop(c).alias(f"std_{i}") for i, c in enumerate(feats)]).first()
     cols = []
@@ -54,7 +52,7 @@ def scaled_matrix(df: DataFrame, features: Sequence[str] = CLUSTER_FEATURES,
         mu, sd = stats[f"mean_{i}"], stats[f"std_{i}"]
         sd = sd if sd not in (None, 0.0) else 1.0
         cols.append(((F.col(c) - F.lit(mu)) / F.lit(sd)).alias(c))
-    return m.select(id_col, *cols)
+    return m.select(id_col, *keep, *cols)
 
 
 def with_vector(matrix: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -93,29 +91,25 @@ def _fit(data: DataFrame, k: int, seed: int, max_iter: int, tol: float):
     return model, float(model.summary.trainingCost), seed
 
 
-# Target bytes of dense vectors per partition of a k-means input.
-FIT_PARTITION_BYTES = 64 * 1024 * 1024
+# Rows per partition of a k-means input, and its least number of partitions.
+FIT_PARTITION_ROWS = 250_000
+FIT_PARTITIONS = 8
 
 
-def _fit_input(vectors: DataFrame) -> DataFrame:
-    """The vector column, persisted, in partitions of about 64 MB.
+def _fit_input(vectors: DataFrame, id_col: str = "respondent_id", rows: int = FIT_PARTITION_ROWS) -> DataFrame:
+    """The vector column, written to the shared folder's checkpoint, in a layout
+    that follows from the data alone.
 
-    Iterative fits pay a scheduling cost per task and iteration, so a small
-    matrix runs as few tasks; a large one keeps one task per ~64 MB (at most
-    one per task slot more than that is never useful per iteration).
+    MLlib's starting centres depend on the partitions and their order, so rows go
+    to a partition by a hash of their id and are sorted by it; the number of
+    partitions depends on the number of rows, not on the cluster. The same table
+    gives the same clusters wherever it runs.
     """
-    data = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    n = data.count()
-    first = data.first()
-    dims = len(first["features"]) if first is not None else 1
-    slots = data.sparkSession.sparkContext.defaultParallelism
-    want = max(1, min(slots, -(-n * dims * 8 // FIT_PARTITION_BYTES)))
-    if data.rdd.getNumPartitions() > want:
-        sized = data.coalesce(want).persist(StorageLevel.MEMORY_AND_DISK)
-        sized.count()
-        data.unpersist()
-        return sized
-    return data
+    n = vectors.count()
+    parts = max(FIT_PARTITIONS, -(-n // rows))
+    checkpoint_dir(vectors.sparkSession)
+    return (vectors.select(id_col, "features").repartition(parts, id_col).sortWithinPartitions(id_col)
+            .select("features").checkpoint(eager=True))
 
 
 def kmeans_best(vectors: DataFrame, k: int = 5, seeds: Sequence[int] = range(42, 52),
@@ -124,7 +118,7 @@ def kmeans_best(vectors: DataFrame, k: int = 5, seeds: Sequence[int] = range(42,
 
     ``tol`` defaults to :func:`sklearn_tol` (scikit-learn's relative 1e-4).
     """
-    data = _fit_input(vectors)
+    data = _fit_input(vectors).persist(StorageLevel.MEMORY_AND_DISK)
     tol = sklearn_tol(data, k) if tol is None else tol
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(list(seeds))))) as pool:
         fits = list(pool.map(lambda s: _fit(data, k, s, max_iter, tol), list(seeds)))
@@ -137,18 +131,19 @@ def kmeans_best(vectors: DataFrame, k: int = 5, seeds: Sequence[int] = range(42,
 
 
 def assign(fit: KMeansFit, vectors: DataFrame, names: dict | None = None) -> DataFrame:
-    """Every row with its (renumbered) cluster and the cluster's name."""
+    """Every row with its (renumbered) cluster and the cluster's name:
+    ``names`` by number, else ``Cluster n``."""
     out = fit.model.transform(vectors)
     cluster = lookup(F.col("cluster_raw"), fit.order)
     out = out.withColumn("cluster", cluster.cast("int")).drop("cluster_raw")
-    names = CLUSTER_NAMES if names is None else names
-    return out.withColumn("cluster_name", lookup(F.col("cluster"), names, default="Cluster"))
+    own = _named(F.col("cluster"))
+    return out.withColumn("cluster_name", F.coalesce(lookup(F.col("cluster"), names), own) if names else own)
 
 
 def elbow(vectors: DataFrame, ks: Sequence[int] = range(2, 10), seeds: Sequence[int] = range(42, 52),
           max_iter: int = 300, parallelism: int = 10) -> DataFrame:
     """``(k, inertia)``, inertia being the best-of-seeds sum of squared distances."""
-    data = _fit_input(vectors)
+    data = _fit_input(vectors).persist(StorageLevel.MEMORY_AND_DISK)
     tols = {int(k): sklearn_tol(data, int(k)) for k in ks}
     jobs = [(int(k), int(s)) for k in ks for s in seeds]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
@@ -199,11 +194,10 @@ def centroids(fit: KMeansFit, features: Sequence[str], names: dict | None = None
     """C5 input: the k centroids (renumbered) as a k-row wide DataFrame."""
     from canvass.session import get_session
     spark = get_session()
-    names = CLUSTER_NAMES if names is None else names
     rows = []
     for old, center in enumerate(fit.model.clusterCenters()):
         new = fit.order[old]
-        rows.append((new, names.get(new, "Cluster"), *[float(v) for v in center]))
+        rows.append((new, (names or {}).get(new, f"Cluster {new}"), *[float(v) for v in center]))
     schema = "cluster int, cluster_name string, " + ", ".join(f"`{c}` double" for c in features)
     return spark.createDataFrame(rows, schema)
 
@@ -214,8 +208,8 @@ def variance_table(pca: PCAFit) -> DataFrame:
         [(f"PC{j + 1}", v * 100.0) for j, v in enumerate(pca.explained)], "component string, variance_pct double")
 
 
-def cluster_profile(assigned: DataFrame, raw: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:
-    """Members per cluster and the mean of chosen (unscaled) columns."""
-    j = assigned.select(id_col, "cluster", "cluster_name").join(raw.select(id_col, *cols), id_col)
-    return j.groupBy("cluster", "cluster_name").agg(F.count(F.lit(1)).alias("members"),
-                                                     *[F.avg(c).alias(c) for c in cols])
+def cluster_profile(assigned: DataFrame, cols: dict[str, str]) -> DataFrame:
+    """Members per cluster and the mean of the (unscaled) columns that ride
+    along with the assigned rows: name of the mean -> column."""
+    return assigned.groupBy("cluster", "cluster_name").agg(
+        F.count(F.lit(1)).alias("members"), *[F.avg(c).alias(name) for name, c in cols.items()])

@@ -13,19 +13,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canvass.functions.labels import title_label
+from canvass.operators.clean import number
 
 
 def crosstab(df: DataFrame, row: str, col: str, percent: bool = True) -> DataFrame:
     """Row-normalised crosstab, long form ``(row, col, n, pct)``.
 
     Pairs with a null on either side are left out of counts and denominators.
-    Only observed pairs appear; an absent pair is a 0 share.
+    Every pair of an observed row and an observed column value appears, with
+    n = 0 and pct = 0 if no respondent has it.
     """
     pairs = (df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
              .groupBy(row, col).agg(F.count(F.lit(1)).alias("n")))
+    columns = pairs.agg(F.collect_set(col))  # as many as the category has values
+    grid = pairs.select(row).distinct().select(row, F.explode(columns.scalar()).alias(col))
+    cells = grid.join(pairs, [row, col], "left").select(row, col, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
     total = F.sum("n").over(Window.partitionBy(row))
     scale = F.lit(100.0) if percent else F.lit(1.0)
-    return pairs.select(row, col, "n", F.try_divide(F.col("n") * scale, total).alias("pct"))
+    return cells.select(row, col, "n", F.try_divide(F.col("n") * scale, total).alias("pct"))
 
 
 def crosstab_wide(df: DataFrame, row: str, col: str, values: Sequence[str],
@@ -45,9 +50,9 @@ def group_means(df: DataFrame, by: str, cols: Sequence[str], prefix: str = "",
                 metric_name: str = "item", value_name: str = "rate") -> DataFrame:
     """A13 + P2: mean of each column per group, long with a title-case label.
 
-    One aggregation, then ``unpivot``; nulls are skipped by ``avg``.
+    One aggregation, then ``unpivot``; nulls and NaN are skipped.
     """
-    wide = df.where(F.col(by).isNotNull()).groupBy(by).agg(*[F.avg(c).alias(c) for c in cols])
+    wide = df.where(F.col(by).isNotNull()).groupBy(by).agg(*[F.avg(number(c)).alias(c) for c in cols])
     long = wide.unpivot([by], list(cols), metric_name, value_name)
     return long.withColumn("label", title_label(metric_name, prefix))
 
@@ -69,9 +74,6 @@ def score_profile(df: DataFrame, by: str, cols: Sequence[str]) -> DataFrame:
     return minmax_across_groups(long, by, "metric", "mean")
 
 
-def transpose(long: DataFrame, index: str, columns: str, value: str,
-              values: Sequence[str] | None = None) -> DataFrame:
-    """One row per ``index``, one column per ``columns`` value."""
-    g = long.groupBy(index)
-    g = g.pivot(columns, list(values)) if values is not None else g.pivot(columns)
-    return g.agg(F.first(value))
+def transpose(long: DataFrame, index: str, columns: str, value: str, values: Sequence[str]) -> DataFrame:
+    """One row per ``index``, one column for each of ``values`` of ``columns``."""
+    return long.groupBy(index).pivot(columns, list(values)).agg(F.first(value))

@@ -97,7 +97,8 @@ def box_outliers(df: DataFrame, col: str, by: str, id_col: str = "respondent_id"
         by, (F.col("q1") - F.lit(whis) * F.col("iqr")).alias("lo_fence"),
         (F.col("q3") + F.lit(whis) * F.col("iqr")).alias("hi_fence"))
     x = (F.col(col) / F.lit(scale)) if scale != 1.0 else F.col(col).cast("double")
-    vals = df.where(F.col(by).isNotNull()).select(id_col, by, x.alias("value")).where(F.col("value").isNotNull())
+    vals = df.where(F.col(by).isNotNull()).select(id_col, by, x.alias("value")).where(
+        F.col("value").isNotNull() & ~F.isnan("value"))
     j = join_small(vals, stats, [by])
     side = F.when(F.col("value") < F.col("lo_fence"), "low").when(F.col("value") > F.col("hi_fence"), "high")
     return j.select(id_col, by, "value", side.alias("side")).where(F.col("side").isNotNull())

@@ -11,7 +11,7 @@ from pyspark.ml.evaluation import Evaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canvass.plans.joins import join_small
+from canvass.plans.joins import stored
 
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -51,7 +51,7 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
     """Rows per class plus 'accuracy', 'macro avg' and 'weighted avg'
     ``(label, precision, recall, f1_score, support)``, as sklearn's report dict."""
     # one row per class, read by all four parts of the report: compute once
-    pc = per_class(confusion(df, label, prediction)).persist()
+    pc = stored(per_class(confusion(df, label, prediction)), "per-class")
     classes = pc.select(F.col("cls").alias("label"), "precision", "recall", "f1_score",
                         F.col("support").cast("long").alias("support"))
     tot = pc.agg(F.sum("support").alias("n"), F.sum("tp").alias("tp"),
@@ -100,13 +100,11 @@ def regression_metrics(df: DataFrame, y: str = "y", pred: str = "prediction", lo
                        ) -> DataFrame:
     """R3 + R4: R^2 on the given scale; MAE back on the money scale when ``y``
     is ``log1p`` of money (``expm1`` of both sides)."""
-    mean_y = F.lit(df.select(F.avg(y)).first()[0])
     diff = F.col(y) - F.col(pred)
     err = (F.abs(F.expm1(y) - F.expm1(pred)) if log_scale else F.abs(diff))
     return df.agg(
         F.count(F.lit(1)).alias("n"),
-        (F.lit(1.0) - F.try_divide(F.sum(diff * diff), F.sum((F.col(y) - mean_y) * (F.col(y) - mean_y))))
-        .alias("r2"),
+        (F.lit(1.0) - F.try_divide(F.sum(diff * diff), F.var_pop(y) * F.count(y))).alias("r2"),
         F.avg(err).alias("mae"),
         F.avg(F.abs(diff)).alias("mae_model_scale"))
 
@@ -119,26 +117,16 @@ def actual_vs_predicted(df: DataFrame, id_col: str, y: str = "y", pred: str = "p
 
 
 # ---------------------------------------------------------------- clustering metrics
-def _cluster_stats(points: DataFrame) -> DataFrame:
-    """Per (cluster, dim): size, coordinate sum; from long points ``(point_id, cluster, dim, value)``."""
-    return points.groupBy("cluster", "dim").agg(F.count(F.lit(1)).alias("size"), F.sum("value").alias("s"))
-
-
 def inertia(points: DataFrame) -> DataFrame:
-    """C6's metric: sum of squared distances to the cluster mean, total and per cluster.
+    """C6's metric per cluster: ``(cluster, inertia, size)``, the sum of squared
+    distances to the cluster's mean.
 
-    Input is long ``(point_id, cluster, dim, value)``. The centroid table
-    (clusters x dims rows) is joined back on ``(cluster, dim)``.
+    Input is long ``(point_id, cluster, dim, value)``, each point with every
+    dimension. A dimension adds its count times its population variance, so one
+    aggregation by (cluster, dim) does; its few rows are then summed.
     """
-    cent = points.groupBy("cluster", "dim").agg(F.avg("value").alias("mu"))
-    j = join_small(points, cent, ["cluster", "dim"])
-    sq = (F.col("value") - F.col("mu")) * (F.col("value") - F.col("mu"))
-    per = j.groupBy("cluster").agg(F.sum(sq).alias("inertia"), F.countDistinct("point_id").alias("size"))
-    return per
-
-
-# Largest clusters x dimensions table the silhouette turns into expressions.
-MAX_CLUSTER_CELLS = 1_000_000
+    per = points.groupBy("cluster", "dim").agg(F.count("value").alias("n"), F.var_pop("value").alias("v"))
+    return per.groupBy("cluster").agg(F.sum(F.col("n") * F.col("v")).alias("inertia"), F.max("n").alias("size"))
 
 
 def silhouette_sq_euclidean(points: DataFrame, cluster: str = "cluster", vec: str = "vec") -> DataFrame:
@@ -149,50 +137,30 @@ def silhouette_sq_euclidean(points: DataFrame, cluster: str = "cluster", vec: st
     ``n_C*|x|^2 - 2 x.S_C + Q_C``, so per-cluster statistics replace all
     point pairs. a(x) averages over its own cluster without itself
     (n_A - 1), b(x) is the smallest average over the other clusters;
-    s = (b - a) / max(a, b), and 0 for a point alone in its cluster (the
-    definition MLlib's ``ClusteringEvaluator`` uses).
+    s = (b - a) / max(a, b), and 0 for a point alone in its cluster or without
+    another one (the definition MLlib's ``ClusteringEvaluator`` uses).
 
     Input: one row per point with an ``array<double>`` (or ML vector) column.
-    Work: one aggregation for the k x d statistics (partial sums before the
-    shuffle, then collected: bounded by the model's k and d), then a map-only
-    pass over the points and one global average. Returns ``(silhouette, n)``.
+    Work: one aggregation for the k rows of statistics, which reach the points
+    as one array (a scalar subquery; its size is the model's, k x d), then a
+    map-only pass and one global average. Returns ``(silhouette, n)``, no row
+    for an empty table.
     """
-    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
     x = vector_to_array(F.col(vec)) if dict(points.dtypes)[vec] == "vector" else F.col(vec).cast("array<double>")
     pts = points.select(F.col(cluster).alias("c"), x.alias("x")).where(F.col("c").isNotNull())
     sq = F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v * v)
-    per = pts.groupBy("c").agg(F.count(F.lit(1)).alias("n_c"), F.sum(sq).alias("q_c"))
-    sums = pts.select("c", F.posexplode("x").alias("d", "v")).groupBy("c", "d").agg(F.sum("v").alias("s"))
-    n_cells = sums.count()
-    if n_cells > MAX_CLUSTER_CELLS:
-        raise ValueError(f"{n_cells} cluster x dimension cells exceed {MAX_CLUSTER_CELLS}")
-    stats = {r["c"]: (r["n_c"], r["q_c"]) for r in per.collect()}
-    vecs: dict = {}
-    for r in sums.collect():
-        vecs.setdefault(r["c"], {})[r["d"]] = r["s"]
-    if not stats:
-        return points.sparkSession.createDataFrame([], "silhouette double, n long")
-    q = sq
-    own, others = [], []
-    for c, (n_c, q_c) in sorted(stats.items()):
-        svec = vecs[c]
-        s_arr = F.array(*[F.lit(float(svec[d])) for d in range(len(svec))])
-        dot = F.aggregate(F.zip_with("x", s_arr, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-        total = F.lit(float(n_c)) * q - F.lit(2.0) * dot + F.lit(float(q_c))
-        is_own = F.col("c") == F.lit(c)
-        own.append(F.when(is_own, F.when(F.lit(n_c) > 1, total / F.lit(float(n_c - 1)))))
-        others.append(F.when(~is_own, total / F.lit(float(n_c))))
-    a = F.coalesce(*own) if len(own) > 1 else own[0]
-    b = F.least(*others) if len(others) > 1 else others[0]
-    own_n = F.coalesce(*[F.when(F.col("c") == F.lit(c), F.lit(n)) for c, (n, _) in stats.items()]) \
-        if len(stats) > 1 else F.lit(next(iter(stats.values()))[0])
-    sil = F.when((own_n <= 1) | b.isNull(), F.lit(0.0)).otherwise(_safe_div(b - a, F.greatest(a, b)))
-    return pts.agg(F.avg(sil).alias("silhouette"), F.count(F.lit(1)).alias("n"))
-
-
-def vector_points(df: DataFrame, id_col: str, cluster_col: str, vector_col: str) -> DataFrame:
-    """ML vectors (or arrays) to long ``(point_id, cluster, dim, value)``."""
-    from pyspark.ml.functions import vector_to_array
-    arr = vector_to_array(F.col(vector_col)) if dict(df.dtypes)[vector_col] == "vector" else F.col(vector_col)
-    return df.select(F.col(id_col).alias("point_id"), F.col(cluster_col).alias("cluster"),
-                     F.posexplode(arr).alias("dim", "value")).withColumn("value", F.col("value").cast("double"))
+    per = pts.groupBy("c").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(sq).alias("q"),
+        vector_to_array(Summarizer.sum(array_to_vector(F.col("x")))).alias("s"))
+    every = per.agg(F.collect_list(F.struct("c", "n", "q", "s")))
+    dot = lambda s: F.aggregate(F.zip_with("x", s, lambda u, v: u * v), F.lit(0.0), lambda acc, v: acc + v)
+    far = pts.select("c", "x", every.scalar().alias("clusters")).select("c", F.transform("clusters", lambda k: F.struct(
+        k.c.alias("c"), k.n.alias("n"), (k.n * sq - 2.0 * dot(k.s) + k.q).alias("d"))).alias("far"))
+    own = F.element_at(F.filter("far", lambda k: k.c == F.col("c")), 1)
+    b = F.array_min(F.transform(F.filter("far", lambda k: k.c != F.col("c")), lambda k: k.d / k.n))
+    near = far.select(own.alias("own"), b.alias("b")).withColumn("a", F.try_divide("own.d", F.col("own.n") - 1))
+    sil = F.when((F.col("own.n") <= 1) | F.col("b").isNull(), F.lit(0.0)).otherwise(
+        _safe_div(F.col("b") - F.col("a"), F.greatest("a", "b")))
+    return near.agg(F.avg(sil).alias("silhouette"), F.count(F.lit(1)).alias("n")).where("n > 0")

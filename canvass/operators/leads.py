@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canvass.functions.labels import money
+from canvass.operators.select import member_predicate
 from canvass.sources.schema import LEAD_VIEW_COLS
 
 
@@ -25,9 +26,9 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int, rank_col: str = "rank"
 
 def lead_table(df: DataFrame, classes: Sequence[str] = ("High-Intent Buyer",), n: int = 50,
                id_col: str = "respondent_id") -> DataFrame:
-    """Prospects of the chosen adoption classes, best ``n`` by pilot interest
+    """Prospects of the chosen adoption classes (``None`` chooses rows without one), best ``n`` by pilot interest
     then AI openness (both descending), ties by id; money columns labelled."""
-    picked = df.where(F.col("adoption_class").isin(list(classes))).select(*LEAD_VIEW_COLS)
+    picked = df.where(member_predicate("adoption_class", classes)).select(*LEAD_VIEW_COLS)
     order = [F.col("pilot_interest").desc_nulls_last(), F.col("ai_openness").desc_nulls_last(),
              F.col(id_col).asc()]
     out = top_n(picked, order, n, "lead_rank")

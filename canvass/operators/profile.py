@@ -75,24 +75,24 @@ def frequency(df: DataFrame, col: str) -> DataFrame:
 
     ``pct_counted`` divides by the counted (non-null) rows, as a pie chart of
     ``value_counts`` does; ``pct_all`` divides by all rows, nulls included, as
-    the bar labels do. Totals are scalar subqueries (computed once, inlined).
-    Sorted by count descending, then value.
+    the bar labels do. One pass over the rows; both totals come from the
+    aggregated counts. Sorted by count descending, then value.
     """
-    total_all = df.select(F.count(F.lit(1))).scalar()
-    total_counted = df.select(F.count(col)).scalar()
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(
+    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("all"), F.sum(F.when(F.col(col).isNotNull(), F.col("n"))).alias("counted"))
+    return counts.where(F.col(col).isNotNull()).select(
         col, "n",
-        share(F.col("n"), total_counted).alias("pct_counted"),
-        share(F.col("n"), total_all).alias("pct_all"),
+        share(F.col("n"), total.select("counted").scalar()).alias("pct_counted"),
+        share(F.col("n"), total.select("all").scalar()).alias("pct_all"),
     ).orderBy(F.col("n").desc(), F.col(col))
 
 
 def skewness_unbiased(x: str) -> Column:
-    """A5: bias-corrected sample skewness (pandas ``skew``); null below 3 values."""
+    """A5: bias-corrected sample skewness (pandas ``skew``); null below 3
+    values, 0 if all are equal."""
     n = F.count(x).cast("double")
     g1 = F.skewness(x)
-    return F.when(n >= 3, g1 * F.sqrt(n * (n - 1)) / (n - 2))
+    return F.when(n >= 3, F.when(F.min(x) == F.max(x), F.lit(0.0)).otherwise(g1 * F.sqrt(n * (n - 1)) / (n - 2)))
 
 
 def summary(df: DataFrame, cols: Sequence[str], by=None, upper_q: float = 0.85) -> DataFrame:
@@ -136,7 +136,8 @@ def quadrants(df: DataFrame, x_col: str = "monthly_bill_aed", y_col: str = "wtp_
               upper_q: float = 0.85) -> DataFrame:
     """Each row against the global medians of ``x_col`` and ``y_col``.
 
-    "High" is strictly above the median. The medians (and the ``upper_q``
+    "High" is strictly above the median; a row with either value missing has
+    a null quadrant. The medians (and the ``upper_q``
     quantile of ``y``, where the chart puts its label) are three numbers from
     one distributed quantile job, then literals in the row-wise plan.
     """
@@ -147,7 +148,8 @@ def quadrants(df: DataFrame, x_col: str = "monthly_bill_aed", y_col: str = "wtp_
     qy = vals.get((y_col, upper_q))
     hx = F.col(x_col) > F.lit(mx)
     hy = F.col(y_col) > F.lit(my)
-    label = (F.when(hx & hy, names["hh"]).when(hx, names["hl"]).when(hy, names["lh"])
+    missing = F.col(x_col).isNull() | F.col(y_col).isNull() | F.isnan(F.col(x_col).cast("double")) | F.isnan(F.col(y_col).cast("double"))
+    label = (F.when(missing, None).when(hx & hy, names["hh"]).when(hx, names["hl"]).when(hy, names["lh"])
              .otherwise(names["ll"]))
     return df.select(id_col, "segment", x_col, y_col,
                      F.lit(mx).cast("double").alias("x_median"), F.lit(my).cast("double").alias("y_median"),
@@ -156,7 +158,7 @@ def quadrants(df: DataFrame, x_col: str = "monthly_bill_aed", y_col: str = "wtp_
 
 def quadrant_counts(points: DataFrame, by: str = "segment") -> DataFrame:
     """Respondents per group x quadrant, with the share of the group."""
-    counts = points.where(F.col(by).isNotNull()).groupBy(by, "quadrant").agg(F.count(F.lit(1)).alias("n"))
+    counts = points.where(F.col(by).isNotNull() & F.col("quadrant").isNotNull()).groupBy(by, "quadrant").agg(F.count(F.lit(1)).alias("n"))
     from pyspark.sql import Window
     tot = F.sum("n").over(Window.partitionBy(by))
     return counts.select(by, "quadrant", "n", share(F.col("n"), tot).alias("pct_of_group"))

@@ -14,9 +14,11 @@ Method (distributed selection):
    bracket table to the data, and a partial aggregation of
    ``count/min/max`` per bucket. A running sum over the at most ``buckets``
    rows of each bracket finds the bucket holding the rank; its exact
-   ``[min, max]`` is the next bracket. Each pass shrinks a bracket's width
-   by the bucket factor, and a bracket whose min equals its max is solved.
-   The bracket table is checkpointed every pass.
+   ``[min, max]`` is the next bracket. The bracket's ends fall in different
+   buckets, so every pass narrows it, and one whose min equals its max is
+   solved; infinities are set apart in the first pass that meets them.
+   The data (keys and values only) and each pass's brackets are written to the
+   shared folder.
 3. Brackets with at most ``finish_limit`` values are finished by a window
    ``row_number`` inside the bracket, so no task ever sorts more than
    ``finish_limit`` values, however large or skewed a group is.
@@ -30,16 +32,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canvass.plans.joins import join_small
-from canvass.session import checkpoint_dir
+from canvass.plans.joins import join_small, stored
 
 FINISH_LIMIT = 1_000_000
 BUCKETS = 1024
-MAX_PASSES = 48
 # Session settings that override the defaults above (per cluster sizing).
 CONF_FINISH_LIMIT = "spark.canvass.quantile.finishLimit"
 CONF_BUCKETS = "spark.canvass.quantile.buckets"
@@ -66,7 +65,7 @@ def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
 
 
 def quantiles(df: DataFrame, columns, probs, by=(), *, finish_limit: int | None = None,
-              buckets: int | None = None, max_passes: int = MAX_PASSES) -> DataFrame:
+              buckets: int | None = None) -> DataFrame:
     """Exact interpolated quantiles of ``columns`` per ``by`` group.
 
     Returns ``(by..., metric, p, n, value)``; groups (or null keys) with no
@@ -84,17 +83,18 @@ def quantiles(df: DataFrame, columns, probs, by=(), *, finish_limit: int | None
     for p in probs:
         if not 0.0 <= p <= 1.0:
             raise ValueError(f"probability {p} outside [0, 1]")
-    spark = df.sparkSession
+    if buckets < 3:
+        raise ValueError("a pass needs at least 3 buckets")
     gk = keys + ["metric"]
     data = long_values(df, columns, keys)
 
     stats = data.groupBy(*gk).agg(F.count("x").alias("n"), F.min("x").alias("lo"),
                                   F.max("x").alias("hi"))
-    stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
     largest = stats.agg(F.max("n")).first()[0]
     if largest is None or largest <= finish_limit:
-        stats.unpersist()
         return _direct(data, keys, gk, probs)
+    data = stored(data, "quantile-values")
+    stats = stored(data.groupBy(*gk).agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")), "quantile-stats")
     targets = (
         stats.select(*gk, "n", F.explode(F.array(*[F.lit(p) for p in probs])).alias("p"))
         .withColumn("pos", F.col("p") * (F.col("n") - 1))
@@ -109,14 +109,10 @@ def quantiles(df: DataFrame, columns, probs, by=(), *, finish_limit: int | None
         .select(*gk, "k", F.col("lo"), F.col("hi"), F.lit(0).cast("long").alias("below"),
                 F.col("n").alias("cnt"))
     )
-    state = ranks.persist(StorageLevel.MEMORY_AND_DISK)
+    state = stored(ranks, "quantile-state")
     active = (F.col("lo") < F.col("hi")) & (F.col("cnt") > finish_limit)
-    passes = 0
-    pending = state.where(active).count()
-    while pending and passes < max_passes:
+    while not state.where(active).isEmpty():
         state = _refine(data, state, active, gk, buckets)
-        passes += 1
-        pending = state.where(active).count()
 
     values = _finish(data, state, gk)
     t0 = values.select(*gk, F.col("k").alias("k0"), F.col("v").alias("v0"))
@@ -167,9 +163,13 @@ def _refine(data: DataFrame, state: DataFrame, active, gk: list[str], buckets: i
     open_ = state.where(active)
     brackets = open_.select(*bkey).distinct()
     inside = join_small(data, brackets, gk).where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
-    bucket = F.least(
-        F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets).cast("long"),
-        F.lit(buckets - 1).cast("long"))
+    inf = float("inf")
+    # halves, so that the width of a bracket can't overflow
+    share = (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+    linear = F.when(F.col("x") >= F.col("hi"), F.lit(buckets - 1)).otherwise(
+        F.least(F.floor(share * (buckets - 1)), F.lit(buckets - 2)))
+    ends = F.when(F.col("x") == -inf, F.lit(0)).when(F.col("x") == inf, F.lit(2)).otherwise(F.lit(1))
+    bucket = F.when((F.col("lo") == -inf) | (F.col("hi") == inf), ends).otherwise(linear).cast("long")
     hist = inside.groupBy(*bkey, bucket.alias("b")).agg(
         F.count("x").alias("c"), F.min("x").alias("bmin"), F.max("x").alias("bmax"))
     run = Window.partitionBy(*gk, "lo", "hi").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
@@ -180,10 +180,7 @@ def _refine(data: DataFrame, state: DataFrame, active, gk: list[str], buckets: i
         .select(*gk, "k", F.col("bmin").alias("lo"), F.col("bmax").alias("hi"),
                 F.col("start").alias("below"), F.col("c").alias("cnt"))
     )
-    checkpoint_dir(state.sparkSession)
-    nxt = state.where(~active).unionByName(moved).checkpoint(eager=True)
-    state.unpersist()
-    return nxt
+    return stored(state.where(~active).unionByName(moved), "quantile-state")
 
 
 def _finish(data: DataFrame, state: DataFrame, gk: list[str]) -> DataFrame:

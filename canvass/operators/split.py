@@ -51,11 +51,6 @@ def stratified_split(df: DataFrame, label: str, id_col: str = "respondent_id",
     return out.withColumn("is_test", F.coalesce(F.col("_u") <= F.col("_t"), F.lit(False))).drop("_u", "_t")
 
 
-def fold_ids(df: DataFrame, id_col: str = "respondent_id", folds: int = 5, seed: int = 7) -> DataFrame:
-    """Adds an int ``fold`` in [0, folds) for cross-validation."""
-    return df.withColumn("fold", F.floor(unit_hash(id_col, seed) * F.lit(folds)).cast("int"))
-
-
 def stratified_folds(df: DataFrame, label: str, id_col: str = "respondent_id", folds: int = 5,
                      seed: int = 7) -> DataFrame:
     """L4's folds: adds an int ``fold`` in [0, folds) so that inside each class

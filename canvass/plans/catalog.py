@@ -18,13 +18,17 @@ from canvass.functions import labels as L
 from canvass.operators import basket, clean, crosstab, distribution, evaluate, leads, profile, scenario, select
 from canvass.operators import split
 from canvass.operators.quantile import quantiles
+from canvass.plans.joins import stored
 from canvass.sources import io
 from canvass.sources.fixtures import embeddings_long, responses, table
 from canvass.sources.schema import (CLUSTER_FEATURES, IMPUTED_AT_LOAD, PAIN_COLS, PROFILE_COLS,
-                                    RESPONSE_COLUMNS, SPIKE_ORDER, TECH_COLS)
+                                    RESPONSE_COLUMNS, SEGMENTS, SPIKE_ORDER, TECH_COLS)
 
 R6 = 6
 
+# Lift of the rule table query: it keeps some of the top 20 rules and drops others.
+RULES_DISPLAY_LIFT = 1.385
+
 # The selections used by the filter queries (fixture categories).
 SEGMENT_PICK = ["AUTOMOBILE", "BUILDING", "FURNITURE"]
 EMIRATE_PICK = ["AMERICA", "ASIA", "EUROPE"]
@@ -44,7 +48,8 @@ _MATERIALIZED: dict[str, tuple[str, dict]] = {}
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The survey table before imputation (the written copy when there is one)."""
+    """The survey table before imputation (the written copy when there is one).
+    Queries that read none of the imputed columns start here, so they need no median."""
     hit = _MATERIALIZED.get(sf_dir)
     return spark.read.parquet(hit[0]) if hit else responses(spark, sf_dir)
 
@@ -120,7 +125,7 @@ def q_feature_matrix_imputed(spark, sf_dir):
 
 
 def q_predicate_counts(spark, sf_dir):
-    df = loaded(spark, sf_dir)
+    df = raw(spark, sf_dir)
     return select.predicate_counts(df, {
         "n_high_intent": F.col("adoption_class") == "High-Intent Buyer",
         "n_pilot": F.col("pilot_interest") >= 4,
@@ -140,7 +145,7 @@ def q_scalar_labels(spark, sf_dir):
         L.percent_label("hvac_pct_of_bill").alias("hvac_label"),
         r6(F.col("monthly_bill_aed") / 1000).alias("bill_k"),
         r6(F.log1p("wtp_aed_per_building")).alias("log_wtp"),
-        L.prefix(L.item_label(F.lit("tech_ai_maintenance")), 12).alias("item_prefix"),
+        L.prefix(L.item_label(F.concat(F.lit("tech_"), F.lower("building_type"))), 12).alias("item_prefix"),
         L.title_label(F.lit("pain_high_cost"), "pain_").alias("pain_title"),
         L.truncate_to_long(F.col("monthly_bill_aed") / 1000).alias("bill_k_int"),
         L.lookup(F.col("realtime_visibility_score") % 5, {0: "C0", 1: "C1", 2: "C2", 3: "C3", 4: "C4"})
@@ -150,11 +155,11 @@ def q_scalar_labels(spark, sf_dir):
 
 # ---------------------------------------------------------------- profiles
 def q_kpi_row(spark, sf_dir):
-    return _round_doubles(profile.kpi_row(loaded(spark, sf_dir), "segment"))
+    return _round_doubles(profile.kpi_row(raw(spark, sf_dir), "segment"))
 
 
 def q_kpi_row_all(spark, sf_dir):
-    df = select.filter_members(loaded(spark, sf_dir), {"segment": SEGMENT_PICK, "primary_emirate": EMIRATE_PICK})
+    df = select.filter_members(raw(spark, sf_dir), {"segment": SEGMENT_PICK, "primary_emirate": EMIRATE_PICK})
     return _round_doubles(profile.kpi_row(df))
 
 
@@ -170,42 +175,42 @@ def q_share_of_total(spark, sf_dir):
 
 
 def q_bill_summary(spark, sf_dir):
-    return _round_doubles(profile.summary(loaded(spark, sf_dir),
+    return _round_doubles(profile.summary(raw(spark, sf_dir),
                                           ["monthly_bill_aed", "wtp_aed_per_building", "hvac_pct_of_bill"]))
 
 
 def q_savings_estimate(spark, sf_dir):
-    return _round_doubles(profile.savings_estimate(loaded(spark, sf_dir)))
+    return _round_doubles(profile.savings_estimate(raw(spark, sf_dir)))
 
 
 def q_prospect_quadrants(spark, sf_dir):
-    return _round_doubles(profile.quadrants(loaded(spark, sf_dir)))
+    return _round_doubles(profile.quadrants(raw(spark, sf_dir)))
 
 
 def q_quadrant_counts(spark, sf_dir):
-    return _round_doubles(profile.quadrant_counts(profile.quadrants(loaded(spark, sf_dir))))
+    return _round_doubles(profile.quadrant_counts(profile.quadrants(raw(spark, sf_dir))))
 
 
 # ---------------------------------------------------------------- crosstabs, profiles by group
 def q_crosstab_adoption(spark, sf_dir):
-    return _round_doubles(crosstab.crosstab(loaded(spark, sf_dir), "segment", "adoption_class"))
+    return _round_doubles(crosstab.crosstab(raw(spark, sf_dir), "segment", "adoption_class"))
 
 
 def q_crosstab_model(spark, sf_dir):
-    return _round_doubles(crosstab.crosstab(loaded(spark, sf_dir), "segment", "commercial_model"))
+    return _round_doubles(crosstab.crosstab(raw(spark, sf_dir), "segment", "commercial_model"))
 
 
 def q_crosstab_spike(spark, sf_dir):
-    return _round_doubles(crosstab.crosstab_wide(loaded(spark, sf_dir), "primary_emirate",
+    return _round_doubles(crosstab.crosstab_wide(raw(spark, sf_dir), "primary_emirate",
                                                  "summer_cooling_spike", SPIKE_ORDER))
 
 
 def q_pain_prevalence(spark, sf_dir):
-    return _round_doubles(crosstab.group_means(loaded(spark, sf_dir), "segment", PAIN_COLS, "pain_"))
+    return _round_doubles(crosstab.group_means(raw(spark, sf_dir), "segment", PAIN_COLS, "pain_"))
 
 
 def q_tech_deployment(spark, sf_dir):
-    return _round_doubles(crosstab.group_means(loaded(spark, sf_dir), "segment", TECH_COLS, "tech_"))
+    return _round_doubles(crosstab.group_means(raw(spark, sf_dir), "segment", TECH_COLS, "tech_"))
 
 
 def q_score_profile_scaled(spark, sf_dir):
@@ -214,60 +219,60 @@ def q_score_profile_scaled(spark, sf_dir):
 
 def q_score_profile_transposed(spark, sf_dir):
     prof = crosstab.score_profile(loaded(spark, sf_dir), "segment", PROFILE_COLS)
-    return _round_doubles(crosstab.transpose(prof, "metric", "segment", "scaled"))
+    return _round_doubles(crosstab.transpose(prof, "metric", "segment", "scaled", SEGMENTS))
 
 
 def q_wtp_median_by_segment(spark, sf_dir):
-    q = quantiles(loaded(spark, sf_dir), ["wtp_aed_per_building"], [0.5], ["segment"])
+    q = quantiles(raw(spark, sf_dir), ["wtp_aed_per_building"], [0.5], ["segment"])
     out = q.select("segment", F.col("value").alias("median_wtp"), L.money("value").alias("median_wtp_label"))
     return _round_doubles(out).orderBy(F.col("median_wtp").asc_nulls_last(), "segment")
 
 
 # ---------------------------------------------------------------- distributions
 def q_hist_bill(spark, sf_dir):
-    return _round_doubles(distribution.histogram(loaded(spark, sf_dir), "monthly_bill_aed", 50, scale=1000.0))
+    return _round_doubles(distribution.histogram(raw(spark, sf_dir), "monthly_bill_aed", 50, scale=1000.0))
 
 
 def q_hist_share(spark, sf_dir):
-    return _round_doubles(distribution.histogram(loaded(spark, sf_dir), "hvac_pct_of_bill", 35))
+    return _round_doubles(distribution.histogram(raw(spark, sf_dir), "hvac_pct_of_bill", 35))
 
 
 def q_hist_wtp_by_class(spark, sf_dir):
-    return _round_doubles(distribution.histogram(loaded(spark, sf_dir), "wtp_aed_per_building", 30,
+    return _round_doubles(distribution.histogram(raw(spark, sf_dir), "wtp_aed_per_building", 30,
                                                  by="adoption_class"))
 
 
 def q_box_bill(spark, sf_dir):
-    return _round_doubles(distribution.box_stats(loaded(spark, sf_dir), "monthly_bill_aed", "segment",
+    return _round_doubles(distribution.box_stats(raw(spark, sf_dir), "monthly_bill_aed", "segment",
                                                  scale=1000.0))
 
 
 def q_box_wtp(spark, sf_dir):
-    return _round_doubles(distribution.box_stats(loaded(spark, sf_dir), "wtp_aed_per_building", "segment"))
+    return _round_doubles(distribution.box_stats(raw(spark, sf_dir), "wtp_aed_per_building", "segment"))
 
 
 def q_box_outliers(spark, sf_dir):
-    return _round_doubles(distribution.box_outliers(loaded(spark, sf_dir), "wtp_aed_per_building", "segment"))
+    return _round_doubles(distribution.box_outliers(raw(spark, sf_dir), "wtp_aed_per_building", "segment"))
 
 
 # ---------------------------------------------------------------- leads
 def q_lead_table(spark, sf_dir):
-    return leads.lead_table(loaded(spark, sf_dir))
+    return leads.lead_table(raw(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- baskets and rules
 def _rules(spark, sf_dir):
-    sets = basket.frequent_itemsets(basket.basket(loaded(spark, sf_dir)), 0.15)
+    sets = basket.frequent_itemsets(basket.basket(raw(spark, sf_dir)), 0.15)
     return basket.association_rules(sets, 1.2)
 
 
 def q_basket_items(spark, sf_dir):
-    b = basket.basket(loaded(spark, sf_dir))
+    b = basket.basket(raw(spark, sf_dir))
     return b.select("respondent_id", F.explode("items").alias("item"))
 
 
 def q_frequent_itemsets(spark, sf_dir):
-    sets = basket.frequent_itemsets(basket.basket(loaded(spark, sf_dir)), 0.15)
+    sets = basket.frequent_itemsets(basket.basket(raw(spark, sf_dir)), 0.15)
     return _round_doubles(sets.drop("items"))
 
 
@@ -283,21 +288,21 @@ def q_rules_summary(spark, sf_dir):
 
 
 def q_rules_min_lift(spark, sf_dir):
-    return basket.rules_table(basket.top_rules(_rules(spark, sf_dir), 20), 1.2)
+    return basket.rules_table(basket.top_rules(_rules(spark, sf_dir), 20), RULES_DISPLAY_LIFT)
 
 
 def q_rules_all(spark, sf_dir):
-    return _round_doubles(_rules(spark, sf_dir))
+    return _round_doubles(_rules(spark, sf_dir).drop("antecedent_items", "consequent_items"))
 
 
 # ---------------------------------------------------------------- scenarios
 def q_scenario_grid(spark, sf_dir):
-    acc = scenario.observed_acceptance(loaded(spark, sf_dir))
+    acc = scenario.observed_acceptance(raw(spark, sf_dir))
     return _round_doubles(scenario.scenario_grid(acc))
 
 
 def q_scenario_by_segment(spark, sf_dir):
-    return _round_doubles(scenario.scenario_by_segment(loaded(spark, sf_dir)))
+    return _round_doubles(scenario.scenario_by_segment(raw(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- labels, splits, metrics
@@ -309,32 +314,32 @@ def fixed_rule():
 
 def q_label_encode(spark, sf_dir):
     from canvass.operators import propensity
-    return propensity.label_encode(loaded(spark, sf_dir), "adoption_class").select(
+    return propensity.label_encode(raw(spark, sf_dir), "adoption_class").select(
         "respondent_id", "adoption_class", "label")
 
 
 def q_class_weights(spark, sf_dir):
     from canvass.operators import propensity
-    return _round_doubles(propensity.class_weights(loaded(spark, sf_dir), "adoption_class"))
+    return _round_doubles(propensity.class_weights(raw(spark, sf_dir), "adoption_class"))
 
 
 def q_stratified_split(spark, sf_dir):
-    s = split.stratified_split(loaded(spark, sf_dir), "adoption_class")
+    s = split.stratified_split(raw(spark, sf_dir), "adoption_class")
     return s.groupBy("adoption_class", "is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_cv_folds(spark, sf_dir):
-    f = split.stratified_folds(loaded(spark, sf_dir), "adoption_class", folds=5)
+    f = split.stratified_folds(raw(spark, sf_dir), "adoption_class", folds=5)
     return f.groupBy("adoption_class", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_random_split(spark, sf_dir):
-    s = split.random_split(loaded(spark, sf_dir))
+    s = split.random_split(raw(spark, sf_dir))
     return s.select("respondent_id", "is_test")
 
 
 def _fixed_predictions(spark, sf_dir):
-    return loaded(spark, sf_dir).select("respondent_id", F.col("adoption_class").alias("label"),
+    return raw(spark, sf_dir).select("respondent_id", F.col("adoption_class").alias("label"),
                                         fixed_rule().alias("prediction"))
 
 
@@ -351,7 +356,7 @@ def q_macro_f1_fixed_rule(spark, sf_dir):
 
 
 def _fixed_regression(spark, sf_dir):
-    df = split.random_split(loaded(spark, sf_dir)).where("is_test")
+    df = split.random_split(raw(spark, sf_dir)).where("is_test")
     return df.select("respondent_id", F.log1p("wtp_aed_per_building").alias("y"),
                      F.log1p(F.col("monthly_bill_aed") * 0.1).alias("prediction"))
 
@@ -374,13 +379,21 @@ def q_silhouette_given_labels(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- fitted-model reuse
+def _fit_key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """The application, the model and the input files with their times and sizes."""
+    paths = [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "part", "orders", "customer", "nation", "region")]
+    files = spark.read.format("binaryFile").load(paths).select("path", "modificationTime", "length")
+    print_ = files.agg(F.count("*"), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()
+    return spark.sparkContext.applicationId, sf_dir, tuple(print_), name
+
+
 _FITS: dict[tuple, object] = {}
 
 
 def _reuse(spark: SparkSession, sf_dir: str, name: str, build):
-    """One fit per (application, input, model) in a session, as the dashboard
-    memoises its model functions; a new Spark application refits."""
-    key = (spark.sparkContext.applicationId, sf_dir, _MATERIALIZED.get(sf_dir, ("",))[0], name)
+    """One fit per (application, input files, model) in a session, as the dashboard
+    memoises its model functions; a new Spark application or a rewritten input refits."""
+    key = _fit_key(spark, sf_dir, name)
     if key not in _FITS:
         _FITS[key] = build()
     return _FITS[key]
@@ -389,8 +402,9 @@ def _reuse(spark: SparkSession, sf_dir: str, name: str, build):
 # ---------------------------------------------------------------- clustering
 def _cluster_inputs(spark, sf_dir):
     from canvass.operators import cluster
-    scaled = cluster.scaled_matrix(loaded(spark, sf_dir), CLUSTER_FEATURES)
-    return cluster.with_vector(scaled, CLUSTER_FEATURES)
+    shown = {f"raw_{c}": c for c in PROFILE_COLS + ["monthly_bill_aed"]}
+    scaled = cluster.scaled_matrix(loaded(spark, sf_dir), CLUSTER_FEATURES, keep=shown)
+    return stored(cluster.with_vector(scaled, CLUSTER_FEATURES), "cluster-matrix")
 
 
 def q_scaled_matrix(spark, sf_dir):
@@ -401,11 +415,8 @@ def q_scaled_matrix(spark, sf_dir):
 def _kmeans(spark, sf_dir):
     from canvass.operators import cluster
 
-    def build():
-        vec = _cluster_inputs(spark, sf_dir).persist()
-        return vec, cluster.kmeans_best(vec, 5)
-    vec, fit = _reuse(spark, sf_dir, "kmeans5", build)
-    return cluster, vec, fit
+    vec = _cluster_inputs(spark, sf_dir)
+    return cluster, vec, _reuse(spark, sf_dir, "kmeans5", lambda: cluster.kmeans_best(vec, 5))
 
 
 def q_kmeans_assignments(spark, sf_dir):
@@ -417,8 +428,8 @@ def q_kmeans_assignments(spark, sf_dir):
 
 def q_cluster_profile(spark, sf_dir):
     cluster, vec, fit = _kmeans(spark, sf_dir)
-    return _round_doubles(cluster.cluster_profile(cluster.assign(fit, vec), loaded(spark, sf_dir),
-                                                  "respondent_id", PROFILE_COLS + ["monthly_bill_aed"]))
+    return _round_doubles(cluster.cluster_profile(
+        cluster.assign(fit, vec), {c: f"raw_{c}" for c in PROFILE_COLS + ["monthly_bill_aed"]}))
 
 
 def q_elbow(spark, sf_dir):
@@ -428,7 +439,7 @@ def q_elbow(spark, sf_dir):
 
 def q_pca_points(spark, sf_dir):
     from canvass.operators import cluster
-    vec = _cluster_inputs(spark, sf_dir).persist()
+    vec = _cluster_inputs(spark, sf_dir)
     pca = cluster.fit_pca(vec, CLUSTER_FEATURES)
     return _round_doubles(cluster.project(vec, pca, ["respondent_id"]))
 
@@ -456,7 +467,7 @@ def q_silhouette_kmeans(spark, sf_dir):
 # ---------------------------------------------------------------- classification
 def _forest(spark, sf_dir, cv=False):
     from canvass.operators import propensity
-    key = (spark.sparkContext.applicationId, sf_dir, _MATERIALIZED.get(sf_dir, ("",))[0], "forest-cvTrue")
+    key = _fit_key(spark, sf_dir, "forest-cvTrue")
     if not cv and key in _FITS:  # the cross-validated result carries the same forest
         return _FITS[key]
     return _reuse(spark, sf_dir, f"forest-cv{cv}",
@@ -499,18 +510,88 @@ def q_gbt_actual_vs_predicted(spark, sf_dir):
                                                        "respondent_id"))
 
 
+# ---------------------------------------------------------------- gaps in the data
+def _gappy(spark, sf_dir):
+    """The survey with gaps: NaN bills, null WTP values and classes, a constant
+    column, and a segment that one commercial model never meets."""
+    k = F.col("respondent_id")
+    model = F.when((F.col("segment") == "BUILDING") & (F.col("commercial_model") == _DROPPED_MODEL), None).otherwise(F.col("commercial_model"))
+    return raw(spark, sf_dir).withColumns({
+        "monthly_bill_aed": F.when(k % 7 == 0, F.lit(float("nan"))).otherwise(F.col("monthly_bill_aed").cast("double")),
+        "wtp_aed_per_building": F.when(k % 11 == 0, None).otherwise(F.col("wtp_aed_per_building")),
+        "adoption_class": F.when(k % 5 == 0, None).otherwise(F.col("adoption_class")),
+        "commercial_model": model, "constant": F.lit(3.5)})
+
+
+_DROPPED_MODEL = "3-MEDIUM"
+
+
+def q_gaps_impute(spark, sf_dir):
+    return clean.impute_median(_gappy(spark, sf_dir), ["monthly_bill_aed", "wtp_aed_per_building"]).select(
+        "respondent_id", "monthly_bill_aed", "wtp_aed_per_building")
+
+
+def q_gaps_crosstab(spark, sf_dir):
+    return _round_doubles(crosstab.crosstab(_gappy(spark, sf_dir), "segment", "commercial_model"))
+
+
+def q_gaps_group_means(spark, sf_dir):
+    return _round_doubles(crosstab.group_means(_gappy(spark, sf_dir), "segment", ["monthly_bill_aed"]))
+
+
+def q_gaps_outliers(spark, sf_dir):
+    return _round_doubles(distribution.box_outliers(_gappy(spark, sf_dir), "monthly_bill_aed", "segment"))
+
+
+def q_gaps_summary(spark, sf_dir):
+    return _round_doubles(profile.summary(_gappy(spark, sf_dir), ["constant", "monthly_bill_aed"]))
+
+
+def q_gaps_quadrants(spark, sf_dir):
+    q = profile.quadrants(_gappy(spark, sf_dir))
+    return q.groupBy("quadrant").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_gaps_leads(spark, sf_dir):
+    return leads.lead_table(_gappy(spark, sf_dir), [None]).select("lead_rank", "respondent_id")
+
+
+def q_quantiles_selected(spark, sf_dir):
+    """The quantile path of large groups: at most 50 values are ranked in a task."""
+    q = quantiles(raw(spark, sf_dir), ["monthly_bill_aed", "wtp_aed_per_building"], [0.25, 0.5, 0.85], ["segment"],
+                  finish_limit=50, buckets=64)
+    return _round_doubles(q)
+
+
+# ---------------------------------------------------------------- the calculator
+def q_calculator_fixed_acceptance(spark, sf_dir):
+    """Each segment's respondents in place of the buildings slider, at the
+    calculator's own acceptance, conversion 40 % and a fee of 7,000."""
+    sizes = raw(spark, sf_dir).where("segment is not null").groupBy("segment").agg(F.count(F.lit(1)).alias("population"))
+    pilots = L.truncate_to_long(F.col("population") * F.lit(CALCULATOR_ACCEPTANCE))
+    paid = L.truncate_to_long(F.col("pilots") * F.lit(40) / F.lit(100.0))
+    return sizes.withColumn("pilots", pilots).withColumn("paid_clients", paid).select(
+        "segment", "population", "pilots", "paid_clients", (F.col("paid_clients") * 7000).alias("mrr"),
+        (F.col("paid_clients") * 7000 * 12).alias("arr"), L.percent_label(F.lit(CALCULATOR_ACCEPTANCE * 100)).alias("acceptance_label"))
+
+
+# Fixed value: the pilot acceptance that the calculator uses.
+CALCULATOR_ACCEPTANCE = 0.539
+
+
 # ---------------------------------------------------------------- streaming
 def q_kpi_stream(spark, sf_dir):
-    """Running KPI counts after streaming the survey in as four files, one per micro-batch."""
+    """Running KPI counts after streaming the survey in file by file, one per micro-batch."""
     from canvass.session import scratch_path
     from canvass.streaming import kpi_stream
     folder = scratch_path(spark, "responses-stream")
-    raw(spark, sf_dir).repartition(4, "respondent_id").write.parquet(folder)
+    raw(spark, sf_dir).write.parquet(folder)
     out = scratch_path(spark, "kpi-stream-out")
     query = kpi_stream.start_to_table(
-        kpi_stream.running_kpis(kpi_stream.response_stream(spark, folder, files_per_trigger=1)), out)
+        kpi_stream.running_kpis(kpi_stream.response_stream(spark, folder, files_per_trigger=1)), out,
+        checkpoint=scratch_path(spark, "kpi-stream-ckpt"))
     query.awaitTermination()
-    return _round_doubles(spark.read.parquet(out))
+    return _round_doubles(kpi_stream.latest(spark, out))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -581,6 +662,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gbt_metrics": q_gbt_metrics,
     "gbt_actual_vs_predicted": q_gbt_actual_vs_predicted,
     "kpi_stream": q_kpi_stream,
+    "gaps_impute": q_gaps_impute,
+    "gaps_crosstab": q_gaps_crosstab,
+    "gaps_group_means": q_gaps_group_means,
+    "gaps_outliers": q_gaps_outliers,
+    "gaps_summary": q_gaps_summary,
+    "gaps_quadrants": q_gaps_quadrants,
+    "gaps_leads": q_gaps_leads,
+    "quantiles_selected": q_quantiles_selected,
+    "calculator_fixed_acceptance": q_calculator_fixed_acceptance,
 }
 
 assert len(RESPONSE_COLUMNS) == 40

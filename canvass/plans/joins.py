@@ -1,37 +1,23 @@
-"""Join helpers: broadcast only behind a checked size, shuffle join beyond it."""
+"""Join helpers: derived tables are written to the shared folder, so that Spark
+knows their size in bytes and broadcasts them only below its own threshold."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Largest number of rows a derived side may have to be broadcast. The sides
-# this library broadcasts are per-group statistics, bracket tables and fixed
-# dimension tables: narrow rows, so this bounds the broadcast to a few MB.
-BROADCAST_MAX_ROWS = 200_000
-# Session setting overriding the bound (per cluster sizing).
-CONF_BROADCAST_MAX_ROWS = "spark.canvass.broadcast.maxRows"
+from canvass.session import scratch_path
 
 
-def materialize_small(df: DataFrame) -> tuple[DataFrame, int]:
-    """Persist a derived table and count it once (one job)."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df, df.count()
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts the lineage,
+    holds no cache, and its size is known to the planner."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int | None = None) -> DataFrame:
-    """Join ``big`` to a side expected to be small.
-
-    The small side is persisted and counted first; it is broadcast only when it
-    has at most ``max_rows`` rows (default: ``spark.canvass.broadcast.maxRows``
-    or 200,000), otherwise the join is left to the planner (sort-merge with
-    AQE skew handling).
-    """
-    if max_rows is None:
-        max_rows = int(big.sparkSession.conf.get(CONF_BROADCAST_MAX_ROWS, None) or BROADCAST_MAX_ROWS)
-    small, n = materialize_small(small)
-    if n <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join ``big`` to a derived side that is small as a rule (group statistics,
+    brackets, supports). It is broadcast if its files are below
+    ``spark.sql.autoBroadcastJoinThreshold``, else the join shuffles."""
+    return big.join(stored(small, "small"), on, how)

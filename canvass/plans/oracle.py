@@ -8,7 +8,7 @@ the three load-time medians filled in.
 from __future__ import annotations
 
 from canvass.sources.fixtures import RESPONSES_SQL
-from canvass.sources.schema import CLUSTER_FEATURES, IMPUTED_AT_LOAD
+from canvass.sources.schema import CLUSTER_FEATURES, IMPUTED_AT_LOAD, PAIN_COLS, PROFILE_COLS, TECH_COLS
 
 _IMPUTED = ",\n".join(
     f"COALESCE(CAST({c} AS DOUBLE), (SELECT quantile_cont({c}, 0.5) FROM responses)) AS {c}"
@@ -86,7 +86,7 @@ SELECT respondent_id,
        CASE WHEN hvac_pct_of_bill IS NOT NULL THEN format('{:.1f}', hvac_pct_of_bill) || '%' END AS hvac_label,
        round(monthly_bill_aed / 1000, 6) AS bill_k,
        round(ln(1 + wtp_aed_per_building), 6) AS log_wtp,
-       'TECH:AI_MAIN' AS item_prefix,
+       substr('TECH:' || upper(building_type), 1, 12) AS item_prefix,
        'High Cost' AS pain_title,
        CAST(trunc(monthly_bill_aed / 1000) AS BIGINT) AS bill_k_int,
        'C' || CAST(realtime_visibility_score % 5 AS VARCHAR) AS code_name
@@ -182,8 +182,11 @@ FROM q WHERE segment IS NOT NULL GROUP BY segment, quadrant""")
 # ---------------------------------------------------------------- crosstabs, group profiles
 def _crosstab(row: str, col: str) -> str:
     return f"""
-, p AS (SELECT {row}, {col}, count(*) AS n FROM imputed WHERE {row} IS NOT NULL AND {col} IS NOT NULL
-        GROUP BY {row}, {col})
+, o AS (SELECT {row}, {col}, count(*) AS n FROM imputed WHERE {row} IS NOT NULL AND {col} IS NOT NULL
+        GROUP BY {row}, {col}),
+p AS (SELECT a.{row}, b.{col}, COALESCE(o.n, 0) AS n
+      FROM (SELECT DISTINCT {row} FROM o) a CROSS JOIN (SELECT DISTINCT {col} FROM o) b
+      LEFT JOIN o ON o.{row} = a.{row} AND o.{col} = b.{col})
 SELECT {row}, {col}, n, round(n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY {row}), 6) AS pct FROM p"""
 
 
@@ -218,18 +221,13 @@ def _group_means(cols, prefix: str, metric: str, value: str) -> str:
     return "\nUNION ALL ".join(parts)
 
 
-_PAIN = ["pain_high_cost", "pain_old_hvac", "pain_no_data", "pain_occupancy",
-         "pain_wastage", "pain_comfort", "pain_maintenance", "pain_compliance"]
-_TECH = ["tech_smart_meter", "tech_iot_sensor", "tech_bms", "tech_ai_maintenance", "tech_solar", "tech_none"]
-_PROFILE = ["ai_openness", "pilot_interest", "realtime_visibility_score", "stakeholder_pressure",
-            "hvac_satisfaction"]
 
-ORACLE["pain_prevalence"] = sql(_group_means(_PAIN, "pain_", "item", "rate"))
-ORACLE["tech_deployment"] = sql(_group_means(_TECH, "tech_", "item", "rate"))
+ORACLE["pain_prevalence"] = sql(_group_means(PAIN_COLS, "pain_", "item", "rate"))
+ORACLE["tech_deployment"] = sql(_group_means(TECH_COLS, "tech_", "item", "rate"))
 
 _PROFILE_CTE = ", gm AS (" + " UNION ALL ".join(
     f"SELECT segment, '{c}' AS metric, avg({c}) AS mean, {_title_sql(repr(c.replace('_', ' ')))} AS label "
-    f"FROM imputed WHERE segment IS NOT NULL GROUP BY segment" for c in _PROFILE) + """),
+    f"FROM imputed WHERE segment IS NOT NULL GROUP BY segment" for c in PROFILE_COLS) + """),
 sc AS (SELECT segment, metric, mean, label,
               (mean - min(mean) OVER (PARTITION BY metric))
               / NULLIF(max(mean) OVER (PARTITION BY metric) - min(mean) OVER (PARTITION BY metric), 0) AS scaled
@@ -322,6 +320,7 @@ FROM imputed WHERE adoption_class IN ('High-Intent Buyer')
 ORDER BY lead_rank LIMIT 50""")
 
 # ---------------------------------------------------------------- baskets and rules
+# The basket's flags and their item names.
 _BASKET = [("pain_high_cost", "PAIN:HIGH_COST"), ("pain_old_hvac", "PAIN:OLD_HVAC"),
            ("pain_no_data", "PAIN:NO_DATA"), ("pain_compliance", "PAIN:COMPLIANCE"),
            ("monitor_bms", "MON:BMS"), ("monitor_iot", "MON:IOT"), ("tech_bms", "TECH:BMS"),
@@ -380,7 +379,7 @@ SELECT count(*), round(max(lift), 6), round(max(confidence), 6), 'all' FROM ru""
 
 ORACLE["rules_min_lift"] = sql(_RULES_CTE + """
 SELECT antecedents, consequents, round_even(support, 3) AS support, round_even(confidence, 3) AS confidence,
-       round_even(lift, 3) AS lift FROM top WHERE lift >= 1.2""")
+       round_even(lift, 3) AS lift FROM top WHERE lift >= 1.385""")
 
 # ---------------------------------------------------------------- scenarios
 _FUNNEL = """
@@ -545,3 +544,65 @@ def _bigint_counts(text: str) -> str:
 
 
 ORACLE = {name: _bigint_counts(text) for name, text in ORACLE.items()}
+
+# ---------------------------------------------------------------- gaps in the data
+_GAPPY = """
+, g AS (SELECT * REPLACE (
+    CASE WHEN respondent_id % 7 = 0 THEN NULL ELSE CAST(monthly_bill_aed AS DOUBLE) END AS monthly_bill_aed,
+    CASE WHEN respondent_id % 11 = 0 THEN NULL ELSE wtp_aed_per_building END AS wtp_aed_per_building,
+    CASE WHEN respondent_id % 5 = 0 THEN NULL ELSE adoption_class END AS adoption_class,
+    CASE WHEN segment = 'BUILDING' AND commercial_model = '3-MEDIUM' THEN NULL ELSE commercial_model END AS commercial_model),
+    3.5::DOUBLE AS constant FROM responses)"""
+
+ORACLE["gaps_impute"] = sql(_GAPPY + """
+SELECT respondent_id, COALESCE(monthly_bill_aed, (SELECT quantile_cont(monthly_bill_aed, 0.5) FROM g)) AS monthly_bill_aed,
+       COALESCE(CAST(wtp_aed_per_building AS DOUBLE), (SELECT quantile_cont(wtp_aed_per_building, 0.5) FROM g)) AS wtp_aed_per_building
+FROM g""")
+ORACLE["gaps_crosstab"] = sql(_GAPPY + """
+, c AS (SELECT s.segment, m.commercial_model,
+               (SELECT count(*) FROM g WHERE g.segment = s.segment AND g.commercial_model = m.commercial_model) AS n
+        FROM (SELECT DISTINCT segment FROM g WHERE segment IS NOT NULL AND commercial_model IS NOT NULL) s
+        CROSS JOIN (SELECT DISTINCT commercial_model FROM g WHERE segment IS NOT NULL AND commercial_model IS NOT NULL) m)
+SELECT segment, commercial_model, n, round(n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY segment), 6) AS pct FROM c""")
+ORACLE["gaps_group_means"] = sql(_GAPPY + """
+SELECT segment, 'monthly_bill_aed' AS item, round(avg(monthly_bill_aed), 6) AS rate, 'Monthly Bill Aed' AS label
+FROM g WHERE segment IS NOT NULL GROUP BY segment""")
+ORACLE["gaps_outliers"] = sql(_GAPPY + """
+, q AS (SELECT segment, quantile_cont(monthly_bill_aed, 0.25) AS q1, quantile_cont(monthly_bill_aed, 0.75) AS q3
+        FROM g WHERE segment IS NOT NULL GROUP BY segment)
+SELECT respondent_id, g.segment, round(monthly_bill_aed, 6) AS value,
+       CASE WHEN monthly_bill_aed < q1 - 1.5 * (q3 - q1) THEN 'low' ELSE 'high' END AS side
+FROM g JOIN q ON q.segment = g.segment
+WHERE monthly_bill_aed < q1 - 1.5 * (q3 - q1) OR monthly_bill_aed > q3 + 1.5 * (q3 - q1)""")
+ORACLE["gaps_summary"] = sql(_GAPPY + """
+SELECT 'all' AS scope, 'constant' AS metric, count(*) AS n, 3.5::DOUBLE AS mean, 3.5::DOUBLE AS median, 0::DOUBLE AS skew,
+       3.5::DOUBLE AS q_upper, 3.5::DOUBLE AS min, 3.5::DOUBLE AS max FROM g
+UNION ALL
+SELECT 'all', 'monthly_bill_aed', count(monthly_bill_aed), round(avg(monthly_bill_aed), 6),
+       round(quantile_cont(monthly_bill_aed, 0.5), 6), round(skewness(monthly_bill_aed), 6),
+       round(quantile_cont(monthly_bill_aed, 0.85), 6), round(min(monthly_bill_aed), 6), round(max(monthly_bill_aed), 6) FROM g""")
+ORACLE["gaps_quadrants"] = sql(_GAPPY + """
+, m AS (SELECT quantile_cont(monthly_bill_aed, 0.5) AS x, quantile_cont(wtp_aed_per_building, 0.5) AS y FROM g)
+SELECT CASE WHEN monthly_bill_aed IS NULL OR wtp_aed_per_building IS NULL THEN NULL
+            WHEN monthly_bill_aed > x AND wtp_aed_per_building > y THEN 'Prime Target'
+            WHEN monthly_bill_aed > x THEN 'High Bill, Low WTP'
+            WHEN wtp_aed_per_building > y THEN 'Low Bill, High WTP'
+            ELSE 'Low Priority' END AS quadrant, count(*) AS n
+FROM g, m GROUP BY 1""")
+ORACLE["gaps_leads"] = sql(_GAPPY + """
+SELECT row_number() OVER (ORDER BY pilot_interest DESC NULLS LAST, ai_openness DESC NULLS LAST, respondent_id) AS lead_rank,
+       respondent_id
+FROM g WHERE adoption_class IS NULL ORDER BY lead_rank LIMIT 50""")
+ORACLE["quantiles_selected"] = sql("""
+, v AS (UNPIVOT (SELECT segment, CAST(monthly_bill_aed AS DOUBLE) AS monthly_bill_aed,
+                        CAST(wtp_aed_per_building AS DOUBLE) AS wtp_aed_per_building FROM responses WHERE segment IS NOT NULL)
+        ON monthly_bill_aed, wtp_aed_per_building INTO NAME metric VALUE x)
+SELECT segment, metric, p, count(x) AS n,
+       round(CASE p WHEN 0.25 THEN quantile_cont(x, 0.25) WHEN 0.5 THEN quantile_cont(x, 0.5) ELSE quantile_cont(x, 0.85) END, 6) AS value
+FROM v, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.85::DOUBLE)) t(p) GROUP BY segment, metric, p""")
+ORACLE["calculator_fixed_acceptance"] = sql("""
+, s AS (SELECT segment, count(*) AS population FROM responses WHERE segment IS NOT NULL GROUP BY segment),
+p AS (SELECT *, CAST(trunc(population * 0.539::DOUBLE) AS BIGINT) AS pilots FROM s),
+c AS (SELECT *, CAST(trunc(pilots * 40 / 100.0::DOUBLE) AS BIGINT) AS paid_clients FROM p)
+SELECT segment, population, pilots, paid_clients, paid_clients * 7000 AS mrr, paid_clients * 7000 * 12 AS arr,
+       '53.9%' AS acceptance_label FROM c""")

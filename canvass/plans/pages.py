@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 
 from canvass.operators import (basket, cluster, crosstab, distribution, evaluate, leads, price, profile,
                                propensity, scenario, select)
-from canvass.sources.schema import CLUSTER_FEATURES, PAIN_COLS, PROFILE_COLS, SPIKE_ORDER, TECH_COLS
+from canvass.plans.joins import stored
+from canvass.sources.schema import CLUSTER_FEATURES, PAIN_COLS, PROFILE_COLS, SEGMENTS, SPIKE_ORDER, TECH_COLS
 
 
 def selections(segments: Sequence | None = None, emirates: Sequence | None = None) -> dict:
@@ -66,7 +67,7 @@ def segmentation(view: DataFrame, segments: Sequence | None = None) -> dict[str,
         "tech": crosstab.group_means(dfs, "segment", TECH_COLS, "tech_"),
         "commercial_model": crosstab.crosstab(dfs, "segment", "commercial_model"),
         "score_profile": prof,
-        "score_profile_by_metric": crosstab.transpose(prof, "metric", "segment", "scaled"),
+        "score_profile_by_metric": crosstab.transpose(prof, "metric", "segment", "scaled", segments or SEGMENTS),
         "median_wtp": _median_wtp(dfs),
     }
 
@@ -82,7 +83,8 @@ def _median_wtp(dfs: DataFrame) -> DataFrame:
 
 
 def clusters(df: DataFrame, k: int = 5) -> dict[str, DataFrame]:
-    vec = cluster.with_vector(cluster.scaled_matrix(df, CLUSTER_FEATURES), CLUSTER_FEATURES).persist()
+    vec = cluster.with_vector(cluster.scaled_matrix(df, CLUSTER_FEATURES), CLUSTER_FEATURES)
+    vec = stored(vec, "cluster-matrix")
     fit = cluster.kmeans_best(vec, k)
     pca = cluster.fit_pca(vec, CLUSTER_FEATURES)
     assigned = cluster.assign(fit, vec)

@@ -9,24 +9,35 @@ machine-local temp dir.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canvass.session import scratch_path
 from canvass.sources.schema import RESPONSES_SCHEMA
 
+# Texts that a survey file may hold for a missing value.
+MISSING_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                  "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
 
 def read_responses(spark: SparkSession, path: str, fmt: str = "parquet", header: bool = True,
                    schema=None) -> DataFrame:
     """Read a survey file (CSV with a header row, or parquet) with the declared schema.
 
-    ``schema`` overrides the declared one, e.g. :func:`string_id_schema` for
-    files whose respondent ids are text.
+    ``schema`` overrides the declared one, e.g. for files whose respondent ids
+    are text. Missing values are null whatever their form: the empty field and
+    ``MISSING_TOKENS`` in a CSV file, NaN in any floating column. Any other text
+    that its column's type can't hold stops the load.
     """
-    reader = spark.read.schema(schema or RESPONSES_SCHEMA)
+    schema = schema or RESPONSES_SCHEMA
     if fmt == "csv":
-        return reader.option("header", header).option("mode", "FAILFAST").csv(path)
-    if fmt == "parquet":
-        return reader.parquet(path)
-    return reader.format(fmt).load(path)
+        text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+        rows = spark.read.schema(text).option("header", header).option("mode", "FAILFAST").csv(path)
+        rows = rows.select(*[F.when(~F.col(f.name).isin(MISSING_TOKENS), F.col(f.name)).cast(f.dataType).alias(f.name) for f in schema])
+    else:
+        rows = spark.read.schema(schema).format(fmt).load(path)
+    floating = [f for f in schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return rows.withColumns({f.name: F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType)) for f in floating})
 
 
 def write_csv(df: DataFrame, path: str | None = None) -> str:
@@ -42,9 +53,3 @@ def write_table(df: DataFrame, path: str | None = None, name: str = "table") ->
     df.write.mode("overwrite").parquet(path)
     return path
 
-
-def string_id_schema():
-    """The declared schema with a text ``respondent_id``."""
-    from pyspark.sql import types as T
-    return T.StructType([T.StructField(f.name, T.StringType(), False) if f.name == "respondent_id" else f
-                         for f in RESPONSES_SCHEMA.fields])

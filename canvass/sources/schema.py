@@ -41,9 +41,11 @@ LEAD_VIEW_COLS = ["respondent_id", "segment", "building_type", "primary_emirate"
                   "adoption_class", "pilot_interest", "ai_openness",
                   "wtp_aed_per_building", "monthly_bill_aed"]
 IMPUTED_AT_LOAD = ["hvac_satisfaction", "stakeholder_pressure", "feat_carbon"]
-ADOPTION_CLASSES = ["Evaluator", "High-Intent Buyer", "Not Ready"]
+# The segments of the stand-in survey.
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 SPIKE_ORDER = ["<20%", "20-50%", "51-100%", ">100%"]
 
+# The survey's whole-number columns, and its fields in order.
 _INT_COLS = [
     "realtime_visibility_score", "hvac_satisfaction", "stakeholder_pressure", "ai_openness",
     "pilot_interest", "feat_dashboard", "feat_auto_hvac", "feat_occupancy", "feat_predictive",

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from canvass.operators.profile import share
-from canvass.session import scratch_path
 from canvass.sources.schema import RESPONSES_SCHEMA
 
 
@@ -50,16 +49,21 @@ def running_kpis(stream: DataFrame, by: str = "segment", high_class: str = "High
         F.try_divide(F.col("hvac_sum"), F.col("hvac_n")).alias("hvac_avg"))
 
 
-def start_to_table(kpis: DataFrame, table_path: str, checkpoint: str | None = None,
-                   available_now: bool = True) -> StreamingQuery:
-    """Write each micro-batch's full KPI table (complete mode) as parquet at
-    ``table_path`` through ``foreachBatch``; returns the running query."""
-    spark = kpis.sparkSession
-    checkpoint = checkpoint or scratch_path(spark, "kpi-stream-ckpt")
-
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(table_path)
+def start_to_table(kpis: DataFrame, table_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Write each micro-batch's full KPI table (complete mode) as parquet in a
+    folder of its own, ``batch=<number>`` under ``table_path``; returns the
+    running query. A batch that runs again after a crash rewrites only its own
+    folder, so :func:`latest` always finds a whole table. ``checkpoint`` must be
+    the same at a restart for state and progress to go on."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table_path}/batch={epoch}")
 
     w = kpis.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
+
+
+def latest(spark: SparkSession, table_path: str) -> DataFrame:
+    """The KPI table of the last batch that was written whole."""
+    every = spark.read.parquet(table_path)
+    return every.where(F.col("batch") == every.agg(F.max("batch")).scalar()).drop("batch")
