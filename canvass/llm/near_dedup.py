@@ -4,14 +4,18 @@ A document is the set of its distinct word shingles, each a 64-bit hash; its
 sketch is the ``SKETCH`` smallest. Documents with equal sets are one class from
 the start. Inverted lists of the retained values give the classes that overlap;
 of each sketch only as many values are listed, rarest first, as are needed to
-meet every class that it could be linked with. The shares of common values
-among the smallest of the united sketches estimate the similarity; what remains
-is confirmed on the full sets, made again from the texts.
-
-No list is expanded into all its pairs: a list first links its members to one
-of them (two rounds, with different ones). What is then in one component needs
-no further pair; only members of different components of a list are compared
-with each other in the last round, so no link between components is lost.
+meet every class that it could be linked with. For the classes that meet one
+there, the same is done with their full sets, where the needed number is exact:
+a class with too many shingles of its own leaves, and a shingle that many share
+lists only those that have no rarer ones to meet by. The shares of common values
+among the smallest of the united sketches estimate the similarity of a pair; what
+remains is confirmed on the full sets, made again from the texts.
+
+No list is expanded into all its pairs: a list first links its members to one of
+them (in the first round to that with the fewest shingles of its own, the
+likeliest centre of its copies, then to others). What is then in one component
+needs no further pair; only members of different components of a list are
+compared with each other in the last round, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ SKETCH = 64
 #: over four standard deviations of an estimate from ``SKETCH`` values.
 SLACK = 0.2
 #: Rounds that link a list's members to one of them before members are compared.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -101,26 +105,41 @@ def sketches(docs: DataFrame) -> DataFrame:
         _sketches, "doc_id long, n_shingles long, set_key binary, sketch array<long>")
 
 
-def _listed(n: Column, percent: int) -> Column:
+def _of_sketch(percent: int) -> Column:
     """How many of its rarest retained values a class must list: one more than
     it can have without meeting a linked class. A full sketch shares at least
     the share ``percent / 100 - SLACK`` of its values with a linked one's; a set
     that is its own sketch shares what its size demands."""
+    n = F.col("n")
     full = F.lit(SKETCH - int(np.ceil((percent / 100 - SLACK) * SKETCH)) + 1)
     beyond = F.greatest(F.floor(n * 100 / percent) - SKETCH, F.lit(0))
     return F.when(n >= SKETCH, full).otherwise(n - F.ceil(n * percent / 100) + beyond + 1)
 
 
-def postings(classes: DataFrame, percent: int) -> DataFrame:
-    """(value, rep, n): the inverted lists of at least two classes each."""
+def _of_set(percent: int) -> Column:
+    """How many of its rarest shingles a class must list to meet every linked one."""
+    return F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+
+
+def postings(classes: DataFrame, held: Column, wanted: Column) -> DataFrame:
+    """(value, rep, n, alone): the inverted lists, of at least two classes each,
+    of the ``wanted`` rarest values of each (rep, n, sketch); ``held`` is the
+    number of its values, alone how many of them no other class has."""
     every = classes.select("rep", "n", F.explode("sketch").alias("value"))
     frequent = every.groupBy("value").agg(F.count("*").alias("uses")).where("uses > 1")
     live = (every.join(frequent, "value").groupBy("rep", "n")
-            .agg(F.array_sort(F.collect_list(F.struct("uses", "value"))).alias("listed")))
-    alone = F.least("n", F.lit(SKETCH)) - F.size("listed")
-    take = F.greatest(_listed(F.col("n"), percent) - alone, F.lit(0)).cast("int")
-    return (live.select("rep", "n", F.explode(F.slice("listed", F.lit(1), take)).alias("x"))
-            .select(F.col("x.value").alias("value"), "rep", "n"))
+            .agg(F.array_sort(F.collect_list(F.struct("uses", "value"))).alias("listed"))
+            .withColumn("alone", held - F.size("listed")))
+    take = F.greatest(wanted - F.col("alone"), F.lit(0)).cast("int")
+    return (live.select("rep", "n", "alone", F.explode(F.slice("listed", F.lit(1), take)).alias("x"))
+            .select(F.col("x.value").alias("value"), "rep", "n", "alone"))
+
+
+def _full_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches, "text"):
+        sets = shingle_sets(*byte_view(batch.column("text")))
+        yield pa.RecordBatch.from_arrays([
+            batch.column("rep"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "n", "sketch"])
 
 
 def _similar_size(a: str, b: str, percent: int) -> Column:
@@ -175,17 +194,20 @@ def near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     classes = written(
         sets.where("n_shingles > 0 and doc_id is not null").groupBy("set_key")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    lists = written(postings(classes, percent), "lists")
+    met = written(postings(classes, F.least("n", F.lit(SKETCH)), _of_sketch(percent)).select("rep").distinct(), "met")
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(sized(met, 16), "rep", "left_semi")
+                    .groupBy("rep").agg(F.max("text").alias("text")), "texts")
+    sets_met = texts.mapInArrow(_full_sets, "rep long, n long, sketch array<long>")
+    lists = written(postings(sets_met, F.col("n"), _of_set(percent)), "lists")
     listed = written(lists.select("rep").distinct(), "listed")
     near = written(classes.join(sized(listed, 16), "rep", "left_semi").select("rep", "sketch"), "near")
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(sized(listed, 16), "rep", "left_semi")
-                    .groupBy("rep").agg(F.max("text").alias("text")), "texts")
 
     links, of = None, listed.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
     for number in range(STAR_ROUNDS + 1):
         open_ = lists.join(of, lists["rep"] == of["node"]).drop("node")
         several = open_.groupBy("value").agg(
-            F.min_by(F.struct("rep", "n", "component"), F.col("rep") if not number else F.xxhash64("rep", "value")).alias("middle"),
+            F.min_by(F.struct("rep", "n", "component"),
+                     F.struct("alone", "rep") if not number else F.struct(F.xxhash64(F.lit(number), "rep", "value"))).alias("middle"),
             F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
         if number < STAR_ROUNDS:
             met = open_.join(several, "value").select(
