@@ -120,11 +120,16 @@ def quantiles(df: DataFrame, columns, probs, by=(), *, finish_limit: int | None
     out = (
         targets.join(t0, gk + ["k0"]).join(t1, gk + ["k1"])
         .select(*keys, "metric", "p", "n",
-                (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")).alias("value"))
+                _between(F.col("v0"), F.col("v1"), F.col("frac")).alias("value"))
     )
     return out
 
 
+def _between(v0, v1, frac):
+    """Linear interpolation; equal ends (infinite ones too) are the value itself."""
+    return F.when((v0 == v1) | (frac == 0), v0).otherwise(v0 + (v1 - v0) * frac)
+
+
 def _direct(data: DataFrame, keys: list[str], gk: list[str], probs: list[float]) -> DataFrame:
     """Every group holds at most ``finish_limit`` values.
 
@@ -154,7 +159,7 @@ def _direct(data: DataFrame, keys: list[str], gk: list[str], probs: list[float])
         F.max(F.when(covers(F.ceil(pos)), F.col("x"))).alias("v1"))
     frac = pos - F.floor(pos)
     return ends.select(*keys, "metric", "p", "n",
-                       (F.col("v0") + (F.col("v1") - F.col("v0")) * frac).alias("value"))
+                       _between(F.col("v0"), F.col("v1"), frac).alias("value"))
 
 
 def _refine(data: DataFrame, state: DataFrame, active, gk: list[str], buckets: int) -> DataFrame:
