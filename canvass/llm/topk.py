@@ -30,7 +30,7 @@ from .common import written
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
 #: Depths, as shares of the lists, at which the bounds are looked at.
-DEPTHS = (0.25, 0.6)
+DEPTHS = (0.5, 0.9)
 
 _BLOCK = "block long, dim int, ids binary, data binary"
 
