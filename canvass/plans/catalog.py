@@ -510,6 +510,59 @@ def q_gbt_actual_vs_predicted(spark, sf_dir):
                                                        "respondent_id"))
 
 
+# ---------------------------------------------------------------- facts that any right fit must meet
+def q_kmeans_facts(spark, sf_dir):
+    """Rows whose cluster isn't that of the nearest centre (none), and whether the
+    fit's cost is the inertia of its clusters about their own means."""
+    from pyspark.ml.functions import vector_to_array
+    cluster, vec, fit = _kmeans(spark, sf_dir)
+    centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in fit.model.clusterCenters()])
+    x = vector_to_array(F.col("features"))
+    sq = lambda c: F.aggregate(F.zip_with("x", c, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda a, v: a + v)
+    far = fit.model.transform(vec).select("cluster_raw", x.alias("x")).select("cluster_raw", F.transform(centers, sq).alias("d"))
+    own = F.element_at("d", F.col("cluster_raw") + 1)
+    assigned = cluster.assign(fit, vec).select(F.col("respondent_id").alias("point_id"), "cluster", F.posexplode(x).alias("dim", "value"))
+    inertia = evaluate.inertia(assigned).agg(F.sum("inertia")).scalar()
+    return far.agg(F.count(F.lit(1)).alias("n"), F.count_if(own > F.array_min("d") * (1 + 1e-9)).alias("n_not_nearest"),
+                   (F.abs(inertia - fit.cost) <= 1e-4 * fit.cost).alias("cost_is_inertia"))
+
+
+def q_pca_facts(spark, sf_dir):
+    """Per component: the loadings' length is 1, and the projected points' variance
+    is the share of the total variance that the component explains."""
+    from canvass.operators import cluster
+    vec = _cluster_inputs(spark, sf_dir)
+    pca = cluster.fit_pca(vec, CLUSTER_FEATURES)
+    points = cluster.project(vec, pca, ["respondent_id"])
+    total = vec.agg(sum((F.var_samp(c) for c in CLUSTER_FEATURES), F.lit(0.0))).scalar()
+    rows = None
+    for j, w in enumerate(pca.loadings):
+        row = points.agg(F.lit(f"PC{j + 1}").alias("component"),
+                         (F.abs(F.lit(sum(x * x for x in w)) - 1) < 1e-9).alias("unit_length"),
+                         (F.abs(F.var_samp(f"pc{j + 1}") / total - pca.explained[j]) < 1e-6).alias("variance_explained"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+def q_rf_test_rows(spark, sf_dir):
+    """Test rows per class in the forest's confusion table: those of the stratified split."""
+    conf = evaluate.confusion(_forest(spark, sf_dir).test_predictions, "actual", "predicted")
+    return conf.groupBy(F.col("actual").alias("adoption_class")).agg(F.sum("n").alias("n"))
+
+
+def q_gbt_test_rows(spark, sf_dir):
+    """The boosting model's test rows and their targets: those of the random split."""
+    p = _boost(spark, sf_dir).test_predictions
+    return _round_doubles(p.select("respondent_id", F.col("y").alias("log_wtp")))
+
+
+def q_importance_facts(spark, sf_dir):
+    """Features per model, and whether their importances sum to 1."""
+    both = _forest(spark, sf_dir).importances.withColumn("model", F.lit("forest")).unionByName(
+        _boost(spark, sf_dir).importances.withColumn("model", F.lit("boosting")))
+    return both.groupBy("model").agg(F.count(F.lit(1)).alias("n_features"), (F.abs(F.sum("importance") - 1) < 1e-6).alias("sum_is_1"))
+
+
 # ---------------------------------------------------------------- gaps in the data
 def _gappy(spark, sf_dir):
     """The survey with gaps: NaN bills, null WTP values and classes, a constant
@@ -662,6 +715,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gbt_metrics": q_gbt_metrics,
     "gbt_actual_vs_predicted": q_gbt_actual_vs_predicted,
     "kpi_stream": q_kpi_stream,
+    "kmeans_facts": q_kmeans_facts,
+    "pca_facts": q_pca_facts,
+    "rf_test_rows": q_rf_test_rows,
+    "gbt_test_rows": q_gbt_test_rows,
+    "importance_facts": q_importance_facts,
     "gaps_impute": q_gaps_impute,
     "gaps_crosstab": q_gaps_crosstab,
     "gaps_group_means": q_gaps_group_means,

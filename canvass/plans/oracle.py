@@ -606,3 +606,16 @@ p AS (SELECT *, CAST(trunc(population * 0.539::DOUBLE) AS BIGINT) AS pilots FROM
 c AS (SELECT *, CAST(trunc(pilots * 40 / 100.0::DOUBLE) AS BIGINT) AS paid_clients FROM p)
 SELECT segment, population, pilots, paid_clients, paid_clients * 7000 AS mrr, paid_clients * 7000 * 12 AS arr,
        '53.9%' AS acceptance_label FROM c""")
+
+# ---------------------------------------------------------------- facts of the fitted models
+ORACLE["kmeans_facts"] = sql("SELECT count(*) AS n, 0::BIGINT AS n_not_nearest, true AS cost_is_inertia FROM responses")
+ORACLE["pca_facts"] = "SELECT 'PC' || i AS component, true AS unit_length, true AS variance_explained FROM range(1, 3) t(i)"
+ORACLE["rf_test_rows"] = sql(f"""
+, u AS (SELECT adoption_class, {_U.format(seed=42)} AS u FROM imputed WHERE adoption_class IS NOT NULL),
+t AS (SELECT adoption_class, quantile_cont(u, 0.25) AS t FROM u GROUP BY 1)
+SELECT adoption_class, count_if(u <= t)::BIGINT AS n FROM u JOIN t USING (adoption_class) GROUP BY 1""")
+ORACLE["gbt_test_rows"] = sql(f"""
+SELECT respondent_id, round(ln(1 + CAST(wtp_aed_per_building AS DOUBLE)), 6) AS log_wtp FROM imputed
+WHERE wtp_aed_per_building IS NOT NULL AND {_U.format(seed=42)} < 0.25::DOUBLE""")
+ORACLE["importance_facts"] = """
+SELECT 'forest' AS model, 17::BIGINT AS n_features, true AS sum_is_1 UNION ALL SELECT 'boosting', 12, true"""
