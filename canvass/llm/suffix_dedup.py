@@ -198,7 +198,8 @@ def merge(strings: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.nd
 
 def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, part) to the spans (doc_id, lo, hi) of repeats; of a
-    split collection also each window that it keeps, with its digest."""
+    segment of a split collection also the starts of the windows that it keeps
+    with their digests, in one row."""
     held: dict[str, list] = {c: [] for c in ("key", "part", "split", "doc_id", "start", "segment")}
 
     def run(rows: dict[str, list]) -> Iterator[pa.RecordBatch]:
@@ -219,13 +220,11 @@ def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo, hi = at[first], at[np.r_[first[1:], True]]
             k = owner[lo]
             yield _spans(doc[k], start[k] + lo - base[k], start[k] + hi - base[k] + LENGTH, None)
-        for k, split in enumerate(rows["split"]):
-            if split:
-                kept = [t for t in range(windows[k]) if not gone[base[k] + t]]
-                if kept:
-                    digests = [hashlib.blake2b(strings[k][t:t + LENGTH], digest_size=16).digest() for t in kept]
-                    at = start[k] + np.array(kept)
-                    yield _spans(np.full(len(kept), doc[k]), at, at + LENGTH, digests)
+        split = np.flatnonzero(rows["split"])
+        if len(split):
+            kept = [[{"at": int(start[k] + t), "digest": hashlib.blake2b(strings[k][t:t + LENGTH], digest_size=16).digest()}
+                     for t in range(windows[k]) if not gone[base[k] + t]] for k in split.tolist()]
+            yield _spans(doc[split], start[split], start[split], kept)
 
     size = 0
     for batch in batches:
@@ -240,9 +239,10 @@ def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(held)
 
 
-def _spans(doc, lo, hi, digests) -> pa.RecordBatch:
-    digests = pa.nulls(len(doc), pa.binary()) if digests is None else pa.array(digests, pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(lo), pa.array(hi), digests], ["doc_id", "lo", "hi", "digest"])
+def _spans(doc, lo, hi, kept) -> pa.RecordBatch:
+    kind = pa.list_(pa.struct([("at", pa.int64()), ("digest", pa.binary())]))
+    kept = pa.nulls(len(doc), kind) if kept is None else pa.array(kept, kind)
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(lo), pa.array(hi), kept], ["doc_id", "lo", "hi", "kept"])
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,12 +281,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     cut = with_spots.join(spots, "doc_id").select("doc_id", "text", "spots").mapInArrow(
         _cut, "key long, part int, split boolean, doc_id long, start long, segment binary")
     merged = written(cut.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(
-        _merged, "doc_id long, lo long, hi long, digest binary"), "merged")
+        _merged, "doc_id long, lo long, hi long, kept array<struct<at:long,digest:binary>>"), "merged")
 
-    kept = merged.where("digest is not null")
+    kept = merged.where("kept is not null").select("doc_id", F.explode("kept").alias("w")).select(
+        "doc_id", F.col("w.at").alias("lo"), (F.col("w.at") + LENGTH).alias("hi"), F.col("w.digest").alias("digest"))
     first = kept.groupBy("digest").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("uses")).where("uses > 1")
     across = kept.join(first, "digest").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("lo") != F.col("first.lo")))
-    spans = copies.unionByName(merged.where("digest is null").select("doc_id", "lo", "hi")).unionByName(across.select("doc_id", "lo", "hi"))
+    spans = copies.unionByName(merged.where("kept is null").select("doc_id", "lo", "hi")).unionByName(across.select("doc_id", "lo", "hi"))
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
