@@ -6,8 +6,9 @@ the start. Inverted lists of the retained values give the classes that overlap;
 of each sketch only as many values are listed, rarest first, as are needed to
 meet every class that it could be linked with. For the classes that meet one
 there, the same is done with their full sets, where the needed number is exact:
-a class with too many shingles of its own leaves, and a shingle that many share
-lists only those that have no rarer ones to meet by. The shares of common values
+a class with too many shingles of its own leaves, a shingle that many share lists
+only those that have no rarer ones to meet by, and two of a list are a pair only if
+what each has from that shingle on suffices. The shares of common values
 among the smallest of the united sketches estimate the similarity of a pair; what
 remains is confirmed on the full sets, made again from the texts.
 
@@ -122,17 +123,18 @@ def _of_set(percent: int) -> Column:
 
 
 def postings(classes: DataFrame, held: Column, wanted: Column) -> DataFrame:
-    """(value, rep, n, alone): the inverted lists, of at least two classes each,
-    of the ``wanted`` rarest values of each (rep, n, sketch); ``held`` is the
-    number of its values, alone how many of them no other class has."""
+    """(value, rep, n, alone, place): the inverted lists, of at least two classes
+    each, of the ``wanted`` rarest values of each (rep, n, sketch). ``held`` is the
+    number of its values, alone how many of them no other class has, place how
+    many are rarer than this one."""
     every = classes.select("rep", "n", F.explode("sketch").alias("value"))
     frequent = every.groupBy("value").agg(F.count("*").alias("uses")).where("uses > 1")
     live = (every.join(frequent, "value").groupBy("rep", "n")
             .agg(F.array_sort(F.collect_list(F.struct("uses", "value"))).alias("listed"))
             .withColumn("alone", held - F.size("listed")))
     take = F.greatest(wanted - F.col("alone"), F.lit(0)).cast("int")
-    return (live.select("rep", "n", "alone", F.explode(F.slice("listed", F.lit(1), take)).alias("x"))
-            .select(F.col("x.value").alias("value"), "rep", "n", "alone"))
+    return (live.select("rep", "n", "alone", F.posexplode(F.slice("listed", F.lit(1), take)).alias("at", "x"))
+            .select(F.col("x.value").alias("value"), "rep", "n", "alone", (F.col("alone") + F.col("at")).alias("place")))
 
 
 def _full_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +144,12 @@ def _full_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch.column("rep"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "n", "sketch"])
 
 
-def _similar_size(a: str, b: str, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _can_link(percent: int) -> Column:
+    """Whether two members of a list can be alike enough if its value is the first
+    in order that they share: then they share no more than what each has from
+    there on. A linked pair passes in the list of its first common value."""
+    most = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    return most * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -206,16 +212,17 @@ def near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     for number in range(STAR_ROUNDS + 1):
         open_ = lists.join(of, lists["rep"] == of["node"]).drop("node")
         several = open_.groupBy("value").agg(
-            F.min_by(F.struct("rep", "n", "component"),
+            F.min_by(F.struct("rep", "n", "place", "component"),
                      F.struct("alone", "rep") if not number else F.struct(F.xxhash64(F.lit(number), "rep", "value"))).alias("middle"),
             F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
         if number < STAR_ROUNDS:
             met = open_.join(several, "value").select(
-                "rep", "n", "component", F.col("middle.rep").alias("rep2"), F.col("middle.n").alias("n2"), F.col("middle.component").alias("component2"))
+                "rep", "n", "place", "component", F.col("middle.rep").alias("rep2"), F.col("middle.n").alias("n2"), F.col("middle.place").alias("place2"),
+                F.col("middle.component").alias("component2"))
         else:
-            other = open_.select("value", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
+            other = open_.select("value", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("component").alias("component2"))
             met = open_.join(several.select("value"), "value", "left_semi").join(other, "value").where("rep < rep2")
-        pairs = (met.where((F.col("component") != F.col("component2")) & _similar_size("n", "n2", percent))
+        pairs = (met.where((F.col("component") != F.col("component2")) & _can_link(percent))
                  .select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct())
         found = written(_confirmed(_estimated(pairs, near, percent), texts, percent), "found")
         links = found if links is None else links.unionByName(found)
