@@ -61,3 +61,22 @@ def test_cross_validation_scores(responses_small):
     rf = propensity.fit_forest(responses_small, num_trees=8, folds=3, cross_validate=True)
     row = rf.cv_metrics.first()
     assert row["folds"] == 3 and 0.0 < row["cv_macro_f1"] <= 1.0 and row["cv_macro_f1_std"] >= 0.0
+
+
+def test_forest_beats_the_majority_class_and_boosting_the_mean(responses_small):
+    rf = propensity.fit_forest(responses_small, num_trees=30, cross_validate=False)
+    rows = rf.test_predictions.groupBy("actual").agg(F.count("*").alias("n")).collect()
+    from canvass.operators import evaluate
+    f1 = evaluate.macro_f1(rf.test_predictions, "actual", "predicted").first()["macro_f1"]
+    total, most = sum(r["n"] for r in rows), max(r["n"] for r in rows)
+    majority = 2 * most / (total + most) / len(rows)  # macro F1 of always naming the largest class
+    assert f1 > majority
+    gb = price.fit_boosting(responses_small, rounds=30)
+    assert evaluate.regression_metrics(gb.test_predictions).first()["r2"] > 0.0
+
+
+def test_one_row_per_input(vectors):
+    fit = cluster.kmeans_best(vectors, 3, seeds=[1])
+    assigned = cluster.assign(fit, vectors)
+    assert assigned.count() == assigned.select("respondent_id").distinct().count() == vectors.count()
+    assert {r["cluster_name"] for r in assigned.select("cluster_name").distinct().collect()} == {"Cluster 0", "Cluster 1", "Cluster 2"}
