@@ -1,7 +1,7 @@
 """Benchmark: headline queries on local[$BENCH_CPUS] over $BENCH_SF_DIR.
 
 Loads the survey table once (fixture joins + load-time medians) and writes it
-to the shared checkpoint folder, then times each headline query end to end
+to the checkpoint folder (a temporary one on a single machine), then times each headline query end to end
 (driver-side decisions plus a full ``noop`` write of the result). Prints one
 JSON line.
 """
@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -45,12 +44,11 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="canvass-bench-"))
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
 
     from canvass.plans import catalog
+    from canvass.session import checkpoint_dir
+
+    checkpoint_dir(spark)
 
     timings: dict[str, float] = {}
     t = time.perf_counter()
