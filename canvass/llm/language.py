@@ -35,7 +35,7 @@ SWITCH_PENALTY = 12.0
 #: Share of a language's letters that a script must have to count as one of its scripts.
 SCRIPT_SHARE = 0.01
 #: Characters turned into arrays at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 #: Scripts by ranges of code points (fixed values; 0 is every other script).
 SCRIPT_RANGES = [
