@@ -41,7 +41,7 @@ LUMP_CHARS = 1 << 14
 #: Pairs that are laid out at a time.
 SLICE = 1 << 21
 
-_CUT = re.compile(r"(?<=\S)(?= )")
+_CUT = re.compile(r"(?<=\S)(?= .)", re.S)  # a last space stays: B adds no space to nothing
 
 
 class Side:

@@ -32,7 +32,7 @@ from .common import chunks
 #: The byte-level pre-tokenizer's pattern (fixed by the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text per chunk, and distinct pre-tokens that a task remembers.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
 REMEMBERED = 200_000
 
 
@@ -196,21 +196,31 @@ class Encoder:
         return flat, upto[np.array(ends)]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with a column of token ids (array<int>) of every whole text.
+def _decoded(lists: pa.Array, vocab: Vocabulary) -> pa.Array:
+    of = vocab.token_bytes.__getitem__
+    return pa.array([b"".join(map(of, (x.values.to_numpy() if x.is_valid else ()))).decode("utf-8", "replace") for x in lists], pa.string())
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with a column of token ids (array<int>) of every whole text, and
+    one of the text that they decode to, if ``decoded`` names it (the same as
+    ``decode``, without a second worker).
 
     Null and empty texts have no tokens. The strings of special tokens in a
-    text become those tokens. A column that is already named ``ids`` is replaced."""
-    docs = docs.drop(ids)
+    text become those tokens. Columns that are already named so are replaced."""
+    added = [ids] if decoded is None else [ids, decoded]
+    docs = docs.drop(*added)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(path))
         for batch in chunks(batches, text, ENCODE_BYTES):
             flat, offsets = encoder.encode(batch.column(text).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, ids])
+            new = [lists] if decoded is None else [lists, _decoded(lists, encoder.vocab)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *added])
 
-    return docs.mapInArrow(rows, T.StructType([*docs.schema, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    types = [T.ArrayType(T.IntegerType()), T.StringType()]
+    return docs.mapInArrow(rows, T.StructType([*docs.schema, *(T.StructField(c, t) for c, t in zip(added, types))]))
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -220,10 +230,8 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "text") -
     tokens = tokens.drop(text)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = vocabulary(path).token_bytes.__getitem__
         for batch in batches:
-            texts = [b"".join(map(of, (x.values.to_numpy() if x.is_valid else ()))).decode("utf-8", "replace") for x in batch.column(ids)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(batch.column(ids), vocabulary(path))], [*batch.schema.names, text])
 
     return tokens.mapInArrow(rows, T.StructType([*tokens.schema, T.StructField(text, T.StringType())]))
 

@@ -3,6 +3,8 @@ and tables written to the shared folder."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -51,6 +53,22 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str,
             hi = max(lo + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+        release()
+
+
+@functools.cache
+def _allocator():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # no glibc
+        return lambda spare: 0
+
+
+def release() -> None:
+    """Give memory that a worker holds but doesn't use back to the system: a
+    worker outlives its task and would keep the most that any operator took."""
+    pa.default_memory_pool().release_unused()
+    _allocator()(0)
 
 
 def _lengths(column: pa.Array) -> np.ndarray:

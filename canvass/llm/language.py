@@ -34,8 +34,9 @@ LENGTHS = (1, 2, 3, 4)
 SWITCH_PENALTY = 12.0
 #: Share of a language's letters that a script must have to count as one of its scripts.
 SCRIPT_SHARE = 0.01
-#: Characters turned into arrays at a time.
-PIECE = 1 << 18
+#: Bytes of text turned into arrays at a time, and distinct words whose scores a task remembers.
+PIECE = 1 << 20
+REMEMBERED = 200_000
 
 #: Scripts by ranges of code points (fixed values; 0 is every other script).
 SCRIPT_RANGES = [
@@ -69,11 +70,12 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words (runs of letters, lower-cased) of a run of texts."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], lower: bool = True):
         letter, script = _tables()
-        texts = [t.lower() for t in texts]
+        texts = [t.lower() for t in texts] if lower else texts
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "replace"), np.uint32)
+        self.whole = "\n".join([*texts, ""])
+        points = np.frombuffer(self.whole.encode("utf-32-le", "replace"), np.uint32)
         is_letter = letter[points]
         edge = np.diff(np.r_[False, is_letter, False].astype(np.int8))
         self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -83,6 +85,10 @@ class Words:
         self.script = script[points[self.starts]] if len(self.starts) else np.zeros(0, np.uint8)
         self.letters = self.ends - self.starts
 
+    def strings(self) -> Iterator[str]:
+        """The words themselves."""
+        return (self.whole[lo:hi] for lo, hi in zip(self.starts.tolist(), self.ends.tolist()))
+
     def grams(self, lengths: tuple[int, ...] = LENGTHS, n_slots: int = SLOTS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(slot, word) of all n-grams by length; a word has one blank at each end.
         ``n_slots`` is a power of 2."""
@@ -158,6 +164,48 @@ def word_scores(model: dict, words: Words) -> np.ndarray:
     return np.where(allowed | ~known[:, None], scores, -np.inf)
 
 
+class Scorer:
+    """Word scores of a model; scores each distinct word once."""
+
+    def __init__(self, model: dict):
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.scores = np.zeros((0, len(self.model["languages"])))
+
+    def __call__(self, words: Words) -> np.ndarray:
+        """``word_scores`` of the words."""
+        if len(self.index) > REMEMBERED:
+            self.forget()
+        strings = list(words.strings())
+        new = [w for w in dict.fromkeys(strings) if w not in self.index]
+        if new:
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+            self.scores = np.concatenate([self.scores, word_scores(self.model, Words(["\n".join(new)], lower=False))])
+        return self.scores[np.fromiter(map(self.index.__getitem__, strings), np.int64, len(strings))]
+
+
+def best_paths(scores: np.ndarray, text: np.ndarray, n_texts: int, penalty: float) -> np.ndarray:
+    """``viterbi``, which it leaves out for texts that have one language that is the
+    best for each of their words: no path is better than to stay in it (in the
+    first of such languages, as ``viterbi`` does)."""
+    if not len(text):
+        return viterbi(scores, text, n_texts, penalty)
+    first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+    always = np.logical_and.reduceat(scores == scores.max(axis=1)[:, None], first, axis=0)
+    plain = np.zeros(n_texts, bool)
+    plain[text[first]] = always.any(axis=1)
+    stay = np.zeros(n_texts, np.int16)
+    stay[text[first]] = always.argmax(axis=1)
+    labels, rest = stay[text], ~plain[text]
+    if rest.any():
+        number = np.cumsum(~plain) - 1
+        labels[rest] = viterbi(scores[rest], number[text[rest]], int((~plain).sum()), penalty)
+    return labels
+
+
 def viterbi(scores: np.ndarray, text: np.ndarray, n_texts: int, penalty: float) -> np.ndarray:
     """The language of every word: the best path of each text. ``text`` ascends;
     the texts advance word by word side by side."""
@@ -187,19 +235,20 @@ def viterbi(scores: np.ndarray, text: np.ndarray, n_texts: int, penalty: float)
     return labels
 
 
-def _label(model: dict, texts: list[str], penalty: float) -> tuple[Words, np.ndarray]:
+def _label(scorer: Scorer, texts: list[str], penalty: float) -> tuple[Words, np.ndarray]:
     words = Words(texts)
-    if not model["languages"]:
+    if not scorer.model["languages"]:
         return words, np.zeros(len(words.starts), np.int16)
-    return words, viterbi(word_scores(model, words), words.text, len(texts), penalty)
+    return words, best_paths(scorer(words), words.text, len(texts), penalty)
 
 
 def _predict(model: bytes, penalty: float):
     def rows(batches):
         m = pickle.loads(model)
+        scorer = Scorer(m)
         for batch in chunks(batches, "text", PIECE):
             texts = batch.column("text").to_pylist()
-            words, labels = _label(m, [t or "" for t in texts], penalty)
+            words, labels = _label(scorer, [t or "" for t in texts], penalty)
             n_langs = max(1, len(m["languages"]))
             share = np.bincount(words.text * n_langs + labels, weights=words.letters, minlength=len(texts) * n_langs).reshape(len(texts), n_langs)
             total, top = share.sum(axis=1), share.argmax(axis=1)
@@ -226,9 +275,10 @@ def predict(docs: DataFrame, model: dict, penalty: float = SWITCH_PENALTY) -> Da
 def _spans(model: bytes, penalty: float):
     def rows(batches):
         m = pickle.loads(model)
+        scorer = Scorer(m)
         for batch in chunks(batches, "text", PIECE):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            words, labels = _label(m, texts, penalty)
+            words, labels = _label(scorer, texts, penalty)
             if not len(labels) or not m["languages"]:
                 continue
             cut = np.flatnonzero(np.r_[True, (labels[1:] != labels[:-1]) | (words.text[1:] != words.text[:-1])])

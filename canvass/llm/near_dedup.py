@@ -46,11 +46,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text that become sets at a time.
+SET_BYTES = 1 << 20
+#: What is added to every byte's value when pairs are confirmed, so that two sets
+#: of hashes would both have to fail for a wrong link.
+CONFIRM_SALT = 0xD6E8FEB86659FD93
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, salt: int = 0) -> list[np.ndarray]:
     """The sorted distinct shingles (as int64) of each of n texts, given their
-    bytes and n + 1 offsets. A text of fewer words than a shingle, but not none,
+    bytes and n + 1 offsets. A word is the sum of one mixed value for each byte
+    and place, so no sum of powers can make words equal; ``salt`` gives another hash. A text of fewer words than a shingle, but not none,
     has one shingle of all its words."""
     n_texts = len(offsets) - 1
     if not len(data):
@@ -63,8 +69,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         return [np.zeros(0, np.int64)] * n_texts
     run = np.diff(np.r_[starts, len(data)])
     place = np.arange(starts[0], len(data)) - np.repeat(starts, run)
-    powers = _powers(int(place.max()) + 1)
-    value = _BYTE_VALUE[_LOWER[data[starts[0]:]]] * powers[place]
+    value = mix64((_BYTE_VALUE + np.uint64(salt))[_LOWER[data[starts[0]:]]] ^ (place.astype(np.uint64) * _STEP))
     value[space[starts[0]:]] = 0
     word = mix64(np.add.reduceat(value, starts - starts[0]))
 
@@ -85,14 +90,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return sets
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _STEP)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "text"):
+    for batch in chunks(batches, "text", SET_BYTES):
         sets = shingle_sets(*byte_view(batch.column("text")))
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
@@ -138,7 +137,7 @@ def postings(classes: DataFrame, held: Column, wanted: Column) -> DataFrame:
 
 
 def _full_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "text"):
+    for batch in chunks(batches, "text", SET_BYTES):
         sets = shingle_sets(*byte_view(batch.column("text")))
         yield pa.RecordBatch.from_arrays([
             batch.column("rep"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "n", "sketch"])
@@ -165,13 +164,13 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _confirm(percent: int):
     def rows(batches):
-        for batch in chunks(batches, "text_b"):
-            b_sets = shingle_sets(*byte_view(batch.column("text_b")))
+        for batch in chunks(batches, "text_b", SET_BYTES):
+            b_sets = shingle_sets(*byte_view(batch.column("text_b")), CONFIRM_SALT)
             known: dict[int, np.ndarray] = {}
             links = ([], [])
             for k, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
                 if a not in known:
-                    known = {a: shingle_sets(*byte_view(batch.column("text_a").slice(k, 1)))[0]}
+                    known = {a: shingle_sets(*byte_view(batch.column("text_a").slice(k, 1)), CONFIRM_SALT)[0]}
                 common = len(np.intersect1d(known[a], b_sets[k], assume_unique=True))
                 if 100 * common >= percent * (len(known[a]) + len(b_sets[k]) - common):
                     links[0].append(a)
@@ -232,11 +231,12 @@ def near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
 
     whole = classes.join(merged, classes["rep"] == merged["node"], "left").select(
         "set_key", F.coalesce("component", "rep").alias("found_id"))
-    # a null key for what has no class, so that empty texts don't meet in one task
-    own = sets.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
-    return own.join(whole, "set_key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("found_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("found_id", "doc_id"), F.lit(True)).alias("kept"))
+    # what has no class takes no part in the join: rows of one key would meet in one task
+    has_class = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    own = sets.select("doc_id", "n_shingles", "set_key")
+    return own.where(has_class).join(whole, "set_key").select(
+        "doc_id", "n_shingles", F.col("found_id").alias("component_id"), (F.col("doc_id") == F.col("found_id")).alias("kept")).unionByName(
+        own.where(~has_class).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def deduplicate(docs: DataFrame, percent: int) -> DataFrame:

@@ -8,37 +8,28 @@ of lengths, then inside each block), so no task takes the whole histogram.
 
 from __future__ import annotations
 
-import base64
-import functools
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import ENCODE_BYTES, Encoder, vocabulary
 from .common import chunks, written
 
 #: Lengths per block of the two-level sums.
 BLOCK = 1024
 
 
-@functools.cache
-def _encoder(path: str, pattern: str):
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
-def encoded_lengths(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
-    """(length) per document: its number of tokens; 0 for null or empty texts.
-    ``vocabulary`` is a file of ranks at the same path on every executor."""
+def encoded_lengths(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """(length) per document: its number of tokens, as ``bpe.encode`` makes them
+    (a special token's string in a text is one token); 0 for null or empty texts,
+    any length of text. ``path`` is a byte-level tokenizer file, at the same path on every executor."""
     def lengths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(vocabulary, pattern).encode_ordinary
-        for batch in chunks(batches, "text"):
-            n = [len(encode(x)) if x else 0 for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["length"])
+        encoder = Encoder(vocabulary(path))
+        for batch in chunks(batches, "text", ENCODE_BYTES):
+            _, offsets = encoder.encode(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(offsets[1:] - offsets[:-1], pa.int64())], ["length"])
 
     return docs.select(F.col(text).alias("text")).mapInArrow(lengths, "length long")
 

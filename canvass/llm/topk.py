@@ -38,7 +38,8 @@ _BLOCK = "block long, dim int, ids binary, data binary"
 def integers(vectors: DataFrame, scale: int, vector: str = "embedding") -> DataFrame:
     """(vec_id, v): floor(scale * x) of each component x, as array<long>. Vectors
     that are null or empty or hold a null or non-finite component take no part,
-    nor do null ids; of rows with one id the smallest vector counts."""
+    nor do null ids; a component beyond a long's range is its largest or least value;
+    of rows with one id the smallest vector counts."""
     x = F.col(vector)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     kept = vectors.where(F.col("vec_id").isNotNull() & (F.size(x) > 0) & finite)
@@ -112,15 +113,15 @@ def block_top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, data:
         from_top, from_bottom = data >= top, data <= bottom
         lower = _product(up, np.where(from_top, data, low)) + _product(down, np.where(from_bottom, data, high))
         upper = _product(up, np.where(from_top, data, top)) + _product(down, np.where(from_bottom, data, bottom))
-        lower[own] = np.iinfo(np.int64).min // 2
+        lower[own] = -np.inf if lower.dtype.kind == "f" else np.iinfo(np.int64).min // 2 if lower.dtype.kind == "i" else -(1 << 200)
         bar = np.partition(lower, n - wanted, axis=1)[:, n - wanted]
         open_rows &= upper >= bar[:, None]
         if open_rows.sum() <= 4 * k * len(queries):
             break
-    # final scores, of the rows that can still qualify
+    # final scores, of the rows that can still qualify; beyond a long's range they are its largest or least value
     share = open_rows.any(axis=0)
     rows = np.flatnonzero(share)
-    score = _product(queries, data[rows])
+    score = np.clip(_product(queries, data[rows]), -(2**63), 2**63 - 1)
     who, place = np.nonzero(open_rows[:, rows])
     value = score[who, place]
     order = np.lexsort((ids[rows[place]], -value, who))
@@ -146,7 +147,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     rows of ``vectors`` (vec_id, v) with the highest inner products, all if there
     are fewer; ties go to the smaller vec_id, its own row is no candidate.
 
-    Only vectors of the query's length are compared. Empty tables give no rows."""
+    Scores beyond a long's range are its largest or least value. Only vectors of the
+    query's length are compared. Empty tables give no rows."""
     stored = written(blocks(vectors, BLOCK_ROWS), "vectors")
     asked = blocks(queries, QUERY_ROWS).select(F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     pairs = stored.join(asked, "dim").repartition("block", "q_block")

@@ -205,6 +205,24 @@ def test_viterbi_is_the_best_path():
         assert language.viterbi(scores, np.zeros(n, int), 1, 2.0).tolist() == list(best)
 
 
+def test_paths_without_viterbi_are_its_paths():
+    r = np.random.default_rng(5)
+    for penalty in (0.5, 3.0):
+        for _ in range(40):
+            text = np.sort(r.integers(0, 12, 30))
+            scores = np.round(r.normal(size=(30, 3)) * 2)  # with ties
+            scores[:, 1] += (text % 3 == 0) * 4
+            assert (language.best_paths(scores, text, 12, penalty) == language.viterbi(scores, text, 12, penalty)).all()
+
+
+def test_scores_of_distinct_words_are_all_scores(spark):
+    model = language.fit(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    scorer = language.Scorer(model)
+    for texts in (["Ελλ ΟΔΟΣ одно one One ONE", "", "ﬁ İı ſ ǅ"], list(texts_of(spark).values())):
+        words = language.Words([t or "" for t in texts])
+        assert np.allclose(scorer(words), language.word_scores(model, words))
+
+
 # --- 6 ------------------------------------------------------------------------
 
 def test_topk_equals_sql(spark):
@@ -230,6 +248,13 @@ def test_topk_edges(spark, monkeypatch):
     assert topk.top_k(few, few, 20).count() == 20 and topk.top_k(v.limit(0), few, 20).count() == 0
 
 
+def test_topk_scores_beyond_a_long(spark):
+    vectors = topk.integers(spark.createDataFrame([(0, [1e17, 1.0]), (1, [1e17, 2.0]), (2, [-1e17, 1.0]), (3, [0.0, 1.0])],
+                                                  "vec_id long, embedding array<double>"), 64)
+    got = [(r.rank, r.vec_id, r.score) for r in topk.top_k(vectors, vectors.where("vec_id = 0"), 20).orderBy("rank").collect()]
+    assert got == [(1, 1, 2**63 - 1), (2, 3, 64 * 64), (3, 2, -2**63)]
+
+
 def test_topk_bounds_drop_no_row():
     r = np.random.default_rng(2)
     data, queries_ = r.integers(-40, 40, (3000, 8)), r.integers(-40, 40, (5, 8))
@@ -278,7 +303,7 @@ def test_token_counts_answer_every_limit(spark, monkeypatch):
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    lengths = token_counts.encoded_lengths(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    lengths = token_counts.encoded_lengths(docs, public_tokenizers.path("byte_bpe_50k.json"))
     want = sorted(len(t.encode(x, add_special_tokens=False).ids) for x in texts_of(spark).values())
     hist = token_counts.histogram(lengths).cache()
     for r in hist.collect():
@@ -291,10 +316,13 @@ def test_token_counts_answer_every_limit(spark, monkeypatch):
 
 
 def test_token_counts_edges(spark):
-    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    hist = token_counts.histogram(token_counts.encoded_lengths(edge_documents(spark), vocabulary, public_tokenizers.PATTERN))
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    hist = token_counts.histogram(token_counts.encoded_lengths(edge_documents(spark), vocabulary))
     assert hist.where("length = 0").first().n_docs == 2 and hist.agg({"n_docs": "sum"}).first()[0] == 10
-    empty = token_counts.histogram(token_counts.encoded_lengths(no_documents(spark), vocabulary, public_tokenizers.PATTERN)).collect()
+    blanks = documents(spark, " " * 2_000_000, "a <|endoftext|> b")
+    assert sorted(r.length for r in token_counts.encoded_lengths(blanks, vocabulary).collect()) == sorted(
+        r.n_tokens for r in bpe.digests(blanks, vocabulary).collect())
+    empty = token_counts.histogram(token_counts.encoded_lengths(no_documents(spark), vocabulary)).collect()
     assert [(r.length, r.n_docs, r.share) for r in empty] == [(0, 0, None)]
 
 
@@ -336,6 +364,15 @@ def test_near_duplicate_edges(spark):
     assert near_dedup.near_duplicates(no_documents(spark), 85).count() == 0
 
 
+def test_words_of_equal_power_sums_are_different(spark):
+    bits = [bin(k).count("1") & 1 for k in range(4096)]  # Thue-Morse words and their complements
+    texts = ["".join("ab"[x ^ flip] for x in bits) for flip in (0, 1)]
+    got = near_dedup.near_duplicates(documents(spark, *texts), 85).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(0, 0), (1, 1)}
+    sets = [[s.tolist() for s in near_dedup.shingle_sets(np.frombuffer(" ".join(texts).encode(), np.uint8), np.array([0, 4096, 8193]), salt)] for salt in (0, 9)]
+    assert len({x for s in sets for y in s for x in y}) == 4
+
+
 def test_components_of_a_chain(spark):
     chain = spark.range(60).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(100, 101)], "a long, b long"))
     got = {r.node: r.component for r in components.components(chain.repartition(3)).collect()}
