@@ -1,4 +1,5 @@
 """Token alignment, the Merkle manifest and the pivot index against brute force."""
+import bisect
 import hashlib
 import random
 import zlib
@@ -130,7 +131,7 @@ def brute_alignment(texts):
         groups = [([], []) for _ in cuts]
         for s in (0, 1):
             for (i, _), end in zip(sides[s], ends[s]):
-                groups[next(g for g, cut in enumerate(cuts) if end <= cut) if len(cuts) < 50 else np.searchsorted(cuts, end)][s].append(i)
+                groups[bisect.bisect_left(cuts, end)][s].append(i)
         links = Counter((x, y) for left, right in groups for x in left for y in right)
         for pair in links:
             linked_in[pair].add(k)
