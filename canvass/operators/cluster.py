@@ -12,8 +12,10 @@
 * C4/C5: MLlib PCA (covariance from a distributed aggregation). Each
   component's sign is fixed so its largest-magnitude loading is positive;
   points and centroids are projected with the same loadings.
-* C6: the elbow curve is the best-of-seeds cost for each k.
-* C3 (scalable): :func:`canvass.operators.evaluate.silhouette_sq_euclidean`.
+* C2 for several k, and C6: :func:`kmeans_shared` advances all models in shared
+  scans; the elbow curve is the best-of-seeds cost for each k.
+* C3: :func:`canvass.operators.evaluate.silhouette_sq_euclidean` (closed form) and
+  :func:`canvass.operators.silhouette.silhouette_euclidean` (blocked distances).
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from canvass.functions.labels import lookup
 from canvass.operators.clean import feature_matrix
+from canvass.operators.lloyd import SharedFit, best_by_k, fit_models, nearest
 from canvass.session import checkpoint_dir
 from canvass.sources.schema import CLUSTER_FEATURES
 
@@ -130,32 +133,34 @@ def kmeans_best(vectors: DataFrame, k: int = 5, seeds: Sequence[int] = range(42,
     return KMeansFit(model, cost, seed, k, {old: new for new, old in enumerate(ranked)})
 
 
-def assign(fit: KMeansFit, vectors: DataFrame, names: dict | None = None) -> DataFrame:
+def assign(fit: KMeansFit | SharedFit, vectors: DataFrame, names: dict | None = None) -> DataFrame:
     """Every row with its (renumbered) cluster and the cluster's name:
     ``names`` by number, else ``Cluster n``."""
-    out = fit.model.transform(vectors)
-    cluster = lookup(F.col("cluster_raw"), fit.order)
-    out = out.withColumn("cluster", cluster.cast("int")).drop("cluster_raw")
+    if isinstance(fit, SharedFit):
+        out = vectors.withColumn("cluster", nearest(fit))
+    else:
+        out = fit.model.transform(vectors)
+        out = out.withColumn("cluster", lookup(F.col("cluster_raw"), fit.order).cast("int")).drop("cluster_raw")
     own = _named(F.col("cluster"))
     return out.withColumn("cluster_name", F.coalesce(lookup(F.col("cluster"), names), own) if names else own)
 
 
+def kmeans_shared(vectors: DataFrame, ks: Sequence[int] = range(2, 10), seeds: Sequence[int] = range(42, 52),
+                  features: Sequence[str] = CLUSTER_FEATURES, id_col: str = "respondent_id", max_iter: int = 300) -> dict[int, SharedFit]:
+    """The best of all seeds' models for each k, all of them fitted in
+    shared scans (:mod:`canvass.operators.lloyd`)."""
+    return best_by_k(fit_models(vectors, features, ks, seeds, id_col, max_iter))
+
+
+def elbow_of(vectors: DataFrame, fits: dict[int, SharedFit]) -> DataFrame:
+    """``(k, inertia)`` of fitted models."""
+    return vectors.sparkSession.createDataFrame([(k, fits[k].cost) for k in sorted(fits)], "k int, inertia double")
+
+
 def elbow(vectors: DataFrame, ks: Sequence[int] = range(2, 10), seeds: Sequence[int] = range(42, 52),
-          max_iter: int = 300, parallelism: int = 10) -> DataFrame:
+          max_iter: int = 300, features: Sequence[str] = CLUSTER_FEATURES) -> DataFrame:
     """``(k, inertia)``, inertia being the best-of-seeds sum of squared distances."""
-    data = _fit_input(vectors).persist(StorageLevel.MEMORY_AND_DISK)
-    tols = {int(k): sklearn_tol(data, int(k)) for k in ks}
-    jobs = [(int(k), int(s)) for k in ks for s in seeds]
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        fits = list(pool.map(lambda ks_: (ks_[0],) + _fit(data, ks_[0], ks_[1], max_iter, tols[ks_[0]])[1:],
-                             jobs))
-    data.unpersist()
-    best: dict[int, tuple] = {}
-    for k, cost, seed in fits:
-        if k not in best or (cost, seed) < best[k]:
-            best[k] = (cost, seed)
-    rows = [(k, best[k][0]) for k in sorted(best)]
-    return vectors.sparkSession.createDataFrame(rows, "k int, inertia double")
+    return elbow_of(vectors, kmeans_shared(vectors, ks, seeds, features, max_iter=max_iter))
 
 
 @dataclass
@@ -190,13 +195,13 @@ def project(df: DataFrame, pca: PCAFit, keep: Sequence[str]) -> DataFrame:
     return df.select(*keep, *comps)
 
 
-def centroids(fit: KMeansFit, features: Sequence[str], names: dict | None = None) -> DataFrame:
+def centroids(fit: KMeansFit | SharedFit, features: Sequence[str], names: dict | None = None) -> DataFrame:
     """C5 input: the k centroids (renumbered) as a k-row wide DataFrame."""
     from canvass.session import get_session
     spark = get_session()
     rows = []
-    for old, center in enumerate(fit.model.clusterCenters()):
-        new = fit.order[old]
+    numbered = enumerate(fit.centers) if isinstance(fit, SharedFit) else ((fit.order[j], c) for j, c in enumerate(fit.model.clusterCenters()))
+    for new, center in numbered:
         rows.append((new, (names or {}).get(new, f"Cluster {new}"), *[float(v) for v in center]))
     schema = "cluster int, cluster_name string, " + ", ".join(f"`{c}` double" for c in features)
     return spark.createDataFrame(rows, schema)

@@ -25,12 +25,17 @@ def crosstab(df: DataFrame, row: str, col: str, percent: bool = True) -> DataFra
     """
     pairs = (df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
              .groupBy(row, col).agg(F.count(F.lit(1)).alias("n")))
+    return cells(pairs, row, col, percent)
+
+
+def cells(pairs: DataFrame, row: str, col: str, percent: bool = True) -> DataFrame:
+    """The crosstab of counted pairs (row, col, n)."""
     columns = pairs.agg(F.collect_set(col))  # as many as the category has values
     grid = pairs.select(row).distinct().select(row, F.explode(columns.scalar()).alias(col))
-    cells = grid.join(pairs, [row, col], "left").select(row, col, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    counted = grid.join(pairs, [row, col], "left").select(row, col, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
     total = F.sum("n").over(Window.partitionBy(row))
     scale = F.lit(100.0) if percent else F.lit(1.0)
-    return cells.select(row, col, "n", F.try_divide(F.col("n") * scale, total).alias("pct"))
+    return counted.select(row, col, "n", F.try_divide(F.col("n") * scale, total).alias("pct"))
 
 
 def crosstab_wide(df: DataFrame, row: str, col: str, values: Sequence[str],

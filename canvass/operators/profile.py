@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canvass.functions.labels import grouped, money, percent_label, thousands_label
+from canvass.operators.clean import number
 from canvass.operators.quantile import _as_list, long_values, quantiles
 
 
@@ -46,7 +47,7 @@ def kpi_row(df: DataFrame, by=None, high_class: str = "High-Intent Buyer",
         F.count_if(F.col("adoption_class") == high_class).alias("n_high_intent"),
         F.count_if(F.col("adoption_class") == eval_class).alias("n_evaluator"),
         F.count_if(F.col("pilot_interest") >= pilot_min).alias("n_pilot"),
-        F.avg("hvac_pct_of_bill").alias("hvac_avg"),
+        F.avg(number("hvac_pct_of_bill")).alias("hvac_avg"),
     )
     q = quantiles(data, ["wtp_aed_per_building", "monthly_bill_aed"], [0.5], keys)
     meds = q.groupBy(*keys).agg(

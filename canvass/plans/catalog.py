@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from canvass.functions import labels as L
 from canvass.operators import basket, clean, crosstab, distribution, evaluate, leads, profile, scenario, select
-from canvass.operators import split
+from canvass.operators import silhouette, sketch, split, states
 from canvass.operators.quantile import quantiles
 from canvass.plans.joins import stored
 from canvass.sources import io
@@ -378,6 +378,57 @@ def q_silhouette_given_labels(spark, sf_dir):
     return _round_doubles(evaluate.silhouette_sq_euclidean(emb))
 
 
+def _labelled_vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("label").alias("cluster"), F.col("embedding").alias("vec"))
+
+
+def q_silhouette_euclidean(spark, sf_dir):
+    """The dashboard's score (plain distances) of the given labels: points with an id divisible by 50 against all rows."""
+    return _round_doubles(silhouette.silhouette_euclidean(_labelled_vectors(spark, sf_dir)))
+
+
+def q_silhouette_euclidean_points(spark, sf_dir):
+    return _round_doubles(silhouette.silhouette_points(_labelled_vectors(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- approximate quantiles (A3, A6, A14) and partial states
+_SKETCHED = ["monthly_bill_aed", "wtp_aed_per_building"]
+
+
+def q_approx_quantiles_error(spark, sf_dir):
+    """Whether each sketched quantile's rank is as near the wanted one as stated; sketches of emirates merged to segments."""
+    df = raw(spark, sf_dir)
+    parts = stored(sketch.sketches(df, _SKETCHED, ["segment", "primary_emirate"]), "sketches")
+    found = sketch.quantiles_of(sketch.merged(parts, ["segment"]), [0.1, 0.5, 0.85])
+    errors = sketch.rank_errors(df, found, _SKETCHED, ["segment"])
+    return errors.select("segment", "metric", "p", "n", (F.col("error") <= sketch.RANK_ERROR).alias("within"))
+
+
+def _states(spark, sf_dir):
+    return _reuse(spark, sf_dir, "states", lambda: states.partial_states(raw(spark, sf_dir)))
+
+
+_PICKED = {"segment": SEGMENT_PICK, "primary_emirate": EMIRATE_PICK}
+
+
+def q_states_kpi(spark, sf_dir):
+    """KPI rows of a selection from the table of states; the medians by how near their ranks are."""
+    found = states.kpi_row(_states(spark, sf_dir), _PICKED, "segment")
+    medians = found.select("segment", F.lit(0.5).alias("p"), F.col("median_wtp").alias("wtp_aed_per_building"),
+                           F.col("median_bill").alias("monthly_bill_aed")).unpivot(["segment", "p"], _SKETCHED, "metric", "value")
+    errors = sketch.rank_errors(select.filter_members(raw(spark, sf_dir), _PICKED), medians, _SKETCHED, ["segment"])
+    within = errors.groupBy("segment").agg((F.max("error") <= sketch.RANK_ERROR).alias("medians_within"))
+    return _round_doubles(found.drop("median_wtp", "median_bill").join(within, "segment"))
+
+
+def q_states_crosstab(spark, sf_dir):
+    return _round_doubles(states.crosstab(_states(spark, sf_dir), "segment", "adoption_class", _PICKED))
+
+
+def q_states_group_means(spark, sf_dir):
+    return _round_doubles(states.group_means(_states(spark, sf_dir), "segment", PAIN_COLS, _PICKED, "pain_"))
+
+
 # ---------------------------------------------------------------- fitted-model reuse
 def _fit_key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
     """The application, the model and the input files with their times and sizes."""
@@ -402,9 +453,11 @@ def _reuse(spark: SparkSession, sf_dir: str, name: str, build):
 # ---------------------------------------------------------------- clustering
 def _cluster_inputs(spark, sf_dir):
     from canvass.operators import cluster
-    shown = {f"raw_{c}": c for c in PROFILE_COLS + ["monthly_bill_aed"]}
-    scaled = cluster.scaled_matrix(loaded(spark, sf_dir), CLUSTER_FEATURES, keep=shown)
-    return stored(cluster.with_vector(scaled, CLUSTER_FEATURES), "cluster-matrix")
+    def build():
+        shown = {f"raw_{c}": c for c in PROFILE_COLS + ["monthly_bill_aed"]}
+        scaled = cluster.scaled_matrix(loaded(spark, sf_dir), CLUSTER_FEATURES, keep=shown)
+        return stored(cluster.with_vector(scaled, CLUSTER_FEATURES), "cluster-matrix")
+    return _reuse(spark, sf_dir, "cluster-matrix", build)
 
 
 def q_scaled_matrix(spark, sf_dir):
@@ -412,11 +465,15 @@ def q_scaled_matrix(spark, sf_dir):
     return _round_doubles(cluster.scaled_matrix(loaded(spark, sf_dir), CLUSTER_FEATURES))
 
 
-def _kmeans(spark, sf_dir):
+def _models(spark, sf_dir):
+    """The best model for each k of the elbow, all fitted in shared scans once a session."""
     from canvass.operators import cluster
+    return _reuse(spark, sf_dir, "kmeans-all", lambda: cluster.kmeans_shared(_cluster_inputs(spark, sf_dir)))
 
-    vec = _cluster_inputs(spark, sf_dir)
-    return cluster, vec, _reuse(spark, sf_dir, "kmeans5", lambda: cluster.kmeans_best(vec, 5))
+
+def _kmeans(spark, sf_dir):
+    from canvass.operators import cluster
+    return cluster, _cluster_inputs(spark, sf_dir), _models(spark, sf_dir)[5]
 
 
 def q_kmeans_assignments(spark, sf_dir):
@@ -434,7 +491,7 @@ def q_cluster_profile(spark, sf_dir):
 
 def q_elbow(spark, sf_dir):
     from canvass.operators import cluster
-    return _round_doubles(cluster.elbow(_cluster_inputs(spark, sf_dir)))
+    return _round_doubles(cluster.elbow_of(_cluster_inputs(spark, sf_dir), _models(spark, sf_dir)))
 
 
 def q_pca_points(spark, sf_dir):
@@ -516,17 +573,37 @@ def q_kmeans_facts(spark, sf_dir):
     fit's cost is the inertia of its clusters about their own means."""
     from pyspark.ml.functions import vector_to_array
     cluster, vec, fit = _kmeans(spark, sf_dir)
-    centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in fit.model.clusterCenters()])
+    centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in fit.centers])
     x = vector_to_array(F.col("features"))
     sq = lambda c: F.aggregate(F.zip_with("x", c, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda a, v: a + v)
-    far = fit.model.transform(vec).select("cluster_raw", x.alias("x")).select("cluster_raw", F.transform(centers, sq).alias("d"))
-    own = F.element_at("d", F.col("cluster_raw") + 1)
+    far = cluster.assign(fit, vec).select("cluster", x.alias("x")).select("cluster", F.transform(centers, sq).alias("d"))
+    own = F.element_at("d", F.col("cluster") + 1)
     assigned = cluster.assign(fit, vec).select(F.col("respondent_id").alias("point_id"), "cluster", F.posexplode(x).alias("dim", "value"))
     inertia = evaluate.inertia(assigned).agg(F.sum("inertia")).scalar()
     return far.agg(F.count(F.lit(1)).alias("n"), F.count_if(own > F.array_min("d") * (1 + 1e-9)).alias("n_not_nearest"),
                    (F.abs(inertia - fit.cost) <= 1e-4 * fit.cost).alias("cost_is_inertia"))
 
 
+def q_elbow_facts(spark, sf_dir):
+    """For each k: rows, whether the cost is the sum of the rows' squared distances to
+    the nearest centre, whether no iteration raised it, whether each centre is the
+    mean of its members but for the tolerance, and whether the cost is below that of one cluster less."""
+    from canvass.operators import cluster, lloyd
+    vec, fits = _cluster_inputs(spark, sf_dir), _models(spark, sf_dir)
+    rows = None
+    for k, fit in sorted(fits.items()):
+        near = F.least(*lloyd.squared_distances(fit))
+        at = vec.select(lloyd.nearest(fit).alias("c"), near.alias("d"), *CLUSTER_FEATURES)
+        per = at.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("d"), *[F.avg(x).alias(x) for x in CLUSTER_FEATURES])
+        off = F.array_min(F.array(*lloyd.squared_distances(fit)))
+        falls = all(b <= a * (1 + 1e-9) for a, b in zip(fit.path, fit.path[1:]))
+        less = k == min(fits) or fit.cost < fits[k - 1].cost
+        row = per.agg(F.lit(k).alias("k"), F.sum("n").alias("n"), (F.abs(F.sum("d") - fit.cost) <= 1e-9 * fit.cost).alias("cost_is_distance"),
+                      (F.sum(off) <= 1e-3).alias("centres_are_means"), F.lit(falls).alias("cost_falls"), F.lit(less).alias("below_fewer"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
 def q_pca_facts(spark, sf_dir):
     """Per component: the loadings' length is 1, and the projected points' variance
     is the share of the total variance that the component explains."""
@@ -716,6 +793,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gbt_actual_vs_predicted": q_gbt_actual_vs_predicted,
     "kpi_stream": q_kpi_stream,
     "kmeans_facts": q_kmeans_facts,
+    "elbow_facts": q_elbow_facts,
+    "silhouette_euclidean": q_silhouette_euclidean,
+    "silhouette_euclidean_points": q_silhouette_euclidean_points,
+    "approx_quantiles_error": q_approx_quantiles_error,
+    "states_kpi": q_states_kpi,
+    "states_crosstab": q_states_crosstab,
+    "states_group_means": q_states_group_means,
     "pca_facts": q_pca_facts,
     "rf_test_rows": q_rf_test_rows,
     "gbt_test_rows": q_gbt_test_rows,

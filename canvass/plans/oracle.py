@@ -619,3 +619,45 @@ SELECT respondent_id, round(ln(1 + CAST(wtp_aed_per_building AS DOUBLE)), 6) AS
 WHERE wtp_aed_per_building IS NOT NULL AND {_U.format(seed=42)} < 0.25::DOUBLE""")
 ORACLE["importance_facts"] = """
 SELECT 'forest' AS model, 17::BIGINT AS n_features, true AS sum_is_1 UNION ALL SELECT 'boosting', 12, true"""
+ORACLE["elbow_facts"] = sql("""
+SELECT k::INTEGER AS k, (SELECT count(*) FROM responses) AS n, true AS cost_is_distance, true AS centres_are_means, true AS cost_falls, true AS below_fewer
+FROM range(2, 10) t(k)""")
+
+# ---------------------------------------------------------------- Euclidean silhouette
+_POINTS = """WITH e AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS c, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
+d AS (SELECT a.id, a.c AS own, b.c, count(*) AS n, sum(list_distance(a.x, b.x)) AS d FROM e a, e b WHERE a.id % 50 = 0 GROUP BY 1, 2, 3),
+p AS (SELECT id, own, max(CASE WHEN c = own AND n > 1 THEN d / (n - 1) END) AS a, min(CASE WHEN c <> own THEN d / n END) AS b FROM d GROUP BY 1, 2),
+s AS (SELECT id, own AS cluster, a, b, CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END AS silhouette FROM p)
+"""
+ORACLE["silhouette_euclidean"] = _POINTS + "SELECT round(avg(silhouette), 6) AS silhouette, count(*) AS n_asked FROM s HAVING count(*) > 0"
+ORACLE["silhouette_euclidean_points"] = _POINTS + """
+SELECT id, cluster, round(a, 6) AS a, round(b, 6) AS b, round(silhouette, 6) AS silhouette FROM s"""
+
+# ---------------------------------------------------------------- sketches and partial states
+ORACLE["approx_quantiles_error"] = sql("""
+, v AS (UNPIVOT (SELECT segment, CAST(monthly_bill_aed AS DOUBLE) AS monthly_bill_aed,
+                        CAST(wtp_aed_per_building AS DOUBLE) AS wtp_aed_per_building FROM responses WHERE segment IS NOT NULL)
+        ON monthly_bill_aed, wtp_aed_per_building INTO NAME metric VALUE x)
+SELECT segment, metric, p, count(x) AS n, true AS within
+FROM v, (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.85::DOUBLE)) t(p) GROUP BY segment, metric, p""")
+_PICKED = f"WHERE segment IN {_seg_pick()} AND primary_emirate IN {_em_pick()}"
+ORACLE["states_kpi"] = sql(f"""
+SELECT segment, count(*) AS respondents, count_if(adoption_class = 'High-Intent Buyer')::BIGINT AS n_high_intent,
+       count_if(adoption_class = 'Evaluator')::BIGINT AS n_evaluator, count_if(pilot_interest >= 4)::BIGINT AS n_pilot,
+       round({_pct("count_if(adoption_class = 'High-Intent Buyer')", "count(*)")}, 6) AS high_intent_pct,
+       round({_pct("count_if(adoption_class = 'Evaluator')", "count(*)")}, 6) AS evaluator_pct,
+       round({_pct("count_if(pilot_interest >= 4)", "count(*)")}, 6) AS pilot_pct,
+       round(avg(hvac_pct_of_bill), 6) AS hvac_avg, true AS medians_within
+FROM responses {_PICKED} GROUP BY segment""")
+ORACLE["states_crosstab"] = sql(f"""
+, r AS (SELECT * FROM responses {_PICKED}),
+c AS (SELECT s.segment, a.adoption_class, (SELECT count(*) FROM r WHERE r.segment = s.segment AND r.adoption_class = a.adoption_class) AS n
+      FROM (SELECT DISTINCT segment FROM r) s CROSS JOIN (SELECT DISTINCT adoption_class FROM r) a)
+SELECT segment, adoption_class, n, round(n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY segment), 6) AS pct FROM c""")
+ORACLE["states_group_means"] = sql(f"""
+, r AS (SELECT * FROM responses {_PICKED}),
+v AS (SELECT segment, unnest([{", ".join(f"'{c}'" for c in PAIN_COLS)}]) AS item, unnest([{", ".join(f"CAST({c} AS DOUBLE)" for c in PAIN_COLS)}]) AS x FROM r)
+SELECT segment, item, round(avg(x), 6) AS rate,
+       array_to_string(list_transform(string_split(replace(item, 'pain_', ''), '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS label
+FROM v GROUP BY segment, item""")

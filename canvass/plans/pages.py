@@ -85,12 +85,14 @@ def _median_wtp(dfs: DataFrame) -> DataFrame:
 def clusters(df: DataFrame, k: int = 5) -> dict[str, DataFrame]:
     vec = cluster.with_vector(cluster.scaled_matrix(df, CLUSTER_FEATURES), CLUSTER_FEATURES)
     vec = stored(vec, "cluster-matrix")
-    fit = cluster.kmeans_best(vec, k)
+    fits = cluster.kmeans_shared(vec, sorted({*range(2, 10), k}))
+    fit = fits[k]
     pca = cluster.fit_pca(vec, CLUSTER_FEATURES)
     assigned = cluster.assign(fit, vec)
     return {
-        "elbow": cluster.elbow(vec),
+        "elbow": cluster.elbow_of(vec, {j: f for j, f in fits.items() if j in range(2, 10)}),
         "silhouette": evaluate.silhouette_sq_euclidean(assigned, "cluster", "features"),
+        "silhouette_euclidean": silhouette.silhouette_euclidean(assigned, "cluster", "features", "respondent_id"),
         "points": cluster.project(assigned, pca, ["respondent_id", "cluster", "cluster_name"]),
         "centroids": cluster.project(cluster.centroids(fit, CLUSTER_FEATURES), pca, ["cluster", "cluster_name"]),
         "variance": cluster.variance_table(pca),
