@@ -1,12 +1,11 @@
 """Basket mining: items, frequent itemsets and association rules.
 
 Itemsets come from MLlib's parallel FP-growth. Rules are built here, because
-MLlib's ``associationRules`` only emits single-item consequents: every
-frequent itemset of size m >= 2 is split by each bit mask 1 .. 2^m - 2 into an
-antecedent and the remaining consequent (``explode`` of a ``sequence``), and
-both sides' supports come from two joins to the written itemset table (broadcast
-if its files are small). Every itemset's subsets are frequent too, so both joins
-always find a partner.
+MLlib's ``associationRules`` only emits single-item consequents: one side of a rule
+grows level by level through the itemsets, the other is what remains of the
+itemset, and both sides' supports come from joins to the written itemset table
+(broadcast if its files are small). Every itemset's subsets are frequent too, so
+the joins always find a partner.
 
 Metrics: support s = freq/n of the union, confidence = s / s(A),
 lift = s / (s(A) * s(C)) (symmetric in A and C by construction, so A=>C and
@@ -53,25 +52,50 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.15,
                        (F.col("freq") / total).alias("support"))
 
 
+def rule_sides(itemsets: DataFrame) -> DataFrame:
+    """(items, support, side, side_support): each itemset with each of its subsets
+    of at most half its size that is an itemset too.
+
+    Subsets grow by one item a level, in the items' order, and a level keeps those
+    that the join with the itemsets finds, so no subset is laid out that isn't
+    frequent, and no row holds more than one of them."""
+    sides = stored(itemsets.select("items", "support"), "supports")
+    named = sides.select(F.col("items").alias("side"), F.col("support").alias("side_support"))
+    grown = sides.where(F.size("items") >= 2).select("items", "support", F.explode("items").alias("item")).select(
+        "items", "support", F.array("item").alias("side"))
+    found, level = None, 1
+    while True:
+        here = stored(grown.join(named, "side"), "rule-sides")
+        found = here if found is None else found.unionByName(here)
+        level += 1
+        longer = here.where(F.size("items") >= 2 * level)
+        if longer.isEmpty():
+            return found
+        later = F.filter("items", lambda x: x > F.element_at("side", -1))
+        grown = longer.select("items", "support", "side", F.explode(later).alias("item")).select(
+            "items", "support", F.concat("side", F.array("item")).alias("side"))
+
+
 def association_rules(itemsets: DataFrame, min_lift: float = 1.2) -> DataFrame:
     """Every rule A => C with A, C non-empty, disjoint and A u C frequent, lift >= ``min_lift``.
 
-    The sides are sorted item arrays (``antecedent_items``, ``consequent_items``)
-    and joined to the supports as such; ``antecedents`` and ``consequents`` are
-    their texts, for display. An itemset may have up to 62 items.
+    The sides are sorted item arrays (``antecedent_items``, ``consequent_items``);
+    ``antecedents`` and ``consequents`` are their texts, for display. The smaller
+    sides come from :func:`rule_sides`, the others are what remains of the itemset, and
+    each such pair is a rule in both directions. An itemset may have any number
+    of items; rules whose sides aren't in ``itemsets`` are left out.
     """
-    multi = itemsets.where(F.col("size") >= 2).select(
-        "items", "support",
-        F.explode(F.expr("sequence(1L, shiftleft(1L, size) - 2L)")).alias("mask"))
-    ante = F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1L) = 1L)")
-    cons = F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1L) = 0L)")
-    split = multi.select(ante.alias("antecedent_items"), cons.alias("consequent_items"), "support")
-    sides = stored(itemsets.select("items", "support"), "supports")
-    a = sides.select(F.col("items").alias("antecedent_items"), F.col("support").alias("antecedent_support"))
-    c = sides.select(F.col("items").alias("consequent_items"), F.col("support").alias("consequent_support"))
-    rules = split.join(a, "antecedent_items").join(c, "consequent_items")
+    rest = F.array_except("items", "side")
+    other = itemsets.select(F.col("items").alias("rest"), F.col("support").alias("rest_support"))
+    both = rule_sides(itemsets).withColumn("rest", rest).join(other, "rest")
+    one = both.select(F.col("side").alias("antecedent_items"), F.col("rest").alias("consequent_items"),
+                      F.col("side_support").alias("antecedent_support"), F.col("rest_support").alias("consequent_support"), "support")
+    # of halves, each is a side of its own
+    two = both.where(F.size("side") * 2 < F.size("items")).select(
+        F.col("rest").alias("antecedent_items"), F.col("side").alias("consequent_items"),
+        F.col("rest_support").alias("antecedent_support"), F.col("side_support").alias("consequent_support"), "support")
     sa, sc, s = F.col("antecedent_support"), F.col("consequent_support"), F.col("support")
-    return rules.select(
+    return one.unionByName(two).select(
         "antecedent_items", "consequent_items",
         F.array_join("antecedent_items", ITEM_SEP).alias("antecedents"),
         F.array_join("consequent_items", ITEM_SEP).alias("consequents"), "antecedent_support", "consequent_support", "support",

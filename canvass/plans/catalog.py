@@ -18,7 +18,9 @@ from canvass.functions import labels as L
 from canvass.operators import basket, clean, crosstab, distribution, evaluate, leads, profile, scenario, select
 from canvass.operators import silhouette, sketch, split, states
 from canvass.operators.quantile import quantiles
+from canvass.plans import reuse
 from canvass.plans.joins import stored
+from canvass.session import scratch_path
 from canvass.sources import io
 from canvass.sources.fixtures import embeddings_long, responses, table
 from canvass.sources.schema import (CLUSTER_FEATURES, IMPUTED_AT_LOAD, PAIN_COLS, PROFILE_COLS,
@@ -43,43 +45,42 @@ def _round_doubles(df: DataFrame, skip=()) -> DataFrame:
                        else F.col(f.name) for f in df.schema.fields])
 
 
-# sf_dir -> (path of the written survey table, load-time medians); see ``materialize``.
-_MATERIALIZED: dict[str, tuple[str, dict]] = {}
+_INPUTS = ("lineitem", "part", "orders", "customer", "nation", "region")
+
+
+def _inputs(sf_dir: str) -> list[str]:
+    return [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in _INPUTS]
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The survey table before imputation (the written copy when there is one).
-    Queries that read none of the imputed columns start here, so they need no median."""
-    hit = _MATERIALIZED.get(sf_dir)
-    return spark.read.parquet(hit[0]) if hit else responses(spark, sf_dir)
+    """The survey table before imputation (the written copy when the manifest has one of just
+    these input files). Queries that read none of the imputed columns start here, so they need no median."""
+    hit = reuse.find(spark, "responses", _inputs(sf_dir))
+    return hit[0] if hit else responses(spark, sf_dir)
 
 
 def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 + P8: the survey table as the dashboard loads it (three medians imputed).
 
-    When :func:`materialize` wrote the table for ``sf_dir``, it is read back
-    and the stored medians are applied as literals.
+    When :func:`materialize` wrote the table for these input files, in this session or
+    another one, it is read back and the stored medians are applied as literals.
     """
-    hit = _MATERIALIZED.get(sf_dir)
+    hit = reuse.find(spark, "responses", _inputs(sf_dir))
     if hit:
-        path, meds = hit
-        return clean.fill_values(spark.read.parquet(path), meds)
+        return clean.fill_values(*hit)
     return clean.impute_median(responses(spark, sf_dir), IMPUTED_AT_LOAD)
 
 
-def materialize(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
-    """Write the survey table once into the shared folder; later queries read it.
+def materialize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the survey table once into the shared folder; later queries and sessions read it.
 
     The table is written raw (one pass over the joins), the three load-time
     medians are computed from the written parquet (a scan of three columns),
-    and applied lazily on every read. This cuts the lineage of the load the
-    way a cluster job should: a table in ``spark.checkpoint.dir``.
+    and applied lazily on every read. A table made from other files, or from these
+    before they were rewritten, is never taken (:mod:`canvass.plans.reuse`).
     """
-    _MATERIALIZED.pop(sf_dir, None)
-    path = io.write_table(responses(spark, sf_dir), path, "responses")
-    meds = clean.median_values(spark.read.parquet(path), IMPUTED_AT_LOAD)
-    _MATERIALIZED[sf_dir] = (path, meds)
-    return path
+    return reuse.keep(spark, "responses", _inputs(sf_dir), lambda: responses(spark, sf_dir),
+                      lambda table_: clean.median_values(table_, IMPUTED_AT_LOAD))[0]
 
 
 # ---------------------------------------------------------------- sources, filters
@@ -89,6 +90,28 @@ def q_csv_roundtrip(spark, sf_dir):
     return io.read_responses(spark, path, fmt="csv")
 
 
+def q_csv_reordered(spark, sf_dir):
+    """A file whose columns stand in another order, with one that isn't declared."""
+    df = raw(spark, sf_dir)
+    path = io.write_csv(df.select(F.lit("x").alias("note"), *reversed(df.columns)))
+    return io.read_responses(spark, path, fmt="csv")
+
+
+def q_csv_quarantine(spark, sf_dir):
+    """A file with unreadable bills and records with a surplus field: rows kept, and set apart by reason."""
+    df = raw(spark, sf_dir)
+    k = F.col("respondent_id")
+    texts = df.withColumn("monthly_bill_aed", F.when(k % 97 == 0, F.lit("n.k.")).otherwise(F.col("monthly_bill_aed").cast("string")))
+    line = F.concat(F.to_csv(F.struct(*texts.columns)), F.when(k % 89 == 0, F.lit(",surplus")).otherwise(F.lit("")))
+    path = scratch_path(spark, "csv-bad")
+    # a line is one column, its header the names: tabs never occur, so nothing is quoted
+    texts.select(line.alias(",".join(texts.columns))).write.option("header", True).option("sep", "\t").csv(path)
+    good, bad = io.read_quarantined(spark, path)
+    kept = good.agg(F.lit("kept").alias("reason"), F.count(F.lit(1)).alias("n"), F.sum("respondent_id").alias("ids"))
+    first = F.get(F.split("record", ","), F.lit(0)).cast("long")
+    return kept.unionByName(bad.groupBy(F.array_join("reasons", ",").alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum(first).alias("ids")))
+
+
 def q_distinct_options(spark, sf_dir):
     return select.distinct_options(raw(spark, sf_dir),
                                    ["segment", "primary_emirate", "summer_cooling_spike"])
@@ -432,10 +455,7 @@ def q_states_group_means(spark, sf_dir):
 # ---------------------------------------------------------------- fitted-model reuse
 def _fit_key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
     """The application, the model and the input files with their times and sizes."""
-    paths = [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "part", "orders", "customer", "nation", "region")]
-    files = spark.read.format("binaryFile").load(paths).select("path", "modificationTime", "length")
-    print_ = files.agg(F.count("*"), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()
-    return spark.sparkContext.applicationId, sf_dir, tuple(print_), name
+    return spark.sparkContext.applicationId, sf_dir, str(reuse.fingerprint(spark, _inputs(sf_dir))), name
 
 
 _FITS: dict[tuple, object] = {}
@@ -712,7 +732,6 @@ CALCULATOR_ACCEPTANCE = 0.539
 # ---------------------------------------------------------------- streaming
 def q_kpi_stream(spark, sf_dir):
     """Running KPI counts after streaming the survey in file by file, one per micro-batch."""
-    from canvass.session import scratch_path
     from canvass.streaming import kpi_stream
     folder = scratch_path(spark, "responses-stream")
     raw(spark, sf_dir).write.parquet(folder)
@@ -726,6 +745,8 @@ def q_kpi_stream(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_roundtrip": q_csv_roundtrip,
+    "csv_reordered": q_csv_reordered,
+    "csv_quarantine": q_csv_quarantine,
     "distinct_options": q_distinct_options,
     "filtered_counts": q_filtered_counts,
     "filter_null_member": q_filter_null_member,

@@ -39,6 +39,12 @@ ORACLE: dict[str, str] = {}
 
 ORACLE["csv_roundtrip"] = sql("SELECT * FROM responses")
 
+ORACLE["csv_reordered"] = ORACLE["csv_roundtrip"]
+
+ORACLE["csv_quarantine"] = sql("""
+SELECT CASE WHEN respondent_id % 89 = 0 THEN 'record' WHEN respondent_id % 97 = 0 THEN 'monthly_bill_aed' ELSE 'kept' END AS reason,
+       count(*) AS n, CAST(sum(respondent_id) AS BIGINT) AS ids FROM responses GROUP BY 1""")
+
 ORACLE["distinct_options"] = sql("""
 SELECT DISTINCT 'segment' AS dimension, segment AS value FROM responses
 UNION ALL SELECT DISTINCT 'primary_emirate', primary_emirate FROM responses
