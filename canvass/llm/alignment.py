@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import os
 import re
 from collections.abc import Iterable, Iterator
 
@@ -35,9 +36,11 @@ from .bpe import byte_alphabet
 from .common import chunks, written
 
 #: Bytes of text per chunk, segments that a task remembers, characters that are encoded in one call.
-CHUNK_BYTES = 4 << 20
-REMEMBERED = 400_000
+CHUNK_BYTES = 2 << 20
+REMEMBERED = 200_000
 LUMP_CHARS = 1 << 14
+#: Lumps that the libraries get at a time.
+LUMPS = 16
 #: Pairs that are laid out at a time.
 SLICE = 1 << 21
 
@@ -64,6 +67,7 @@ class Segments:
     pairs and times; counts has its n_a, n_b, n_groups and n_links, and whether it is valid."""
 
     def __init__(self, a_path: str, b_path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -85,9 +89,9 @@ class Segments:
     def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.texts: list[str] = []
-        self.counts = np.zeros((0, 5), np.int64)
+        self.counts = np.zeros((0, 5), np.int32)
         self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
-        self.ends = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.ends = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
         self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.starts = [np.zeros(1, np.int64) for _ in range(3)]
 
@@ -113,13 +117,12 @@ class Segments:
                 room = 0 if s[-1].isspace() else LUMP_CHARS
             lumps[-1].append(s)
             room -= len(s)
-        for lump in self._encoded(lumps):
-            self._add(*lump)
+        self._append([self._known(*lump) for lump in self._encoded(lumps)])
 
     def _encoded(self, lumps: list[list[str]]) -> Iterator[tuple]:
         """(segments, whether valid, ids and ends of both sides) of runs of segments."""
-        for at in range(0, len(lumps), 64):
-            some = lumps[at:at + 64]
+        for at in range(0, len(lumps), LUMPS):
+            some = lumps[at:at + LUMPS]
             texts = ["".join(x) for x in some]
             ours = self.a.encode_batch(texts, add_special_tokens=False)
             theirs = self.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1)
@@ -144,13 +147,12 @@ class Segments:
         same = coarse[1:] == coarse[:-1]
         return np.where(np.r_[same, False] | np.r_[False, same], fine, coarse)
 
-    def _add(self, segments: list[str], valid: bool, a: tuple, b: tuple) -> None:
-        n, known = len(segments), len(self.texts)
-        self.index.update(zip(segments, range(known, known + n)))
+    def _known(self, segments: list[str], valid: bool, a: tuple, b: tuple) -> tuple:
+        """What is remembered of encoded segments."""
+        n = len(segments)
         if not valid:
-            self._append([""] * n, np.zeros((n, 5), np.int64), [np.zeros(0, np.int32)] * 2, [np.zeros(0, np.int64)] * 2,
-                         np.zeros(0, np.int64), np.zeros(0, np.int64), [np.zeros(n, np.int64)] * 3)
-            return
+            none = np.zeros(0, np.int64)
+            return segments, [""] * n, np.zeros((n, 5), np.int64), [none] * 2, [none] * 2, none, none, [np.zeros(n, np.int64)] * 3
         upto = np.cumsum([len(s.encode()) for s in segments])
         cuts = np.intersect1d(a[1], b[1], assume_unique=True)
         groups = [np.searchsorted(cuts, side[1]) for side in (a, b)]
@@ -168,8 +170,8 @@ class Segments:
         strings = ["".join(listed[lo:hi])[:-1] for lo, hi in zip(bounds, bounds[1:])]
         owner, pairs, times = self._pairs(groups, a[0], b[0], group_of)
         before = np.r_[0, upto[:-1]]
-        self._append(strings, counts, [a[0], b[0]], [a[1] - before[of[0]], b[1] - before[of[1]]], pairs, times,
-                     [counts[:, 0], counts[:, 1], np.bincount(owner, minlength=n)])
+        return (segments, strings, counts, [a[0], b[0]], [a[1] - before[of[0]], b[1] - before[of[1]]], pairs, times,
+                [counts[:, 0], counts[:, 1], np.bincount(owner, minlength=n)])
 
     @staticmethod
     def _pairs(groups: list[np.ndarray], a: np.ndarray, b: np.ndarray, segment_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,13 +195,18 @@ class Segments:
         rows = _summed(np.concatenate(found, axis=1)) if len(found) > 1 else found[0] if found else np.zeros((3, 0), np.int64)
         return rows[0], rows[1], rows[2]
 
-    def _append(self, strings, counts, ids, ends, pairs, times, sizes) -> None:
-        self.texts += strings
-        self.counts = np.concatenate([self.counts, counts])
-        self.ids = [np.concatenate(x) for x in zip(self.ids, ids)]
-        self.ends = [np.concatenate(x) for x in zip(self.ends, ends)]
-        self.pairs, self.times = np.concatenate([self.pairs, pairs]), np.concatenate([self.times, times])
-        self.starts = [np.concatenate([s, s[-1] + np.cumsum(x)]) for s, x in zip(self.starts, sizes)]
+    def _append(self, found: list[tuple]) -> None:
+        """Add what is known of segments to the memory, all of it at once."""
+        segments, strings, counts, ids, ends, pairs, times, sizes = zip(*found)
+        for some, texts in zip(segments, strings):
+            self.index.update(zip(some, range(len(self.texts), len(self.texts) + len(some))))
+            self.texts += texts
+        joined = lambda old, new: np.concatenate([old, *(x.astype(old.dtype, copy=False) for x in new)])
+        self.counts = joined(self.counts, counts)
+        self.ids = [joined(x, new) for x, new in zip(self.ids, zip(*ids))]
+        self.ends = [joined(x, new) for x, new in zip(self.ends, zip(*ends))]
+        self.pairs, self.times = joined(self.pairs, pairs), joined(self.times, times)
+        self.starts = [np.r_[s, s[-1] + np.cumsum(np.concatenate(x))] for s, x in zip(self.starts, zip(*sizes))]
 
 
 def _summed(rows: np.ndarray) -> np.ndarray:
@@ -240,7 +247,7 @@ def _chunk_rows(a_path: str, b_path: str):
 
 
 def _chunk(known: Segments, number: int, doc_ids: pa.Array, places: list[np.ndarray]) -> pa.RecordBatch:
-    counts = np.stack([known.counts[p].sum(axis=0) if len(p) else np.zeros(5, np.int64) for p in places])
+    counts = np.stack([known.counts[p].sum(axis=0, dtype=np.int64) if len(p) else np.zeros(5, np.int64) for p in places])
     valid = (counts[:, 4] == [len(p) for p in places]) & (counts[:, 4] > 0)
     counts[~valid] = 0
     texts = [";".join(map(known.texts.__getitem__, p.tolist())) if ok else "" for ok, p in zip(valid.tolist(), places)]
@@ -283,7 +290,7 @@ def _span_rows(a_path: str, b_path: str):
                 columns = [pa.array([doc_id], pa.int64())]
                 for side in (0, 1):
                     row, of = _spread(known.starts[side], p if known.counts[p, 4].all() else p[:0])
-                    ends = known.ends[side][row]
+                    ends = known.ends[side][row].astype(np.int64)
                     size = np.zeros(len(p), np.int64)
                     np.maximum.at(size, of, ends)
                     for x, kind in ((known.ids[side][row], pa.int32()), (ends + (np.cumsum(size) - size)[of], pa.int64())):

@@ -35,8 +35,8 @@ SWITCH_PENALTY = 12.0
 #: Share of a language's letters that a script must have to count as one of its scripts.
 SCRIPT_SHARE = 0.01
 #: Bytes of text turned into arrays at a time, and distinct words whose scores a task remembers.
-PIECE = 1 << 20
-REMEMBERED = 200_000
+PIECE = 1 << 19
+REMEMBERED = 150_000
 
 #: Scripts by ranges of code points (fixed values; 0 is every other script).
 SCRIPT_RANGES = [

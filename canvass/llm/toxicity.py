@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import chunks
-from .language import PIECE, Words
+from .language import Words
 
 #: The chain: (category, how it follows from the labels), first to last.
 CATEGORIES = [("low_quality", "quality = 0"), ("toxic", "toxic = 1")]
@@ -34,6 +34,8 @@ FOLDS = 3
 SLOTS = 1 << 19
 LENGTHS = (4, 5)
 LEVELS = (2, 3, 5)
+#: Bytes of text turned into n-grams at a time.
+PIECE = 1 << 18
 #: n-grams a model selects at most, and the least chi-square value.
 SELECTED = 400
 LEAST_CHI2 = 20.0
