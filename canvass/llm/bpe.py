@@ -32,8 +32,8 @@ from .common import chunks
 #: The byte-level pre-tokenizer's pattern (fixed by the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text per chunk, and distinct pre-tokens that a task remembers.
-ENCODE_BYTES = 2 << 20
-REMEMBERED = 200_000
+ENCODE_BYTES = 1 << 20
+REMEMBERED = 60_000
 
 
 def byte_alphabet() -> dict[str, int]:
