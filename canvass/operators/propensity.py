@@ -49,6 +49,7 @@ class ForestResult:
     test_predictions: DataFrame
     importances: DataFrame
     cv_metrics: DataFrame | None
+    matrix: DataFrame | None = None
 
 
 def fit_forest(df: DataFrame, label_col: str = "adoption_class",
@@ -82,13 +83,13 @@ def fit_forest(df: DataFrame, label_col: str = "adoption_class",
     imp = spark.createDataFrame([(f, float(v)) for f, v in zip(feats, model.featureImportances.toArray())],
                                 "feature string, importance double")
     if not cross_validate:
-        return ForestResult(model, labels, preds, imp, None)
+        return ForestResult(model, labels, preds, imp, None, data)
     scores = cross_validated_macro_f1(rf, data, folds, cv_parallelism)
     mean = sum(scores) / len(scores)
     std = (sum((x - mean) ** 2 for x in scores) / (len(scores) - 1)) ** 0.5 if len(scores) > 1 else None
     cv_df = spark.createDataFrame([(float(mean), std, folds)],
                                   "cv_macro_f1 double, cv_macro_f1_std double, folds int")
-    return ForestResult(model, labels, preds, imp, cv_df)
+    return ForestResult(model, labels, preds, imp, cv_df, data)
 
 
 def cross_validated_macro_f1(estimator, data: DataFrame, folds: int, parallelism: int = 2) -> list[float]:

@@ -660,6 +660,82 @@ def q_importance_facts(spark, sf_dir):
     return both.groupBy("model").agg(F.count(F.lit(1)).alias("n_features"), (F.abs(F.sum("importance") - 1) < 1e-6).alias("sum_is_1"))
 
 
+# ---------------------------------------------------------------- fitted trees as tables of nodes
+def _forest_table(spark, sf_dir):
+    from canvass.operators import trees
+    return _reuse(spark, sf_dir, "forest-nodes", lambda: trees.of_ensemble(spark, _forest(spark, sf_dir).model))
+
+
+def _boost_table(spark, sf_dir):
+    from canvass.operators import trees
+    return _reuse(spark, sf_dir, "boosting-nodes", lambda: trees.of_ensemble(spark, _boost(spark, sf_dir).model))
+
+
+def q_rf_scored_by_table(spark, sf_dir):
+    """Test rows of the forest, and how many of them score otherwise by its node table: none."""
+    from pyspark.ml.functions import vector_to_array
+
+    from canvass.operators import trees
+    fit = _forest(spark, sf_dir)
+    test = fit.matrix.where("is_test")
+    ours = trees.class_shares(test, _forest_table(spark, sf_dir), fit.model.numClasses, "respondent_id").withColumnRenamed("prediction", "ours")
+    theirs = fit.model.transform(test).select("respondent_id", vector_to_array("probability").alias("p"), "prediction")
+    both = theirs.join(ours, "respondent_id", "left")
+    off = F.exists(F.zip_with("p", "shares", lambda a, b: F.abs(a - b)), lambda d: d.isNull() | (d > 1e-9))
+    # classes that are equally likely but for rounding may be named either way
+    other = F.element_at("shares", (F.col("prediction") + 1).cast("int")) < F.array_max("shares") - 1e-9
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ours").isNull() | off | other).alias("n_differ"))
+
+
+def _differing(theirs, ours):
+    """Rows, and how many of them have another prediction in ``ours`` (or none)."""
+    both = theirs.join(ours.withColumnRenamed("prediction", "ours"), "respondent_id", "left")
+    off = F.col("ours").isNull() | (F.abs(F.col("ours") - F.col("prediction")) > 1e-9)
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(off).alias("n_differ"))
+
+
+def q_gbt_scored_by_table(spark, sf_dir):
+    """Test rows of the boosting model, and how many score otherwise by its node table: none."""
+    from canvass.operators import trees
+    fit = _boost(spark, sf_dir)
+    return _differing(fit.test_predictions, trees.regression_sums(fit.matrix.where("is_test"), _boost_table(spark, sf_dir), "respondent_id"))
+
+
+def q_importances_by_table(spark, sf_dir):
+    """Features per model, and how many importances differ from those of the node table's gains: none."""
+    from canvass.operators import trees
+    from canvass.sources.schema import CLASSIFIER_FEATURES, REGRESSION_FEATURES
+    rows = None
+    for name, fit, table_, feats in (("forest", _forest(spark, sf_dir), _forest_table(spark, sf_dir), CLASSIFIER_FEATURES),
+                                     ("boosting", _boost(spark, sf_dir), _boost_table(spark, sf_dir), REGRESSION_FEATURES)):
+        ours = trees.importances(table_, feats, per_tree=name == "forest").withColumnRenamed("importance", "ours")
+        both = fit.importances.join(ours, "feature", "left")
+        row = both.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("n_features"),
+                       F.count_if(F.col("ours").isNull() | (F.abs(F.col("ours") - F.col("importance")) > 1e-9)).alias("n_differ"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+def _residual_boost(spark, sf_dir):
+    from canvass.operators import price
+    return _reuse(spark, sf_dir, "residual-boosting", lambda: price.fit_by_residuals(loaded(spark, sf_dir)))
+
+
+def q_residual_boost_facts(spark, sf_dir):
+    """The dashboard's boosting (constant start, every tree at 0.05): rounds, whether none
+    raised the training error, test rows, and how many score otherwise by the node table (none)."""
+    from canvass.operators import trees
+    fit = _residual_boost(spark, sf_dir)
+    falls = all(b <= a * (1 + 1e-12) for a, b in zip(fit.losses, fit.losses[1:]))
+    table_ = trees.of_trees(spark, fit.trees, fit.step, fit.start)
+    scored = _differing(fit.test_predictions, trees.regression_sums(fit.matrix.where("is_test"), table_, "respondent_id"))
+    return scored.select(F.lit(len(fit.trees)).cast("long").alias("rounds"), F.lit(falls).alias("loss_falls"), "n", "n_differ")
+
+
+def q_residual_boost_metrics(spark, sf_dir):
+    return _round_doubles(evaluate.regression_metrics(_residual_boost(spark, sf_dir).test_predictions))
+
+
 # ---------------------------------------------------------------- gaps in the data
 def _gappy(spark, sf_dir):
     """The survey with gaps: NaN bills, null WTP values and classes, a constant
@@ -825,6 +901,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rf_test_rows": q_rf_test_rows,
     "gbt_test_rows": q_gbt_test_rows,
     "importance_facts": q_importance_facts,
+    "rf_scored_by_table": q_rf_scored_by_table,
+    "gbt_scored_by_table": q_gbt_scored_by_table,
+    "importances_by_table": q_importances_by_table,
+    "residual_boost_facts": q_residual_boost_facts,
+    "residual_boost_metrics": q_residual_boost_metrics,
     "gaps_impute": q_gaps_impute,
     "gaps_crosstab": q_gaps_crosstab,
     "gaps_group_means": q_gaps_group_means,

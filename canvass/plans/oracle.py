@@ -625,6 +625,12 @@ SELECT respondent_id, round(ln(1 + CAST(wtp_aed_per_building AS DOUBLE)), 6) AS
 WHERE wtp_aed_per_building IS NOT NULL AND {_U.format(seed=42)} < 0.25::DOUBLE""")
 ORACLE["importance_facts"] = """
 SELECT 'forest' AS model, 17::BIGINT AS n_features, true AS sum_is_1 UNION ALL SELECT 'boosting', 12, true"""
+ORACLE["rf_scored_by_table"] = f"SELECT sum(n)::BIGINT AS n, 0::BIGINT AS n_differ FROM ({ORACLE['rf_test_rows']})"
+ORACLE["gbt_scored_by_table"] = f"SELECT count(*) AS n, 0::BIGINT AS n_differ FROM ({ORACLE['gbt_test_rows']})"
+ORACLE["importances_by_table"] = """
+SELECT 'forest' AS model, 17::BIGINT AS n_features, 0::BIGINT AS n_differ UNION ALL SELECT 'boosting', 12, 0"""
+ORACLE["residual_boost_facts"] = f"""
+SELECT 150::BIGINT AS rounds, true AS loss_falls, count(*) AS n, 0::BIGINT AS n_differ FROM ({ORACLE['gbt_test_rows']})"""
 ORACLE["elbow_facts"] = sql("""
 SELECT k::INTEGER AS k, (SELECT count(*) FROM responses) AS n, true AS cost_is_distance, true AS centres_are_means, true AS cost_falls, true AS below_fewer
 FROM range(2, 10) t(k)""")

@@ -9,8 +9,9 @@ from conftest import SF_SMALL
 
 import __spark_entry__ as E
 
-# left to the driver's gate: a large result, and fits that tests/test_models.py also makes
-SLOW = {"csv_roundtrip", "kmeans_facts", "gbt_test_rows", "importance_facts"}
+# left to the driver's gate: a large result, and fits that tests/test_models.py and tests/test_trees.py also make
+SLOW = {"csv_roundtrip", "kmeans_facts", "gbt_test_rows", "importance_facts", "gbt_scored_by_table", "importances_by_table",
+        "residual_boost_facts"}
 KEYS = [k for k in E.oracle_sql() if k not in SLOW]
 
 
