@@ -269,9 +269,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def resolve(records: DataFrame) -> DataFrame:
     """``read_warc`` rows with refers_to: the page_id of the record referred to."""
-    whole = (records.where("record_type <> 'revisit'").groupBy(F.col("record_id").alias("refers_to_id"))
+    whole = (records.where("record_type <> 'revisit'").groupBy(F.col("record_id").alias("_whole_id"))
              .agg(F.min("page_id").alias("refers_to")))
-    return records.join(whole, "refers_to_id", "left")
+    # what refers to nothing gets a key of its own that no record has: null keys would meet in one task
+    key = F.coalesce("refers_to_id", F.concat(F.lit("none "), "record_id"))
+    return records.withColumn("_key", key).join(whole, F.col("_key") == F.col("_whole_id"), "left").drop("_key", "_whole_id")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
