@@ -1,18 +1,19 @@
 """Exact top-k search by inner product with sorted lists and no random access.
 
-Vectors are kept in blocks of rows; each block has one list per component,
-sorted by value. A query reads a component's list from its top where its own
-component is positive and from its bottom where it is negative, all lists to the
-same depth. What has been read gives each row a lower bound (unread components
-at their list's worst value) and an upper bound (at the list's next value). Rows
-whose upper bound is below the k-th lower bound cannot qualify any more; the
-depth grows until only the rows that can are left, whose final scores are then
-resolved. Bounds of all queries of a block against all rows of a block are
-matrix products over the read and the unread part of the lists.
-
-Blocks of queries meet blocks of rows in an equality join on the row block's
-number, and each pair of blocks is one unit of work; a query's rows of each
-block are merged by rank at the end.
+Vectors are kept in blocks of rows; each block has one list per component, sorted
+by value when it is packed. A query reads a component's list from its top where
+its own component is positive and from its bottom where it is negative, all lists
+in runs of entries. It holds a partial sum for the rows it has seen. What a row's
+unread components can add at most follows from the last entries read, what they
+add at least from the lists' other ends: these are the row's upper and lower
+bound. A row that no list has shown yet can have no more than the last entries
+together. The query stops reading once neither an unseen row nor more than a few
+of the seen ones can reach the k-th lower bound; the final scores of those few
+are then resolved from their vectors.
+
+A query block is sent to every row block by its number, so rows are shuffled once,
+and each pair of blocks is a unit of work; a query's rows of each block are merged
+by rank at the end. Blocks hold the narrowest integers that their values fit in.
 """
 
 from __future__ import annotations
@@ -29,10 +30,14 @@ from .common import written
 #: Rows per block of vectors and per block of queries.
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
-#: Depths, as shares of the lists, at which the bounds are looked at.
-DEPTHS = (0.5, 0.9)
+#: The first run reads this share of a list; every later one ends this much deeper.
+FIRST_RUN, GROWTH = 1 / 64, 1.5
+#: A query stops reading when at most so many times k rows can still qualify.
+RESOLVE = 4
 
-_BLOCK = "block long, dim int, ids binary, data binary"
+_BLOCK = "block long, dim int, width int, ids binary, data binary"
+_LISTS = _BLOCK + ", places binary, sorted binary"
+_WIDTHS = (np.int16, np.int32, np.int64)
 
 
 def integers(vectors: DataFrame, scale: int, vector: str = "embedding") -> DataFrame:
@@ -47,7 +52,7 @@ def integers(vectors: DataFrame, scale: int, vector: str = "embedding") -> DataF
     return kept.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def _packed(rows: int):
+def _packed(rows: int, lists: bool):
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -57,9 +62,14 @@ def _packed(rows: int):
             nonlocal number
             number += 1
             ids, data = (np.concatenate(x) for x in zip(*parts))
+            data = data.astype(next(w for w in _WIDTHS if np.iinfo(w).min <= data.min() and data.max() <= np.iinfo(w).max))
+            blobs = [ids, data]
+            if lists:
+                places = np.argsort(data, axis=0, kind="stable").T.astype(np.int32)
+                blobs += [places, np.take_along_axis(data.T, places, axis=1)]
             return pa.RecordBatch.from_arrays([
-                pa.array([number - 1], pa.int64()), pa.array([dim], pa.int32()),
-                pa.array([ids.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], ["block", "dim", "ids", "data"])
+                pa.array([number - 1], pa.int64()), pa.array([dim], pa.int32()), pa.array([data.itemsize], pa.int32()),
+                *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], ["block", "dim", "width", "ids", "data", "places", "sorted"][:3 + len(blobs)])
 
         for batch in batches:
             ids, lists = batch.column("vec_id").to_numpy(), batch.column("v")
@@ -81,67 +91,118 @@ def _packed(rows: int):
     return pack
 
 
-def blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """(block, dim, ids, data): vectors of one length packed ``rows`` to a block."""
-    return vectors.select("vec_id", "v").mapInArrow(_packed(rows), _BLOCK)
-
-
-def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T, exact: in doubles as long as no sum can pass 2^53."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if most < 2**53:
-        return a.astype(np.float64) @ b.T.astype(np.float64)
-    return (a.astype(np.int64)[:, None, :] * b.astype(np.int64)[None, :, :]).sum(axis=2) if most < 2**62 else \
-        np.array([[sum(int(x) * int(y) for x, y in zip(p, q)) for q in b] for p in a], object)
-
-
-def block_top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of each query's k best rows of the block: highest
-    score first, then smallest id; a query's own id is left out."""
-    n = len(ids)
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    low, high = data.min(axis=0), data.max(axis=0)
-    lists = np.sort(data, axis=0)
-    own = query_ids[:, None] == ids[None, :]
-    open_rows = ~own
-    wanted = min(k, n)
-    for depth in DEPTHS:
-        read = int(depth * n)
-        if read <= wanted or n <= 4 * k:
-            continue
-        top, bottom = lists[n - read], lists[read - 1]  # the last values read from either end
-        from_top, from_bottom = data >= top, data <= bottom
-        lower = _product(up, np.where(from_top, data, low)) + _product(down, np.where(from_bottom, data, high))
-        upper = _product(up, np.where(from_top, data, top)) + _product(down, np.where(from_bottom, data, bottom))
-        lower[own] = -np.inf if lower.dtype.kind == "f" else np.iinfo(np.int64).min // 2 if lower.dtype.kind == "i" else -(1 << 200)
-        bar = np.partition(lower, n - wanted, axis=1)[:, n - wanted]
-        open_rows &= upper >= bar[:, None]
-        if open_rows.sum() <= 4 * k * len(queries):
-            break
-    # final scores, of the rows that can still qualify; beyond a long's range they are its largest or least value
-    share = open_rows.any(axis=0)
-    rows = np.flatnonzero(share)
-    score = np.clip(_product(queries, data[rows]), -(2**63), 2**63 - 1)
-    who, place = np.nonzero(open_rows[:, rows])
-    value = score[who, place]
-    order = np.lexsort((ids[rows[place]], -value, who))
-    who, place, value = who[order], rows[place[order]], value[order]
-    first = np.searchsorted(who, np.arange(len(queries)))
-    keep = np.arange(len(who)) - first[who] < k
-    return who[keep], place[keep], value[keep]
+def blocks(vectors: DataFrame, rows: int, lists: bool = False) -> DataFrame:
+    """(block, dim, width, ids, data): vectors of one length packed ``rows`` to a
+    block; with ``lists`` also places and sorted, one list per component."""
+    return vectors.select("vec_id", "v").mapInArrow(_packed(rows, lists), _LISTS if lists else _BLOCK)
+
+
+def _scores(query: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Exact inner products; beyond a long's range they are its largest or least value."""
+    most = float(np.abs(query.astype(float)).max(initial=0)) * float(np.abs(data.astype(float)).max(initial=0)) * max(1, len(query))
+    if most < 2**62:
+        return data.astype(np.int64) @ query
+    exact = [sum(int(x) * int(y) for x, y in zip(query, row)) for row in data]
+    return np.array([min(max(x, -(2**63)), 2**63 - 1) for x in exact], np.int64)
+
+
+def read_lists(query: np.ndarray, own: np.ndarray, places: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, int]:
+    """The rows of a block that can be among a query's k best, and how many list
+    entries were read to know. ``own`` are the rows that are no candidates;
+    ``places`` and ``values`` are the lists, from their bottom, one a component.
+
+    Bounds are doubles: exact while no sum can pass 2^53, else widened by what
+    rounding can add up to."""
+    n, used = places.shape[1], np.flatnonzero(query)
+    wanted = min(k, n - len(own))
+    if not len(used) or not wanted:  # every score is 0, or nobody is there
+        return np.delete(np.arange(n), own), 0
+    weight, up = query[used].astype(float)[:, None], query[used] > 0
+    bottom, top = values[used, 0].astype(float), values[used, -1].astype(float)
+    least = weight[:, 0] * np.where(up, bottom, top)
+    most = float(np.abs(weight).max() * max(np.abs(bottom).max(), np.abs(top).max()) * len(used))
+    margin = 0.0 if most < 2**53 else most * len(used) * 2.0**-49
+    partial, seen_least = np.zeros(n), np.zeros(n)
+    seen = np.zeros((n, len(used)))
+    open_ = np.ones(n, bool)
+    open_[own] = False
+    column = np.arange(len(used))[:, None]
+    read, depth = 0, min(n, max(int(n * FIRST_RUN), k))
+    while True:
+        # the next run of every list, in the order of what it adds
+        at = np.where(up[:, None], np.arange(n - read - 1, n - depth - 1, -1), np.arange(read, depth))
+        rows = places[used[:, None], at]
+        adds = weight * values[used[:, None], at]
+        partial += np.bincount(rows.ravel(), adds.ravel(), n)
+        seen_least += np.bincount(rows.ravel(), np.repeat(least, depth - read), n)
+        seen[rows, column] = 1
+        read, last = depth, adds[:, -1]
+        shown = np.flatnonzero(open_ & (seen.any(axis=1)))
+        if len(shown) >= wanted:
+            lower = np.clip(partial[shown] + least.sum() - seen_least[shown] - margin, -2.0**63, 2.0**63)
+            bar = np.partition(lower, len(lower) - wanted)[len(lower) - wanted]
+            upper = np.clip(partial[shown] + (last.sum() - seen[shown] @ last) + margin, -2.0**63, 2.0**63)
+            open_[shown[upper < bar]] = False
+            rest = shown[upper >= bar]
+            unseen_out = read == n or min(max(last.sum() + margin, -2.0**63), 2.0**63) < bar
+            if unseen_out and (len(rest) <= RESOLVE * k or read == n):
+                return rest, read * len(used)
+        depth = min(n, max(read + 1, int(read * GROWTH)))
+
+
+def block_top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, data: np.ndarray, places: np.ndarray, values: np.ndarray,
+              k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score, read): of each query its k best rows of the block,
+    highest score first, then smallest id, and the list entries it read; its own
+    id is left out."""
+    found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for q, query in enumerate(queries):
+        rows, read = read_lists(query, np.flatnonzero(ids == query_ids[q]), places, values, k)
+        score = _scores(query, data[rows])
+        best = _best(ids[rows], score, k)
+        for column, x in zip(found, (np.full(len(best), q), rows[best], score[best], np.full(len(best), read))):
+            column.append(x)
+    return tuple(np.concatenate(x) for x in found)
+
+
+def _best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k highest scores, ties by id; ~x turns a long's order around."""
+    return np.lexsort((ids, ~score))[:k]
 
 
 def _search(k: int):
     def rows(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                ids, data = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["data"], np.int64).reshape(-1, r["dim"])
-                qids, queries = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_data"], np.int64).reshape(-1, r["dim"])
-                who, place, value = block_top(qids, queries, ids, data, k)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[who]), pa.array(ids[place]), pa.array(value.astype(np.int64))], ["query_id", "vec_id", "score"])
+            of = {name: batch.column(name) for name in batch.schema.names}
+            for r in range(batch.num_rows):
+                dim = of["dim"][r].as_py()
+
+                def view(name, kind):
+                    return np.frombuffer(of[name][r].as_buffer(), kind)
+
+                kind, q_kind = (f"i{of[w][r].as_py()}" for w in ("width", "q_width"))
+                ids, places = view("ids", np.int64), view("places", np.int32).reshape(dim, -1)
+                data, values = view("data", kind).reshape(-1, dim), view("sorted", kind).reshape(dim, -1)
+                q_ids, asked = view("q_ids", np.int64), view("q_data", q_kind).reshape(-1, dim).astype(np.int64)
+                who, place, value, read = block_top(q_ids, asked, ids, data, places, values, k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, pa.int64()) for x in (q_ids[who], ids[place], value, np.full(len(who), of["block"][r].as_py()), read)],
+                    ["query_id", "vec_id", "score", "block", "n_read"])
     return rows
 
 
+def found_in_blocks(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, block, n_read): each query's k best rows of every
+    block of vectors of its length, and the list entries it read there."""
+    stored = written(blocks(vectors, BLOCK_ROWS, lists=True), "vectors")
+    asked = blocks(queries, QUERY_ROWS).select(F.col("dim"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    n = max(1, stored.count())
+    met = asked.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("place"))
+    numbered = stored.withColumn("place", F.pmod(F.xxhash64("block"), F.lit(n).cast("long")))
+    return numbered.hint("shuffle_merge").join(met, ["place", "dim"]).mapInArrow(
+        _search(k), "query_id long, vec_id long, score long, block long, n_read long")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): for each of ``queries`` (vec_id, v) the k
     rows of ``vectors`` (vec_id, v) with the highest inner products, all if there
@@ -149,9 +210,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Scores beyond a long's range are its largest or least value. Only vectors of the
     query's length are compared. Empty tables give no rows."""
-    stored = written(blocks(vectors, BLOCK_ROWS), "vectors")
-    asked = blocks(queries, QUERY_ROWS).select(F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    pairs = stored.join(asked, "dim").repartition("block", "q_block")
-    found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = found_in_blocks(vectors, queries, k).withColumn("rank", F.row_number().over(best))
+    return found.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

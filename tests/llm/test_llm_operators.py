@@ -255,13 +255,37 @@ def test_topk_scores_beyond_a_long(spark):
     assert got == [(1, 1, 2**63 - 1), (2, 3, 64 * 64), (3, 2, -2**63)]
 
 
-def test_topk_bounds_drop_no_row():
+def lists_of(data):
+    places = np.argsort(data, axis=0, kind="stable").T.astype(np.int32)
+    return places, np.take_along_axis(data.T, places, axis=1)
+
+
+@pytest.mark.parametrize("scale", [3, 40, 1 << 30, 1 << 60])
+def test_topk_bounds_drop_no_row(scale):
     r = np.random.default_rng(2)
-    data, queries_ = r.integers(-40, 40, (3000, 8)), r.integers(-40, 40, (5, 8))
-    who, place, value = topk.block_top(np.arange(-5, 0), queries_, np.arange(3000), data, 10)
+    data, queries_ = r.integers(-scale, scale, (3000, 8)), r.integers(-scale, scale, (5, 8))
+    queries_[1] = 0
+    queries_[2, 3:] = 0
+    ids = r.permutation(3000)
+    who, place, value, read = topk.block_top(ids[:5], queries_, ids, data, *lists_of(data), 10)
     for q in range(5):
-        score = data @ queries_[q]
-        assert place[who == q].tolist() == np.lexsort((np.arange(3000), -score))[:10].tolist()
+        score = [min(max(sum(int(a) * int(b) for a, b in zip(row, queries_[q])), -(2**63)), 2**63 - 1) for row in data]
+        order = sorted((k for k in range(3000) if k != q), key=lambda k: (-score[k], ids[k]))[:10]
+        assert place[who == q].tolist() == order and value[who == q].tolist() == [score[k] for k in order]
+        assert (read[who == q] <= 3000 * np.count_nonzero(queries_[q])).all()
+
+
+def test_topk_lists_are_left_early_where_scores_are_skewed(spark):
+    r = np.random.default_rng(3)
+    # a few components carry most of the scores: the best rows stand at the tops of their lists
+    values = np.floor(r.pareto(1.2, (4000, 8)) * 10).clip(0, 10**6)
+    v = spark.createDataFrame([(k, [int(x) for x in row]) for k, row in enumerate(values)], "vec_id long, v array<long>")
+    found = topk.found_in_blocks(v.coalesce(1), v.where("vec_id % 20 = 0").coalesce(1), 20)
+    read = found.groupBy("query_id", "block").agg({"n_read": "max"}).toDF("q", "b", "n").agg({"n": "avg"}).first()[0]
+    assert read < 4000 * 8 / 2
+    want = values @ values[40]
+    got = [x.vec_id for x in topk.top_k(v, v.where("vec_id = 40"), 20).orderBy("rank").collect()]
+    assert got == sorted((k for k in range(4000) if k != 40), key=lambda k: (-want[k], k))[:20]
 
 
 # --- 7 ------------------------------------------------------------------------
