@@ -273,6 +273,10 @@ def test_topk_bounds_drop_no_row(scale):
         order = sorted((k for k in range(3000) if k != q), key=lambda k: (-score[k], ids[k]))[:10]
         assert place[who == q].tolist() == order and value[who == q].tolist() == [score[k] for k in order]
         assert (read[who == q] <= 3000 * np.count_nonzero(queries_[q])).all()
+    # with the k-th score as a bar brought along, the same rows
+    bars = np.array([value[who == q].min() for q in range(5)], float)
+    again = topk.block_top(ids[:5], queries_, ids, data, *lists_of(data), 10, bars)
+    assert {q: again[1][again[0] == q].tolist() for q in range(5)} == {q: place[who == q].tolist() for q in range(5)}
 
 
 def test_topk_lists_are_left_early_where_scores_are_skewed(spark):
