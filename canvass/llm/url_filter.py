@@ -4,10 +4,11 @@ hits to an exact hash join that removes its false positives.
 Everything is DataFrame work. The list is a table (host, path, verdict). Its
 Bloom filter is a table too: one row per 512-bit block, eight 64-bit words
 built with ``bit_or``; each listed URL sets one bit in each word of one block.
-A URL can match a listed host only by a suffix of its own host, and a listed
-path only by a prefix of its own path, so its candidates are the pairs of the
-lengths that occur in the list. Candidates that the filter passes meet the list
-in a join on the strings themselves.
+A URL can match a listed host only by its own host from its start or from behind
+a dot, and a listed path only by a prefix of its own path. So its candidates are
+these suffixes of its host, with the path lengths that are listed under the
+suffix: few, however long the list is. Candidates that the filter passes meet the
+list in a join on the strings themselves.
 
 Candidates are made once per distinct (host, path), not per page, so a URL that
 a third of all pages share is judged once; joins carry no broadcast hint, so
@@ -70,18 +71,17 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", default: str =
     seen = pages.select(*own, host.alias("host"), path.alias("path"))
 
     listed = listed.select("host", "path", "verdict").dropna().groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    n_blocks = max(1, -(-listed.count() // KEYS_PER_BLOCK))
-    sizes = listed.agg(F.collect_set(F.struct(F.length("host").alias("h"), F.length("path").alias("p"))))
+    n_listed, longest = listed.agg(F.count("*"), F.coalesce(F.max(F.length("host")), F.lit(0))).first()
+    n_blocks = max(1, -(-n_listed // KEYS_PER_BLOCK))
+    lengths = listed.groupBy(F.col("host").alias("rule_host")).agg(F.collect_set(F.length("path")).alias("lengths"))
 
+    # one character more than the longest listed host has shows every dot that matters
+    labels = F.split(F.right("host", F.lit(longest + 1)), r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     distinct = seen.select("host", "path").distinct()
-    candidates = distinct.select("host", "path", F.explode(sizes.scalar()).alias("size"))
-    candidates = candidates.where(
-        (F.col("size.h") <= F.length("host")) & (F.col("size.p") <= F.length("path"))
-        & ((F.col("size.h") == F.length("host")) | (F.col("host").substr(F.length("host") - F.col("size.h"), F.lit(1)) == ".")))
-    candidates = candidates.select(
-        "host", "path",
-        F.col("host").substr(F.length("host") - F.col("size.h") + 1, F.col("size.h")).alias("rule_host"),
-        F.col("path").substr(F.lit(1), F.col("size.p")).alias("rule_path"))
+    candidates = (distinct.select("host", "path", F.explode(suffixes).alias("rule_host")).join(lengths, "rule_host")
+                  .select("host", "path", "rule_host", F.explode("lengths").alias("size")).where(F.col("size") <= F.length("path"))
+                  .select("host", "path", "rule_host", F.col("path").substr(F.lit(1), F.col("size")).alias("rule_path")))
 
     probes = candidates.select("*", *_bloom_columns(F.concat("rule_host", "rule_path"), n_blocks))
     possible = probes.join(bloom_filter(listed, n_blocks), "block")
