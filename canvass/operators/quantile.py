@@ -23,9 +23,9 @@ Method (distributed selection):
    ``row_number`` inside the bracket, so no task ever sorts more than
    ``finish_limit`` values, however large or skewed a group is.
 
-When no group holds more than ``finish_limit`` values, step 1 is followed by
-one count per distinct value and a running sum per group (bounded by the same
-limit) instead of the selection passes. Both paths interpolate as ``lo + (hi - lo) * frac``.
+When no group holds more than ``finish_limit`` distinct values (by an estimate, taken twice),
+step 1 is followed by one count per distinct value and a running sum per group (bounded by the
+same limit) instead of the selection passes. Both paths interpolate as ``lo + (hi - lo) * frac``.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ from canvass.plans.joins import join_small, stored
 
 FINISH_LIMIT = 1_000_000
 BUCKETS = 1024
+# An estimated number of distinct values is taken this many times (its standard error is 5 %).
+DISTINCT_MARGIN = 2
 # Session settings that override the defaults above (per cluster sizing).
 CONF_FINISH_LIMIT = "spark.canvass.quantile.finishLimit"
 CONF_BUCKETS = "spark.canvass.quantile.buckets"
@@ -88,9 +90,8 @@ def quantiles(df: DataFrame, columns, probs, by=(), *, finish_limit: int | None
     gk = keys + ["metric"]
     data = long_values(df, columns, keys)
 
-    stats = data.groupBy(*gk).agg(F.count("x").alias("n"), F.min("x").alias("lo"),
-                                  F.max("x").alias("hi"))
-    largest = stats.agg(F.max("n")).first()[0]
+    stats = data.groupBy(*gk).agg(F.count("x").alias("n"), F.approx_count_distinct("x").alias("distinct"))
+    largest = stats.agg(F.max(F.least("n", F.col("distinct") * DISTINCT_MARGIN))).first()[0]
     if largest is None or largest <= finish_limit:
         return _direct(data, keys, gk, probs)
     data = stored(data, "quantile-values")
@@ -131,7 +132,7 @@ def _between(v0, v1, frac):
 
 
 def _direct(data: DataFrame, keys: list[str], gk: list[str], probs: list[float]) -> DataFrame:
-    """Every group holds at most ``finish_limit`` values.
+    """Every group holds at most ``finish_limit`` distinct values.
 
     Values are first counted per (group, value) with map-side partial
     aggregation, so repeated values (integer scores, flags) collapse before

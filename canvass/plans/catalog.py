@@ -470,12 +470,22 @@ def _reuse(spark: SparkSession, sf_dir: str, name: str, build):
     return _FITS[key]
 
 
+def _survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``loaded`` for the model queries: the survey table is joined and written once a session
+    (unless the manifest has it), as medians, splits and matrices each read it several times."""
+    def build():
+        if reuse.find(spark, "responses", _inputs(sf_dir)):
+            return loaded(spark, sf_dir)
+        return clean.impute_median(stored(responses(spark, sf_dir), "survey"), IMPUTED_AT_LOAD)
+    return _reuse(spark, sf_dir, "survey", build)
+
+
 # ---------------------------------------------------------------- clustering
 def _cluster_inputs(spark, sf_dir):
     from canvass.operators import cluster
     def build():
         shown = {f"raw_{c}": c for c in PROFILE_COLS + ["monthly_bill_aed"]}
-        scaled = cluster.scaled_matrix(loaded(spark, sf_dir), CLUSTER_FEATURES, keep=shown)
+        scaled = cluster.scaled_matrix(_survey(spark, sf_dir), CLUSTER_FEATURES, keep=shown)
         return stored(cluster.with_vector(scaled, CLUSTER_FEATURES), "cluster-matrix")
     return _reuse(spark, sf_dir, "cluster-matrix", build)
 
@@ -548,7 +558,7 @@ def _forest(spark, sf_dir, cv=False):
     if not cv and key in _FITS:  # the cross-validated result carries the same forest
         return _FITS[key]
     return _reuse(spark, sf_dir, f"forest-cv{cv}",
-                  lambda: propensity.fit_forest(loaded(spark, sf_dir), cross_validate=cv))
+                  lambda: propensity.fit_forest(_survey(spark, sf_dir), cross_validate=cv))
 
 
 def q_rf_importances(spark, sf_dir):
@@ -571,7 +581,7 @@ def q_rf_report(spark, sf_dir):
 # ---------------------------------------------------------------- regression
 def _boost(spark, sf_dir):
     from canvass.operators import price
-    return _reuse(spark, sf_dir, "boosting", lambda: price.fit_boosting(loaded(spark, sf_dir)))
+    return _reuse(spark, sf_dir, "boosting", lambda: price.fit_boosting(_survey(spark, sf_dir)))
 
 
 def q_gbt_importances(spark, sf_dir):
@@ -718,7 +728,7 @@ def q_importances_by_table(spark, sf_dir):
 
 def _residual_boost(spark, sf_dir):
     from canvass.operators import price
-    return _reuse(spark, sf_dir, "residual-boosting", lambda: price.fit_by_residuals(loaded(spark, sf_dir)))
+    return _reuse(spark, sf_dir, "residual-boosting", lambda: price.fit_by_residuals(_survey(spark, sf_dir)))
 
 
 def q_residual_boost_facts(spark, sf_dir):
