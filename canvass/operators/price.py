@@ -2,10 +2,11 @@
 
 Gradient-boosted trees on ``log1p(wtp)``, trained on a hash-based 75/25 split of
 the whole table. Metrics are DataFrame aggregates
-(:mod:`canvass.operators.evaluate`). ``fit_boosting`` is MLlib's boosting, which
+(:mod:`canvass.operators.evaluate`). ``fit_boosting`` follows MLlib's boosting, which
 weights the first tree by 1; ``fit_by_residuals`` starts at the targets' mean and
-adds every tree with the same shrinkage, as the dashboard does. Continuous features are
-binned, so scores are close to, not equal to, scikit-learn's.
+adds every tree with the same shrinkage, as the dashboard does. Both grow their trees
+over packed bins (:mod:`canvass.operators.grow`), so scores are close to, not equal
+to, scikit-learn's.
 """
 
 from __future__ import annotations
@@ -14,22 +15,19 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canvass.operators import grow
 from canvass.operators.clean import feature_matrix
 from canvass.operators.split import random_split
-from canvass.session import checkpoint_dir
+from canvass.plans.joins import stored
 from canvass.sources.schema import REGRESSION_FEATURES
 
-#: Rounds of the residual loop between two checkpoints of its state.
-ROUNDS_PER_CHECKPOINT = 10
-
 
 @dataclass
 class BoostResult:
-    model: object
+    model: grow.Boosted
     test_predictions: DataFrame
     importances: DataFrame
     matrix: DataFrame | None = None
@@ -52,9 +50,11 @@ def _prepared(df: DataFrame, target: str, feats: list[str], id_col: str, test_fr
     m = feature_matrix(df.where(F.col(target).isNotNull()), feats, keep=(id_col, target))
     m = m.withColumn("y", F.log1p(target))
     m = VectorAssembler(inputCols=feats, outputCol="features").transform(m)
-    checkpoint_dir(df.sparkSession)
-    return random_split(m, id_col, test_fraction, seed).select(id_col, "y", "features", "is_test") \
-        .checkpoint(eager=True)
+    return stored(random_split(m, id_col, test_fraction, seed).select(id_col, "y", "features", "is_test"), "regression-matrix")
+
+
+def _tested(m: DataFrame, model: grow.Boosted, id_col: str) -> DataFrame:
+    return stored(model.transform(m.where(F.col("is_test"))).select(id_col, "y", "prediction"), "test-predictions")
 
 
 def fit_boosting(df: DataFrame, target: str = "wtp_aed_per_building",
@@ -63,15 +63,9 @@ def fit_boosting(df: DataFrame, target: str = "wtp_aed_per_building",
                  test_fraction: float = 0.25) -> BoostResult:
     feats = list(features)
     m = _prepared(df, target, feats, id_col, test_fraction, seed)
-    gbt = GBTRegressor(featuresCol="features", labelCol="y", maxIter=rounds, stepSize=step,
-                       maxDepth=depth, seed=seed)
-    model = gbt.fit(m.where(~F.col("is_test")))
-    preds = model.transform(m.where(F.col("is_test"))).select(id_col, "y", "prediction") \
-        .checkpoint(eager=True)
-    spark = df.sparkSession
-    imp = spark.createDataFrame([(f, float(v)) for f, v in zip(feats, model.featureImportances.toArray())],
-                                "feature string, importance double")
-    return BoostResult(model, preds, imp, m)
+    model = grow.boost(m.where(~F.col("is_test")), len(feats), rounds, step, depth, id_col, from_mean=False)
+    imp = df.sparkSession.createDataFrame(list(zip(feats, model.featureImportances)), "feature string, importance double")
+    return BoostResult(model, _tested(m, model, id_col), imp, m)
 
 
 def fit_by_residuals(df: DataFrame, target: str = "wtp_aed_per_building",
@@ -81,27 +75,8 @@ def fit_by_residuals(df: DataFrame, target: str = "wtp_aed_per_building",
     """Least-squares boosting: the fit starts at the training targets' mean, each round
     fits a tree to the residuals and adds ``step`` times its leaf means.
 
-    Every row carries its fitted value, for training and test rows alike. It is
-    checkpointed every ``ROUNDS_PER_CHECKPOINT`` rounds, so a lost executor repeats at
-    most those, and that scan also gives the block's training errors. Raises
-    ``ValueError`` without training rows."""
-    m = _prepared(df, target, list(features), id_col, test_fraction, seed)
-    training = ~F.col("is_test")
-    start, loss = m.where(training).agg(F.avg("y"), F.var_pop("y")).first()
-    if start is None:
-        raise ValueError("no training rows")
-    state, trees, losses = m.withColumn("fitted", F.lit(start)), [], [loss]
-    for lo in range(0, rounds, ROUNDS_PER_CHECKPOINT):
-        after = []
-        for r in range(lo, min(lo + ROUNDS_PER_CHECKPOINT, rounds)):
-            grower = DecisionTreeRegressor(featuresCol="features", labelCol="_residual", predictionCol="_leaf", maxDepth=depth, seed=seed + r)
-            tree = grower.fit(state.where(training).select("features", (F.col("y") - F.col("fitted")).alias("_residual")))
-            trees.append(tree)
-            after.append(f"_after{r}")
-            state = tree.transform(state).withColumn("fitted", F.col("fitted") + step * F.col("_leaf")) \
-                .withColumn(after[-1], F.col("fitted")).drop("_leaf")
-        state = state.checkpoint(eager=True)
-        losses += state.where(training).agg(*[F.avg(F.pow(F.col("y") - F.col(c), 2)) for c in after]).first()
-        state = state.drop(*after)
-    preds = state.where(F.col("is_test")).select(id_col, "y", F.col("fitted").alias("prediction"))
-    return ResidualBoost(trees, start, step, losses, m, preds)
+    Raises ``ValueError`` without training rows."""
+    feats = list(features)
+    m = _prepared(df, target, feats, id_col, test_fraction, seed)
+    model = grow.boost(m.where(~F.col("is_test")), len(feats), rounds, step, depth, id_col, from_mean=True)
+    return ResidualBoost(model.trees, model.start, step, model.losses, m, _tested(m, model, id_col))

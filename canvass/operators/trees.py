@@ -15,20 +15,16 @@ the sums over a row's trees are combined before their one shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canvass.operators.grow import Boosted, Tree
 from canvass.plans.joins import stored
 from canvass.session import scratch_path
 
-#: Trees that are written at a time.
-WRITERS = 8
-
-
 @dataclass
 class TreeTable:
     """``nodes`` of ``trees`` trees, none deeper than ``depth``; ``start`` is added to a regression's sum."""
@@ -40,7 +36,9 @@ class TreeTable:
 
 
 def of_ensemble(spark: SparkSession, model) -> TreeTable:
-    """The table of a fitted forest or boosting model, read from its written form."""
+    """The table of a fitted forest or boosting model: MLlib's is read from its written form."""
+    if isinstance(model, Boosted):
+        return _of_lists(spark, model.trees, model.treeWeights, model.start)
     path = scratch_path(spark, "ensemble")
     model.write().save(path)
     rows = spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.*")
@@ -48,16 +46,20 @@ def of_ensemble(spark: SparkSession, model) -> TreeTable:
     return _table(rows, weights, hasattr(model, "numClasses"), max(t.depth for t in model.trees))
 
 
-def of_trees(spark: SparkSession, trees: Sequence, weight: float, start: float) -> TreeTable:
+def of_trees(spark: SparkSession, trees: Sequence[Tree], weight: float, start: float) -> TreeTable:
     """The table of regression trees that were fitted one by one, all with one weight."""
-    path = scratch_path(spark, "trees")
-    with ThreadPoolExecutor(WRITERS) as pool:
-        list(pool.map(lambda x: x[1].write().save(f"{path}/tree-{x[0]}"), enumerate(trees)))
-    number = F.regexp_extract("_metadata.file_path", "/tree-([0-9]+)/", 1).cast("int")
-    rows = spark.read.parquet(f"{path}/tree-*/data").withColumn("tree", number)
-    found = _table(rows, [weight] * len(trees), False, max(t.depth for t in trees))
-    found.start = start
-    return found
+    return _of_lists(spark, trees, [weight] * len(trees), start)
+
+
+def _of_lists(spark: SparkSession, trees: Sequence[Tree], weights: Sequence[float], start: float) -> TreeTable:
+    rows = []
+    for number, (t, weight) in enumerate(zip(trees, weights)):
+        for i, (left, right) in enumerate(zip(t.left, t.right)):
+            split = (left, right, t.feature[i], t.threshold[i], t.gain[i]) if left >= 0 else (None,) * 5
+            rows.append((number, float(weight), i, *split, t.reached[i], t.value[i], []))
+    nodes = spark.createDataFrame(rows, "tree int, tree_weight double, node int, left int, right int, feature int, threshold double, "
+                                        "gain double, reached double, value double, votes array<double>")
+    return TreeTable(stored(nodes.coalesce(1), "tree-nodes"), len(trees), max(t.depth for t in trees), start)
 
 
 def _table(rows: DataFrame, weights: list[float], classes: bool, depth: int) -> TreeTable:
