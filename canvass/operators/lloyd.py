@@ -2,7 +2,7 @@
 
 The matrix is packed into blocks once. An iteration sends the centres of all
 models that still move with the task and is one scan: every block is compared with
-all centres by one matrix product, and what comes back, summed by centre, is
+all centres by matrix products, and what comes back, summed by centre, is
 one row per centre (its members, their sum and their cost). A model whose centres
 have settled is measured once more at its last centres and leaves, so scans get
 cheaper as models finish.
@@ -30,6 +30,8 @@ START_ROWS = 8192
 PARTITION_ROWS = 250_000
 PARTITIONS = 8
 BLOCK_ROWS = 4096
+#: Rows of a block that are compared with the centres at a time.
+SCAN_ROWS = 512
 
 
 @dataclass
@@ -92,24 +94,37 @@ def plus_plus(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 def _scan(centers: np.ndarray, bounds: list[int]):
-    """One row per centre of all models: members, cost, and the members' sum."""
+    """One row per centre of all models: members, cost, and the members' sum.
+
+    Models of one k are compared at once, ``SCAN_ROWS`` rows at a time: the distances of
+    so few rows stay in the processor's cache, and their products in one thread."""
+    groups = {}
+    for lo, hi in zip(bounds, bounds[1:]):
+        groups.setdefault(hi - lo, []).append(np.arange(lo, hi))
+    groups = [np.stack(g) for g in groups.values()]
+
     def rows(batches):
         width = centers.shape[1]
-        length = (centers * centers).sum(axis=1)
         n, cost, sums = np.zeros(len(centers)), np.zeros(len(centers)), np.zeros(centers.shape)
+        # a centre c beside its squared length, a row x beside 1: one product gives |c|^2 - 2 c.x
+        models = [(slots, np.dstack([-2.0 * centers[slots], (centers[slots] ** 2).sum(axis=2)]), np.arange(slots.shape[1])[:, None]) for slots in groups]
         for batch in batches:
             for block in batch.column("block"):
-                x = np.frombuffer(block.as_buffer(), np.float64).reshape(-1, width)
-                away = length - 2.0 * (x @ centers.T)
-                own = (x * x).sum(axis=1)
-                member = np.zeros(away.shape)
-                at = np.arange(len(x))
-                for lo, hi in zip(bounds, bounds[1:]):
-                    best = lo + away[:, lo:hi].argmin(axis=1)
-                    member[at, best] = 1.0
-                    cost += np.bincount(best, weights=np.maximum(away[at, best] + own, 0), minlength=len(centers))
-                n += member.sum(axis=0)
-                sums += member.T @ x
+                whole = np.frombuffer(block.as_buffer(), np.float64).reshape(-1, width)
+                for lo in range(0, len(whole), SCAN_ROWS):
+                    x = whole[lo:lo + SCAN_ROWS]
+                    turned, own = np.ones((width + 1, len(x))), np.einsum("ij,ij->i", x, x)
+                    turned[:width] = x.T
+                    for slots, weights, number in models:
+                        away = weights @ turned
+                        least = away.min(axis=1)
+                        member = away == least[:, None, :]
+                        if np.count_nonzero(member) > least.size:  # equally near centres: the first
+                            member = away.argmin(axis=1)[:, None, :] == number
+                        member = member.astype(np.float64)
+                        n[slots] += member.sum(axis=2)
+                        cost[slots] += (member @ np.maximum(least + own, 0)[:, :, None])[:, :, 0]
+                        sums[slots] += member @ x
         if n.any():
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(centers) + 1) * width, pa.int32()), pa.array(sums.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centers), dtype=np.int32)), pa.array(n), pa.array(cost), lists], ["slot", "n", "cost", "s"])

@@ -495,15 +495,20 @@ def q_scaled_matrix(spark, sf_dir):
     return _round_doubles(cluster.scaled_matrix(loaded(spark, sf_dir), CLUSTER_FEATURES))
 
 
-def _models(spark, sf_dir):
-    """The best model for each k of the elbow, all fitted in shared scans once a session."""
+def _models(spark, sf_dir, ks=range(2, 10)):
+    """The best model for each of ``ks``, fitted in shared scans once a session; a model
+    doesn't depend on those it is fitted with, so only missing ones are fitted."""
     from canvass.operators import cluster
-    return _reuse(spark, sf_dir, "kmeans-all", lambda: cluster.kmeans_shared(_cluster_inputs(spark, sf_dir)))
+    fits = _reuse(spark, sf_dir, "kmeans", dict)
+    missing = [k for k in ks if k not in fits]
+    if missing:
+        fits |= cluster.kmeans_shared(_cluster_inputs(spark, sf_dir), missing)
+    return {k: fits[k] for k in ks}
 
 
 def _kmeans(spark, sf_dir):
     from canvass.operators import cluster
-    return cluster, _cluster_inputs(spark, sf_dir), _models(spark, sf_dir)[5]
+    return cluster, _cluster_inputs(spark, sf_dir), _models(spark, sf_dir, [5])[5]
 
 
 def q_kmeans_assignments(spark, sf_dir):
