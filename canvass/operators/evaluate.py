@@ -7,6 +7,9 @@ tables are at most (#classes)^2 rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.evaluation import Evaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,6 +132,28 @@ def inertia(points: DataFrame) -> DataFrame:
     return per.groupBy("cluster").agg(F.sum(F.col("n") * F.col("v")).alias("inertia"), F.max("n").alias("size"))
 
 
+def _summed_distances(clusters):
+    """A batch of vectors to each one's summed squared distances to the points of every
+    cluster: null for a vector (or cluster) with gaps or of another length."""
+    width = max((len(k["s"] or ()) for k in clusters), default=0)
+    whole = np.array([k["q"] is not None and len(k["s"] or ()) == width for k in clusters], bool)
+    n, q = (np.array([k[c] or 0 for k in clusters], float) for c in ("n", "q"))
+    s = np.array([k["s"] if w else [0.0] * width for k, w in zip(clusters, whole)], float).reshape(len(clusters), width)
+
+    def away(x: pa.Array) -> pa.Array:
+        flat = x.flatten()
+        if flat.null_count or x.null_count or not pc.all(pc.equal(pc.list_value_length(x), width)).as_py():
+            rows = [v if v is not None and len(v) == width and None not in v else None for v in x.to_pylist()]
+            v = np.array([r or [0.0] * width for r in rows], float).reshape(len(rows), width)
+            gaps = np.array([r is None for r in rows], bool)
+        else:
+            v, gaps = flat.to_numpy(zero_copy_only=False).reshape(len(x), width), np.zeros(len(x), bool)
+        d = n * np.einsum("ij,ij->i", v, v)[:, None] - 2.0 * (v @ s.T) + q
+        values = pa.array(d.ravel(), mask=(gaps[:, None] | ~whole).ravel())
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * len(n), pa.int32()), values)
+    return away
+
+
 def silhouette_sq_euclidean(points: DataFrame, cluster: str = "cluster", vec: str = "vec") -> DataFrame:
     """C3 (scalable form): mean silhouette with squared Euclidean distance.
 
@@ -142,8 +167,8 @@ def silhouette_sq_euclidean(points: DataFrame, cluster: str = "cluster", vec: st
 
     Input: one row per point with an ``array<double>`` (or ML vector) column.
     Work: one aggregation for the k rows of statistics, which reach the points
-    as one array (a scalar subquery; its size is the model's, k x d), then a
-    map-only pass and one global average. Returns ``(silhouette, n)``, no row
+    as one array (its size is the model's, k x d), then a map-only pass with one
+    matrix product a batch and one global average. Returns ``(silhouette, n)``, no row
     for an empty table.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -154,10 +179,12 @@ def silhouette_sq_euclidean(points: DataFrame, cluster: str = "cluster", vec: st
     per = pts.groupBy("c").agg(
         F.count(F.lit(1)).alias("n"), F.sum(sq).alias("q"),
         vector_to_array(Summarizer.sum(array_to_vector(F.col("x")))).alias("s"))
-    every = per.agg(F.collect_list(F.struct("c", "n", "q", "s")))
-    dot = lambda s: F.aggregate(F.zip_with("x", s, lambda u, v: u * v), F.lit(0.0), lambda acc, v: acc + v)
-    far = pts.select("c", "x", every.scalar().alias("clusters")).select("c", F.transform("clusters", lambda k: F.struct(
-        k.c.alias("c"), k.n.alias("n"), (k.n * sq - 2.0 * dot(k.s) + k.q).alias("d"))).alias("far"))
+    # one row, written once: the distances and the clusters beside them stand in the same order
+    every = stored(per.agg(F.array_sort(F.collect_list(F.struct("c", "n", "q", "s"))).alias("clusters")), "clusters")
+    away = F.arrow_udf(_summed_distances(every.first()["clusters"]), "array<double>")
+    sizes = every.select(F.transform("clusters", lambda k: F.struct(k.c.alias("c"), k.n.alias("n"))))
+    far = pts.select("c", away("x").alias("away"), sizes.scalar().alias("clusters")).select("c", F.zip_with(
+        "clusters", "away", lambda k, d: F.struct(k.c.alias("c"), k.n.alias("n"), d.alias("d"))).alias("far"))
     own = F.element_at(F.filter("far", lambda k: k.c == F.col("c")), 1)
     b = F.array_min(F.transform(F.filter("far", lambda k: k.c != F.col("c")), lambda k: k.d / k.n))
     near = far.select(own.alias("own"), b.alias("b")).withColumn("a", F.try_divide("own.d", F.col("own.n") - 1))

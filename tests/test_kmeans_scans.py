@@ -32,3 +32,13 @@ def test_queries_of_five_clusters_fit_no_others(spark, monkeypatch):
     assert catalog._kmeans(spark, "x")[2] == "fit 5" and asked == [[5]]
     assert sorted(catalog._models(spark, "x")) == list(range(2, 10)) and asked[1:] == [[2, 3, 4, 6, 7, 8, 9]]
     assert catalog._kmeans(spark, "x")[2] == "fit 5" and len(asked) == 2
+
+
+def test_summed_distances_of_a_batch_with_gaps():
+    from canvass.operators import evaluate
+    pts = np.array([[0.0, 1.0], [2.0, 2.0], [5.0, 0.0]])
+    clusters = [{"n": 3, "q": float((pts ** 2).sum()), "s": pts.sum(axis=0).tolist()}, {"n": 1, "q": None, "s": [0.0, 0.0]}]
+    x = [[1.0, 1.0], None, [1.0, None], [1.0], [4.0, -2.0]]
+    found = evaluate._summed_distances(clusters)(pa.array(x, pa.list_(pa.float64()))).to_pylist()
+    by_hand = [float(((pts - np.array(v)) ** 2).sum()) for v in (x[0], x[4])]
+    assert found == [[by_hand[0], None], [None, None], [None, None], [None, None], [by_hand[1], None]]
