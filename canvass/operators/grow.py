@@ -115,13 +115,15 @@ def _children(tree: Tree) -> tuple[np.ndarray, np.ndarray]:
     return np.where(left < 0, own, left), np.where(left < 0, 0, right - left)
 
 
-def thresholds(values: np.ndarray, bins: int = MAX_BINS) -> np.ndarray:
-    """MLlib's rule: the middles between neighbouring values if they are few, else those nearest to equal shares."""
+def thresholds(values: np.ndarray, bins: int = MAX_BINS, weights: np.ndarray | None = None) -> np.ndarray:
+    """MLlib's rule: the middles between neighbouring values if they are few, else those nearest to equal shares (of the weights)."""
     found, counts = np.unique(values, return_counts=True)
     middles = (found[:-1] + found[1:]) / 2
     if len(middles) < bins:
         return middles
-    stride = len(values) / bins
+    if weights is not None:
+        counts = np.bincount(np.searchsorted(found, values), weights, minlength=len(found))
+    stride = counts.sum() / bins
     upto = np.cumsum(counts)
     cuts, target = [], stride
     for i in range(1, len(found)):
@@ -143,11 +145,11 @@ class Layout:
         return len(self.cuts[f]) + 1
 
 
-def layout(cuts: Sequence[np.ndarray]) -> Layout:
+def layout(cuts: Sequence[np.ndarray], values: int = KEY_VALUES) -> Layout:
     place, sizes = [None] * len(cuts), []
     for f in sorted(range(len(cuts)), key=lambda f: (-len(cuts[f]), f)):
         n = len(cuts[f]) + 1
-        key = next((k for k, size in enumerate(sizes) if size * n <= KEY_VALUES), len(sizes))
+        key = next((k for k, size in enumerate(sizes) if size * n <= values), len(sizes))
         if key == len(sizes):
             sizes.append(1)
         place[f] = (key, sizes[key])
@@ -155,22 +157,31 @@ def layout(cuts: Sequence[np.ndarray]) -> Layout:
     return Layout(list(cuts), place, sizes)
 
 
-def _sample(rows: DataFrame, id_col: str, n: int) -> np.ndarray:
-    """The rows of the smallest id hashes."""
+def _sample(rows: DataFrame, id_col: str, n: int, x: Column | None = None) -> np.ndarray:
+    """The rows of the smallest id hashes: their features, or the array ``x``."""
     deal = F.pmod(F.xxhash64(F.lit(29), id_col), F.lit(1 << 40))
     bar = 1 << 40 if n <= 2 * SAMPLE_ROWS else int((1 << 40) * 1.5 * SAMPLE_ROWS / n)  # half as many more than wanted pass
-    found = rows.where(deal < bar).select(deal.alias("deal"), vector_to_array("features").alias("x")).collect()
+    found = rows.where(deal < bar).select(deal.alias("deal"), (vector_to_array("features") if x is None else x).alias("x")).collect()
     return np.array([r["x"] for r in sorted(found, key=lambda r: (r["deal"], r["x"]))[:SAMPLE_ROWS]], float)
 
 
+def keys_of(lay: Layout, x: np.ndarray) -> np.ndarray:
+    """The keys of rows of features, by key."""
+    keys = np.zeros((len(lay.sizes), len(x)), np.uint16)
+    for f, (key, unit) in enumerate(lay.place):
+        keys[key] += (np.searchsorted(lay.cuts[f], x[:, f]) * unit).astype(np.uint16)
+    return keys
+
+
 def _packer(lay: Layout, start: float):
     def block(x, y):
-        keys = np.zeros((len(lay.sizes), len(y)), np.uint16)
-        for f, (key, unit) in enumerate(lay.place):
-            keys[key] += (np.searchsorted(lay.cuts[f], x[:, f]) * unit).astype(np.uint16)
-        cells = [[keys.tobytes()], [y.tobytes()], [np.full(len(y), start).tobytes()]]
+        cells = [[keys_of(lay, x).tobytes()], [y.tobytes()], [np.full(len(y), start).tobytes()]]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cells], ["keys", "y", "fitted"])
+    return in_blocks(block)
+
 
+def in_blocks(block, rows: int = BLOCK_ROWS):
+    """Batches of rows (x, y) to a record of ``block(x, y)`` per ``rows`` rows or a few more."""
     def pack(batches):
         xs, ys, held = [], [], 0
         for batch in batches:
@@ -178,7 +189,7 @@ def _packer(lay: Layout, start: float):
             xs.append(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1))
             ys.append(y)
             held += len(y)
-            if held >= BLOCK_ROWS:
+            if held >= rows:
                 yield block(np.concatenate(xs), np.concatenate(ys))
                 xs, ys, held = [], [], 0
         if held:
@@ -193,11 +204,12 @@ class _Way:
         self.left, step = _children(tree)
         self.depth = tree.depth
         self.key = np.zeros(len(self.left), np.int64)
-        self.right = np.zeros((len(self.left), KEY_VALUES), np.int64)
+        self.values = max(lay.sizes, default=1)
+        self.right = np.zeros((len(self.left), self.values), np.int64)
         for i, f in enumerate(tree.feature):
             if tree.left[i] >= 0:
                 self.key[i], unit = lay.place[f]
-                bin_ = np.arange(KEY_VALUES) // unit % lay.bins(f)
+                bin_ = np.arange(self.values) // unit % lay.bins(f)
                 self.right[i] = step[i] * (bin_ > np.searchsorted(lay.cuts[f], tree.threshold[i]))
 
     def ends(self, keys: np.ndarray) -> np.ndarray:
@@ -207,7 +219,7 @@ class _Way:
         at = (self.left[0] + self.right[0])[keys[self.key[0]]]
         flat, base, right = keys.ravel(), np.arange(n), self.right.ravel()
         for _ in range(self.depth - 1):
-            at = self.left[at] + right[at * KEY_VALUES + flat[self.key[at] * n + base]]
+            at = self.left[at] + right[at * self.values + flat[self.key[at] * n + base]]
         return at
 
 

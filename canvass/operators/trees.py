@@ -21,6 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canvass.operators.forest import ClassTree, Forest
 from canvass.operators.grow import Boosted, Tree
 from canvass.plans.joins import stored
 from canvass.session import scratch_path
@@ -36,9 +37,9 @@ class TreeTable:
 
 
 def of_ensemble(spark: SparkSession, model) -> TreeTable:
-    """The table of a fitted forest or boosting model: MLlib's is read from its written form."""
-    if isinstance(model, Boosted):
-        return _of_lists(spark, model.trees, model.treeWeights, model.start)
+    """The table of a fitted forest or boosting model: one of MLlib's is read from its written form."""
+    if isinstance(model, (Boosted, Forest)):
+        return _of_lists(spark, model.trees, model.treeWeights, getattr(model, "start", 0.0))
     path = scratch_path(spark, "ensemble")
     model.write().save(path)
     rows = spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.*")
@@ -56,7 +57,7 @@ def _of_lists(spark: SparkSession, trees: Sequence[Tree], weights: Sequence[floa
     for number, (t, weight) in enumerate(zip(trees, weights)):
         for i, (left, right) in enumerate(zip(t.left, t.right)):
             split = (left, right, t.feature[i], t.threshold[i], t.gain[i]) if left >= 0 else (None,) * 5
-            rows.append((number, float(weight), i, *split, t.reached[i], t.value[i], []))
+            rows.append((number, float(weight), i, *split, t.reached[i], t.value[i], t.shares(i) if isinstance(t, ClassTree) else []))
     nodes = spark.createDataFrame(rows, "tree int, tree_weight double, node int, left int, right int, feature int, threshold double, "
                                         "gain double, reached double, value double, votes array<double>")
     return TreeTable(stored(nodes.coalesce(1), "tree-nodes"), len(trees), max(t.depth for t in trees), start)
