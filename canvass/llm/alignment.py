@@ -11,21 +11,25 @@ one of B in it.
 Neither tokenizer joins what stands before a space that follows a non-space with
 that space (checked on the vocabulary), so a text is the sequence of its
 segments, each from such a space to the next. A task encodes every distinct segment once, many to a
-call, and remembers it; a text's numbers are sums over its segments.
+call, and remembers it; a text's numbers are sums over its segments. The memory has a bound in bytes:
+beyond it, a worker drops the segments that no later chunk had.
 
 How many documents hold an id pair linked is counted in two levels: a chunk of
 texts has each pair once, with its documents, so a pair that every document has
 is no larger a key than others; the counts return to the chunks' pairs and are
-summed over each document's links there.
+summed over each document's links there. An executor holds a few chunks at a time as rows
+in its heap and in Arrow batches beside it, so a chunk's numbers are packed and its groups go as digests.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import itertools
 import os
 import re
-from collections.abc import Iterable, Iterator
+import sys
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +37,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import chunks, written
+from .common import chunks, release, written
 
-#: Bytes of text per chunk, segments that a task remembers, characters that are encoded in one call.
-CHUNK_BYTES = 2 << 20
-REMEMBERED = 400_000
+#: Bytes of text per chunk, bytes of segments that a task remembers, characters that are encoded in one call.
+CHUNK_BYTES = 1 << 20
+REMEMBERED_BYTES = 80 << 20
 LUMP_CHARS = 1 << 14
+#: Bytes of a remembered segment in the index and the list, beside its strings and arrays.
+SLOT_BYTES = 60
 #: Lumps that the libraries get at a time.
 LUMPS = 16
 #: Pairs that are laid out at a time.
@@ -63,10 +69,11 @@ class Side:
 class Segments:
     """What a task knows of segments: tokens with their ends, groups, and linked id pairs.
 
-    Segment k has rows starts[k]:starts[k + 1] of ids and ends of either side, and of
-    pairs and times; counts has its n_a, n_b, n_groups and n_links, and whether it is valid."""
+    Segment k has rows starts[k]:starts[k + 1] of ids and ends of either side (with ``spans`` only), and of
+    pairs and times; counts has its n_a, n_b, n_groups and n_links, and whether it is valid;
+    again has whether a later chunk had it."""
 
-    def __init__(self, a_path: str, b_path: str):
+    def __init__(self, a_path: str, b_path: str, spans: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
@@ -84,29 +91,62 @@ class Segments:
         self.sides = Side(a_table, "|"), Side(b_table, ";")
         #: Whether texts can be cut: B has no piece over such a place and leaves spaces as they are.
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces) and self.b.normalize(" a  b ") == "▁▁a▁▁b▁"
+        self.spans = spans
+        self.kinds = (0, 1, 2) if spans else (2,)  # of starts
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.texts: list[str] = []
+        self.string_bytes = 0
+        self.again = np.zeros(0, bool)
         self.counts = np.zeros((0, 5), np.int32)
         self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
         self.ends = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
         self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.starts = [np.zeros(1, np.int64) for _ in range(3)]
 
+    def size(self) -> int:
+        """Bytes of what is remembered."""
+        arrays = (self.again, self.counts, *self.ids, *self.ends, self.pairs, self.times, *self.starts)
+        return sum(x.nbytes for x in arrays) + self.string_bytes + SLOT_BYTES * len(self.texts)
+
+    def thin(self) -> None:
+        """Forget the segments that no later chunk had; all of them if the others take over half of the bound."""
+        kept = np.flatnonzero(self.again)
+        names, texts = list(self.index), self.texts
+        self.index = {names[k]: at for at, k in enumerate(kept.tolist())}
+        self.texts = [texts[k] for k in kept.tolist()]
+        self.string_bytes = sum(map(sys.getsizeof, itertools.chain(self.index, self.texts)))
+        for k in self.kinds:
+            starts = self.starts[k]
+            rows = _spread(starts, kept)[0]
+            self.starts[k] = np.r_[0, np.cumsum(starts[kept + 1] - starts[kept])]
+            if k == 2:
+                self.pairs, self.times = self.pairs[rows], self.times[rows]
+            else:
+                self.ids[k], self.ends[k] = self.ids[k][rows], self.ends[k][rows]
+        self.counts, self.again = self.counts[kept], np.zeros(len(kept), bool)
+        if 2 * self.size() > REMEMBERED_BYTES:
+            self.forget()
+
     def split(self, text: str) -> list[str]:
         return _CUT.split(text) if self.cuts else [text]
 
     def places(self, texts: list[str | None]) -> list[np.ndarray]:
         """The numbers of each text's segments; a null or empty text has none."""
-        if len(self.index) > REMEMBERED:
-            self.forget()
+        if self.size() > REMEMBERED_BYTES:
+            self.thin()
+        old = len(self.texts)
         parts = [self.split(" " + t) if t else [] for t in texts]
         new = [s for s in dict.fromkeys(itertools.chain.from_iterable(parts)) if s not in self.index]
         if new:
             self._learn(new)
-        return [np.fromiter(map(self.index.__getitem__, p), np.int64, len(p)) for p in parts]
+        places = [np.fromiter(map(self.index.__getitem__, p), np.int64, len(p)) for p in parts]
+        for p in places:
+            self.again[p] = True
+        self.again[old:] = False
+        return places
 
     def _learn(self, new: list[str]) -> None:
         lumps: list[list[str]] = []
@@ -201,18 +241,31 @@ class Segments:
         for some, texts in zip(segments, strings):
             self.index.update(zip(some, range(len(self.texts), len(self.texts) + len(some))))
             self.texts += texts
+            self.string_bytes += sum(map(sys.getsizeof, itertools.chain(some, texts)))
         joined = lambda old, new: np.concatenate([old, *(x.astype(old.dtype, copy=False) for x in new)])
         self.counts = joined(self.counts, counts)
-        self.ids = [joined(x, new) for x, new in zip(self.ids, zip(*ids))]
-        self.ends = [joined(x, new) for x, new in zip(self.ends, zip(*ends))]
+        self.again = np.r_[self.again, np.zeros(len(self.texts) - len(self.again), bool)]
+        if self.spans:
+            self.ids = [joined(x, new) for x, new in zip(self.ids, zip(*ids))]
+            self.ends = [joined(x, new) for x, new in zip(self.ends, zip(*ends))]
         self.pairs, self.times = joined(self.pairs, pairs), joined(self.times, times)
-        self.starts = [np.r_[s, s[-1] + np.cumsum(np.concatenate(x))] for s, x in zip(self.starts, zip(*sizes))]
+        sizes = list(zip(*sizes))
+        for k in self.kinds:
+            self.starts[k] = np.r_[self.starts[k], self.starts[k][-1] + np.cumsum(np.concatenate(sizes[k]))]
+
+
+def _order(owner: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The order of rows by owner, then key (neither negative): sorted as one number where both fit into it."""
+    parts = owner, key >> 32, key & 0xFFFFFFFF
+    _, high, low = bits = [int(x.max(initial=0)).bit_length() for x in parts]
+    if sum(bits) > 63:
+        return np.lexsort((key, owner))
+    return np.argsort((parts[0] << high | parts[1]) << low | parts[2])
 
 
 def _summed(rows: np.ndarray) -> np.ndarray:
     """Rows (owner, key, number) with the numbers of equal owners and keys added up."""
-    order = np.lexsort((rows[1], rows[0]))
-    rows = rows[:, order]
+    rows = rows[:, _order(rows[0], rows[1])]
     first = np.flatnonzero(np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)]) if rows.shape[1] else np.zeros(0, np.int64)
     return np.stack([rows[0, first], rows[1, first], np.add.reduceat(rows[2], first) if len(first) else rows[2]])
 
@@ -224,33 +277,47 @@ def _spread(starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(starts[at] - (np.cumsum(size) - size), size) + np.arange(len(of)), of
 
 
-@functools.cache
-def segments(a_path: str, b_path: str) -> Segments:
-    """One memory of segments for all tasks of a worker; it is bounded by ``REMEMBERED``."""
-    return Segments(a_path, b_path)
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 in the fewest bytes that hold the largest."""
+    return x.astype(np.min_scalar_type(x.max(initial=0))).tobytes()
+
 
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, f"u{len(packed) // max(n, 1) or 1}")
 
+
+@functools.lru_cache(maxsize=1)
+def segments(a_path: str, b_path: str, spans: bool = False) -> Segments:
+    """One memory of segments for all tasks of a worker; it is bounded by ``REMEMBERED_BYTES``."""
+    return Segments(a_path, b_path, spans)
+
+
+#: at and times: ``_packed`` numbers, as many as the last of ends.
 _CHUNK = ("chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups array<string>, "
-          "pairs array<long>, uses array<int>, ends array<int>, at array<int>, times array<long>")
+          "pairs array<long>, uses array<int>, ends array<int>, at binary, times binary")
 
 
-def _chunk_rows(a_path: str, b_path: str):
+def _digest(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest() if text else text
+
+
+def _chunk_rows(a_path: str, b_path: str, told: Callable[[str], str]):
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         known = segments(a_path, b_path)
         number = TaskContext.get().partitionId() << 32
         for batch in chunks(batches, "text", CHUNK_BYTES):
-            yield _chunk(known, number, batch.column("doc_id"), known.places(batch.column("text").to_pylist()))
+            yield _chunk(known, number, batch.column("doc_id"), known.places(batch.column("text").to_pylist()), told)
             number += 1
     return rows
 
 
-def _chunk(known: Segments, number: int, doc_ids: pa.Array, places: list[np.ndarray]) -> pa.RecordBatch:
+def _chunk(known: Segments, number: int, doc_ids: pa.Array, places: list[np.ndarray], told: Callable[[str], str]) -> pa.RecordBatch:
     counts = np.stack([known.counts[p].sum(axis=0, dtype=np.int64) if len(p) else np.zeros(5, np.int64) for p in places])
     valid = (counts[:, 4] == [len(p) for p in places]) & (counts[:, 4] > 0)
     counts[~valid] = 0
-    texts = [";".join(map(known.texts.__getitem__, p.tolist())) if ok else "" for ok, p in zip(valid.tolist(), places)]
+    texts = [told(";".join(map(known.texts.__getitem__, p.tolist())) if ok else "") for ok, p in zip(valid.tolist(), places)]
     doc = np.repeat(np.arange(len(places)), counts[:, 4])
     flat = np.concatenate([p for ok, p in zip(valid.tolist(), places) if ok] or [np.zeros(0, np.int64)])
     # equal segments of a document first, then their pairs
@@ -263,15 +330,16 @@ def _chunk(known: Segments, number: int, doc_ids: pa.Array, places: list[np.ndar
     whole = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
     return pa.RecordBatch.from_arrays([
         pa.array([number], pa.int64()), whole(doc_ids, pa.int64()), *[whole(counts[:, k], pa.int64()) for k in range(4)], whole(texts, pa.string()),
-        whole(distinct, pa.int64()), whole(n_docs, pa.int32()), whole(ends, pa.int32()), whole(at, pa.int32()), whole(times, pa.int64())],
+        whole(distinct, pa.int64()), whole(n_docs, pa.int32()), whole(ends, pa.int32()),
+        pa.array([_packed(at)], pa.binary()), pa.array([_packed(times)], pa.binary())],
         ["chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "uses", "ends", "at", "times"])
 
 
-def _aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """One row per chunk of texts: its documents with their groups as text, its
+def _aligned(docs: DataFrame, a_path: str, b_path: str, told: Callable[[str], str] = str) -> DataFrame:
+    """One row per chunk of texts: its documents with what ``told`` makes of their groups as text, its
     distinct id pairs with the number of its documents that have them linked,
     and each document's pairs (places in those) with how often."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunk_rows(a_path, b_path), _CHUNK)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunk_rows(a_path, b_path, told), _CHUNK)
 
 
 def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -284,8 +352,8 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 def _span_rows(a_path: str, b_path: str):
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = segments(a_path, b_path)
-        for batch in chunks(batches, "text", CHUNK_BYTES >> 3):
+        known = segments(a_path, b_path, True)
+        for batch in chunks(batches, "text", CHUNK_BYTES >> 2):
             for doc_id, p in zip(batch.column("doc_id").to_pylist(), known.places(batch.column("text").to_pylist())):
                 columns = [pa.array([doc_id], pa.int64())]
                 for side in (0, 1):
@@ -316,14 +384,16 @@ def pair_counts(chunked: DataFrame) -> DataFrame:
 
 def _score_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
+    segments.cache_clear()  # the worker may come from the encoding; its memory is of no more use
+    release()
     for batch in batches:
         for row in range(batch.num_rows):
             of = lambda c: batch.column(c)[row].values
-            at, times, ends = of("at").to_numpy(), of("times").to_numpy(), of("ends").to_numpy()
-            n, best = of("scores").field("n").to_numpy(), of("scores").field("best").to_numpy(zero_copy_only=False)
-            sums = [np.r_[0, np.cumsum(x[at] * times)] for x in (best.astype(np.int64), n)]
+            ends, scores = of("ends").to_numpy(), of("scores").to_numpy()
+            at, times = (_unpacked(batch.column(c)[row].as_py(), int(ends[-1])) for c in ("at", "times"))
+            sums = [np.r_[0, np.cumsum(x[at] * times.astype(np.int64))] for x in (scores & 1, scores >> 1)]
             n_best, count_sum = (s[ends[1:]] - s[ends[:-1]] for s in sums)
-            yield pa.RecordBatch.from_arrays([*(of(c) for c in names), pa.array(n_best), pa.array(count_sum), of("digests")],
+            yield pa.RecordBatch.from_arrays([*(of(c) for c in names), pa.array(n_best), pa.array(count_sum), of("groups")],
                                              [*names, "n_best", "count_sum", "groups_sha256"])
 
 
@@ -334,11 +404,11 @@ def digests(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     in the most documents (ties included); count_sum sums that number over the
     links. A row counts as a document, also if its doc_id is null or repeated;
     other columns play no part. groups_sha256 is '' without tokens."""
-    hashed = F.transform("groups", lambda g: F.when(g == "", g).otherwise(F.sha2(g.cast("binary"), 256)))
-    chunked = written(_aligned(docs, a_path, b_path).withColumn("digests", hashed).drop("groups"), "aligned")
+    chunked = written(_aligned(docs, a_path, b_path, _digest), "aligned")
     counts = written(pair_counts(chunked), "pair-counts")
     each = chunked.select("chunk", F.posexplode("pairs").alias("place", "pair"))
-    scored = each.join(counts, "pair").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("place", "n", "best"))).alias("scores"))
-    rows = chunked.drop("pairs", "uses").join(scored, "chunk", "left").withColumn("scores", F.coalesce("scores", F.array().cast(
-        "array<struct<place: int, n: long, best: boolean>>")))
+    score = F.col("n") * 2 + F.col("best").cast("long")
+    scored = each.join(counts, "pair").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("place", score.alias("score")))).alias("scores"))
+    rows = chunked.drop("pairs", "uses").join(scored.select("chunk", F.col("scores.score").alias("scores")), "chunk", "left").withColumn(
+        "scores", F.coalesce("scores", F.array().cast("array<long>")))
     return rows.mapInArrow(_score_rows, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")

@@ -2,6 +2,7 @@
 import bisect
 import hashlib
 import random
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -173,6 +174,77 @@ def test_alignment_of_the_documents(spark):
     assert got == dict(zip(texts, brute_alignment(texts.values())))
 
 
+def held_bytes(known):
+    """Bytes of a memory of segments: strings, index, list and arrays."""
+    arrays = [x for v in vars(known).values() for x in (v if isinstance(v, list) else [v]) if isinstance(x, np.ndarray)]
+    return sum(map(sys.getsizeof, [*known.index, *known.texts, known.index, known.texts])) + sum(x.nbytes for x in arrays)
+
+
+def test_memory_of_segments_is_bounded_in_bytes(monkeypatch):
+    """Long segments don't fill a worker, what comes again stays, and what was dropped is found again."""
+    monkeypatch.setattr(alignment, "REMEMBERED_BYTES", 1 << 20, raising=False)
+    r = random.Random(3)
+    word = lambda n: "".join(r.choices("abcdeéß漢字", k=n))
+    common = [word(6) for _ in range(50)]
+    chunks = [[" ".join([*common, *(word(r.randint(1, 400)) for _ in range(300))]) for _ in range(2)] for _ in range(25)]
+    known = alignment.segments.__wrapped__(A, B)
+    most, texts = 0, []
+    for chunk in chunks + chunks[:2]:
+        places = known.places(chunk)
+        most = max(most, held_bytes(known))
+        texts.append([";".join(known.texts[k] for k in p.tolist()) for p in places])
+    assert most < 4 << 20
+    assert all(" " + w in known.index for w in common)
+    assert texts[25:] == texts[:2]
+    monkeypatch.setattr(alignment, "REMEMBERED_BYTES", 64 << 20, raising=False)
+    for spans in (True, False):  # a thinned memory has what an unthinned one has
+        some, whole = alignment.Segments(A, B, spans), alignment.Segments(A, B, spans)
+        some.places(chunks[0]), some.places([chunks[0][1]]), whole.places([chunks[0][1]])
+        some.thin()
+        assert 0 < len(some.index) == len(whole.index)
+        for name, k in whole.index.items():
+            j = some.index[name]
+            assert some.texts[j] == whole.texts[k] and some.counts[j].tolist() == whole.counts[k].tolist()
+            for kind, columns in enumerate([("ids", "ends"), ("ids", "ends"), ("pairs", "times")]):
+                for c in columns if spans or kind == 2 else ():
+                    x, y = (getattr(m, c) if kind == 2 else getattr(m, c)[kind] for m in (some, whole))
+                    assert x[some.starts[kind][j]:some.starts[kind][j + 1]].tolist() == y[whole.starts[kind][k]:whole.starts[kind][k + 1]].tolist()
+
+
+def test_chunk_rows_are_smaller_than_their_texts(spark, monkeypatch):
+    """What an executor holds of a chunk on the way to the scores and back."""
+    kept = {}
+    monkeypatch.setattr(alignment, "written", lambda df, name, f=alignment.written: kept.setdefault(name, f(df, name)))
+    queries.op12_alignment(spark, SMALL).count()
+    assert kept["aligned"].toArrow().nbytes < sum(len(t.encode()) for t in texts_of(spark).values())
+
+
+def test_scores_need_no_segments():
+    alignment.segments(A, B)
+    assert alignment.segments.cache_info().currsize == 1
+    assert list(alignment._score_rows(iter([]))) == []
+    assert alignment.segments.cache_info().currsize == 0
+
+
+@pytest.mark.parametrize("bits", [(5, 20), (20, 45), (1, 62), (31, 31)])
+def test_sums_of_equal_owners_and_keys(bits):
+    r = np.random.default_rng(6)
+    some = [r.integers(0, 1 << b, 20) for b in bits]
+    rows = np.stack([*(np.r_[x[r.integers(0, 20, 2000)], (1 << b) - 1, 0] for x, b in zip(some, bits)), r.integers(1, 1 << 40, 2002)])
+    want = Counter()
+    for owner, key, n in rows.T.tolist():
+        want[owner, key] += n
+    assert alignment._summed(rows).T.tolist() == [[*k, n] for k, n in sorted(want.items())]
+    assert alignment._summed(rows[:, :0]).shape == (3, 0)
+
+
+@pytest.mark.parametrize("most", [0, 1, 255, 256, 65_536, 1 << 32, (1 << 63) - 1])
+def test_packed_numbers_come_back(most):
+    x = np.array([most, 0, most // 2, 3 % (most + 1)], np.int64)
+    assert alignment._unpacked(alignment._packed(x), 4).tolist() == x.tolist()
+    assert alignment._unpacked(alignment._packed(x[:0]), 0).tolist() == []
+
+
 def test_alignment_edges(spark):
     rows = alignment.digests(edge_documents(spark), A, B).collect()
     assert len(rows) == 10 and [r.doc_id for r in rows].count(None) == 1 and [r.doc_id for r in rows].count(8) == 2
